@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import small_arrow_batches, table
@@ -167,10 +167,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     return found if found is not None else spark.createDataFrame([], FOUND)
 
 
+def holds_any(items: list[tuple[int, str]], rate: float, text: Column) -> Column:
+    """Whether a text holds an item of the block."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items, rate)
+        for batch in batches:
+            yield batch.map(lambda t: bool(t and matcher.find(normal(t)))).astype(bool)
+
+    return F.pandas_udf(run, "boolean")(text)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    hit = contamination(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The documents that hold no item, with all their columns. Each row is judged by its own text."""
+    small_arrow_batches(docs.sparkSession)
+    for block in item_blocks(benchmark):
+        docs = docs.where(~holds_any(block, rate, docs["text"]))
+    return docs
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

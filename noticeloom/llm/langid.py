@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import small_arrow_batches, table
@@ -41,7 +41,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 DIMENSIONS, ORDERS = 2048, 3
 PER_LANGUAGE, MOST_ROWS = 500, 20_000
 STEEPNESS = 4.0
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
+LANGUAGE = "lang_pred string, score double"
 
 
 class Featurizer:
@@ -142,7 +142,7 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["place", "lang", "vector"])
 
 
-def held_out_column() -> F.Column:
+def held_out_column() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
@@ -172,25 +172,26 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST
     return fitted(x, np.array([lang for lang, _ in kept], object))
 
 
-def _predictor(model: dict | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def language(model: dict | None, text: Column) -> Column:
+    """``struct<lang_pred, score>`` of a text."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         featurizer = Featurizer()
         for batch in batches:
             langs, scores = ["und"] * len(batch), np.zeros(len(batch))
-            vectors = [(i, v) for i, t in enumerate(batch["text"]) if model and (v := featurizer.vector(t)) is not None]
+            vectors = [(i, v) for i, t in enumerate(batch) if model and (v := featurizer.vector(t)) is not None]
             if vectors:
                 names, p = predicted(model, np.array([v for _, v in vectors]))
                 for (i, _), name, s in zip(vectors, names, p, strict=True):
                     langs[i], scores[i] = name, s
-            yield batch.drop(columns="text").assign(lang_pred=langs, score=scores)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return run
+    return F.pandas_udf(run, LANGUAGE)(text)
 
 
 def identified(docs: DataFrame, model: dict | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document."""
-    small_arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", held_out_column().alias("held_out"), "text").mapInPandas(_predictor(model), PREDICTED)
+    return docs.select("doc_id", held_out_column().alias("held_out"), language(model, F.col("text")).alias("x")).select("doc_id", "held_out", "x.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

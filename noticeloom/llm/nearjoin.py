@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import small_arrow_batches, table, written
@@ -189,5 +189,22 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = T
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("cluster_id", "doc_id").alias("cluster_id"))
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The documents without those that a linked document of a lesser ``doc_id`` stands for, with all their columns.
+
+    Of equal rows one stays. Rows with a null ``doc_id`` stay.
+    """
+    joined = written(ngram_jaccard_join(docs), "join-result")
+    gone = joined.where("doc_id <> cluster_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    return left.withColumn(place, F.row_number().over(order)).where(F.col(place).eqNullSafe(1) | F.col("doc_id").isNull()).drop(place)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
