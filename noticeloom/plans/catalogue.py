@@ -1,4 +1,574 @@
-"""Every registered query of the engine, and the SQL that each must agree with."""
+"""Every registered query of the engine on the given tables, and the SQL that each must agree with.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Queries return scalar columns only. The session's time zone has to be UTC.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from noticeloom.functions import codes, text, times
+from noticeloom.functions import patterns as P
+from noticeloom.operators import digest, extraction, merging, monitoring, rendering, upserts
+from noticeloom.plans.tables import DIGEST_SQL, EVENTS_NOW, NOTICES_SQL, RECIPIENTS_SQL, now, notices, recipients, table, utc
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), utc("ts").alias("published"), "user_id", "value")
+
+
+def day(column: str):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+
+# --- monitoring ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_type AS source, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last,
+strftime(coalesce(max(ts) - INTERVAL 7 DAY, TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 30 DAY), '%Y-%m-%d %H:%M:%S') AS since FROM events GROUP BY 1""")
+def q_resume_point(spark, sf_dir):
+    return monitoring.resume_points(events(spark, sf_dir), now(EVENTS_NOW)).select("source", day("last").alias("last"), day("since").alias("since"))
+
+
+@query("""SELECT o_custkey AS customer, strftime(min(o_orderdate), '%Y-%m-%d') AS first FROM orders GROUP BY 1 HAVING min(o_orderdate) >= TIMESTAMP '1996-01-01'""")
+def q_first_seen_having(spark, sf_dir):
+    first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.min(utc("o_orderdate")).alias("f"))
+    return first.where(F.col("f") >= now("1996-01-01 00:00:00")).select("customer", F.date_format("f", "yyyy-MM-dd").alias("first"))
+
+
+@query("""WITH r AS (SELECT event_type AS source, value > 20 AS flag, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events),
+c AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE flag) AS with_classes FROM r WHERE k <= 20 GROUP BY 1)
+SELECT source, n, with_classes, CASE WHEN n >= 10 AND with_classes < 0.5 * n THEN 'formato' END AS problem FROM c""")
+def q_last20_ratio(spark, sf_dir):
+    items = events(spark, sf_dir).withColumn("has_classes", F.col("value") > 20)
+    counted = monitoring.last_with_classes(items)
+    return counted.withColumn("problem", F.when(monitoring.format_problem(F.col("n"), F.col("with_classes")), "formato"))
+
+
+@query("""WITH d AS (SELECT event_type AS source, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2),
+s AS (SELECT source, day, CASE WHEN n < 60 THEN 'silenzio' WHEN n > 75 THEN 'formato' END AS problem FROM d),
+l AS (SELECT *, lag(problem) OVER (PARTITION BY source ORDER BY day) AS before, row_number() OVER (PARTITION BY source ORDER BY day) AS k FROM s)
+SELECT source, day::VARCHAR AS day, problem, CASE WHEN k = 1 THEN CASE WHEN problem IS NOT NULL THEN 'new' ELSE 'none' END
+  WHEN before IS NOT DISTINCT FROM problem THEN CASE WHEN problem IS NULL THEN 'none' ELSE 'same' END
+  WHEN problem IS NULL THEN 'recovered' WHEN before IS NULL THEN 'new' ELSE 'changed' END AS transition FROM l""")
+def q_state_transition(spark, sf_dir):
+    daily = events(spark, sf_dir).groupBy("source", F.to_date("published").alias("day")).agg(F.count("*").alias("n"))
+    state = daily.select("source", "day", F.when(F.col("n") < 60, "silenzio").when(F.col("n") > 75, "formato").alias("problem"))
+    before = F.lag("problem").over(Window.partitionBy("source").orderBy("day"))
+    p = F.col("problem")
+    change = (
+        F.when(before.eqNullSafe(p), F.when(p.isNull(), "none").otherwise("same")).when(p.isNull(), "recovered").when(before.isNull(), "new").otherwise("changed")
+    )
+    return state.select("source", F.col("day").cast("string").alias("day"), "problem", change.alias("transition"))
+
+
+@query("""WITH f AS (SELECT event_type AS source, max(ts) AS last FROM events WHERE event_type <> 'signup' GROUP BY 1),
+s AS (SELECT DISTINCT event_type AS source FROM events),
+j AS (SELECT s.source, f.last, CASE WHEN s.source = 'error' THEN 'errore' WHEN f.last IS NULL OR TIMESTAMP '2024-02-06 23:30:00' - f.last >= INTERVAL 7 DAY THEN 'silenzio' END AS problem FROM s LEFT JOIN f USING (source))
+SELECT source, problem AS kind, CASE problem WHEN 'errore' THEN upper(source) || ' non consultabile da oggi: eventuali interpelli da questa fonte arriveranno appena torna disponibile.'
+  ELSE upper(source) || ': nessuna pubblicazione ' || coalesce('da ' || date_diff('day', (timezone('Europe/Rome', timezone('UTC', last)))::DATE, DATE '2024-02-07')::VARCHAR || ' giorni', 'da oltre 30 giorni') || ', possibile cambio del sito.' END AS text, true AS due
+FROM j WHERE problem IS NOT NULL""")
+def q_source_alerts(spark, sf_dir):
+    """A run over all sources, its transitions from an empty state, and the alerts of the day."""
+    items = events(spark, sf_dir)
+    at, today = now("2024-02-06 23:30:00"), F.lit("2024-02-07").cast("date")
+    outcomes = items.select("source").distinct().withColumn("error", F.when(F.col("source") == "error", "timeout"))
+    seen = items.where("source <> 'signup'").withColumn("has_classes", F.lit(True))
+    empty = spark.createDataFrame([], "source string, last_success timestamp, last_error timestamp, message string, problem string, problem_since timestamp, last_alert date, recovered timestamp")
+    state = monitoring.transitions(empty, monitoring.problems(outcomes, seen, at), at)
+    last = seen.groupBy("source").agg(F.max("published").alias("last"))
+    return monitoring.alerts(state, outcomes.select("source", F.upper("source").alias("name")), last, today)
+
+
+@query("""SELECT event_type AS source, count(*) AS n, count(*) FILTER (WHERE value > 20) AS with_classes, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1""")
+def q_source_report(spark, sf_dir):
+    items = events(spark, sf_dir).withColumn("classes", F.when(F.col("value") > 20, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    report = monitoring.source_report(items.select("source").distinct(), items)
+    return report.select("source", "n", "with_classes", day("last").alias("last"))
+
+
+# --- joins, sets, windows ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_custkey AS customer, strftime(arg_min(o_orderdate, (o_orderdate, o_orderkey)), '%Y-%m-%d') AS first_day, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_id,
+array_to_string(list(o_orderkey ORDER BY o_orderdate, o_orderkey), ',') AS ids FROM orders GROUP BY 1""")
+def q_first_publication(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.struct(utc("o_orderdate").alias("t"), F.col("o_orderkey").alias("id")).alias("x"))
+    nested = o.groupBy("customer").agg(F.min("x").alias("m"), F.sort_array(F.collect_list("x")).alias("xs"))
+    ids = F.array_join(F.transform("xs", lambda x: x["id"].cast("string")), ",")
+    return nested.select("customer", F.date_format("m.t", "yyyy-MM-dd").alias("first_day"), F.col("m.id").alias("first_id"), ids.alias("ids"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def q_semi(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(r, "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def q_anti(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(r, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 450000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 50)")
+def q_or_semi(spark, sf_dir):
+    flag = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(True))
+    j = table(spark, sf_dir, "orders").join(flag, "o_orderkey", "left")
+    return j.where((F.col("o_totalprice") > 450000) | F.col("hit")).select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT doc_id, coalesce(quality, -1)::INT AS quality, coalesce(toxic, -1)::INT AS toxic, quality IS NULL AS unread FROM documents LEFT JOIN labels USING (doc_id)")
+def q_left_unread(spark, sf_dir):
+    j = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return j.select("doc_id", F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"), F.coalesce("toxic", F.lit(-1)).cast("int").alias("toxic"), F.col("quality").isNull().alias("unread"))
+
+
+@query("""SELECT a.o_orderkey AS a, b.o_orderkey AS b, abs(epoch_us(a.o_orderdate) - epoch_us(b.o_orderdate)) / 86400000000.0 AS days
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND b.o_orderdate BETWEEN a.o_orderdate - INTERVAL 7 DAY AND a.o_orderdate + INTERVAL 7 DAY""")
+def q_range_selfjoin(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    a = o.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("a"), utc("o_orderdate").alias("ta"))
+    b = o.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("b"), utc("o_orderdate").alias("tb"))
+    near = merging.within_days(a, b, "ta", "tb", 7, ["c"]).where("a < b")
+    return near.select("a", "b", (F.abs(F.unix_micros("ta") - F.unix_micros("tb")) / F.lit(86400000000.0)).alias("days"))
+
+
+RELATED_SQL = f"""{NOTICES_SQL},
+x AS (SELECT *, CASE WHEN id % 3 <> 0 THEN (id % 4)::VARCHAR END AS protocol, CASE WHEN id % 11 = 0 THEN (id // 22)::VARCHAR END AS document FROM notices),
+p AS (SELECT a.id AS a, b.id AS b, abs(epoch_us(a.published) - epoch_us(b.published)) / 86400000000.0 AS days, a.document = b.document AS same_doc,
+    a.type = b.type AND a.customer = b.customer AND a.class = b.class AS alike, a.protocol AS pa, b.protocol AS pb
+  FROM x a JOIN x b ON a.id < b.id AND (a.document = b.document OR a.customer = b.customer)),
+rel AS (SELECT a, b, CASE WHEN same_doc THEN 'stesso' WHEN NOT coalesce(alike, false) THEN NULL
+    WHEN pa IS NOT NULL AND pb IS NOT NULL THEN CASE WHEN pa = pb AND days <= 7 THEN 'stesso' END WHEN days <= 3 THEN 'possibile-duplicato' END AS relation FROM p),
+related AS (SELECT * FROM rel WHERE relation IS NOT NULL)"""
+
+
+def comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = notices(spark, sf_dir), F.col("id")
+    return n.select(
+        "id", "type", "classes", F.col("customer").cast("string").alias("town"), F.lit(None).cast("string").alias("school_code"),
+        F.when(k % 3 != 0, (k % 4).cast("string")).alias("protocol"), F.when(k % 11 == 0, F.expr("cast(id div 22 as string)")).alias("document"),
+        F.lit(None).cast("string").alias("fingerprint"), F.array("published").alias("dates"),
+    )
+
+
+def related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates meet within a customer here, as towns stand for customers."""
+    n = comparable(spark, sf_dir)
+    same = n.where("document is not null").select("id", "document")
+    docs = same.select(F.col("id").alias("a"), "document").join(same.select(F.col("id").alias("b"), "document"), "document").where("a < b").select("a", "b")
+    t = n.select("id", "town", F.get("dates", F.lit(0)).alias("t"))
+    near = merging.within_days(t.select(F.col("id").alias("a"), "town", F.col("t").alias("ta")), t.select(F.col("id").alias("b"), "town", F.col("t").alias("tb")), "ta", "tb", 7, ["town"])
+    pairs = docs.unionByName(near.where("a < b").select("a", "b")).distinct()
+    left, right = (n.select(F.col("id").alias(s), F.struct(*merging.FIELDS).alias(f"_{s}")) for s in "ab")
+    one, two = ({f: F.col(f"_{s}")[f] for f in merging.FIELDS} for s in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", merging.relation(one, two).alias("relation")).where("relation is not null")
+
+
+@query(f"WITH {RELATED_SQL} SELECT * FROM related")
+def q_relation(spark, sf_dir):
+    return related(spark, sf_dir)
+
+
+@query(f"WITH {RELATED_SQL} SELECT b AS id, min(a) AS same_as FROM related WHERE relation = 'stesso' GROUP BY 1")
+def q_oldest_equal(spark, sf_dir):
+    return merging.oldest_equal(related(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {RELATED_SQL},
+e AS (SELECT a, b FROM related WHERE relation = 'stesso' UNION SELECT b, a FROM related WHERE relation = 'stesso'),
+walk(id, root) AS (SELECT id, id FROM notices UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.id)
+SELECT id, min(root) AS component FROM walk GROUP BY 1""")
+def q_components(spark, sf_dir):
+    n = comparable(spark, sf_dir).select("id")
+    return merging.components(n, related(spark, sf_dir).where("relation = 'stesso'").select("a", "b"))
+
+
+@query(f"""WITH {RELATED_SQL}, bridge AS (SELECT id, published, customer FROM notices)
+SELECT r.a, r.b FROM related r JOIN bridge x ON r.a = x.id JOIN bridge y ON r.b = y.id WHERE NOT (x.customer = y.customer AND x.published = y.published)""")
+def q_possible_duplicates(spark, sf_dir):
+    bridge = notices(spark, sf_dir).select("id", F.concat_ws("/", "customer", "published").alias("publication"))
+    return merging.possible_duplicates(related(spark, sf_dir), bridge)
+
+
+@query("""SELECT coalesce(o.o_orderkey, n.k) AS id, CASE WHEN o.o_orderkey IS NULL THEN 'new' WHEN n.k IS NULL THEN 'removed' WHEN o.p = n.p AND o.s = n.s THEN 'unchanged' ELSE 'updated' END AS status
+FROM (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 4 <> 0) o
+FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderpriority END AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 <> 0) n ON o.o_orderkey = n.k""")
+def q_upsert_status(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+    read = o.where("id % 5 <> 0").withColumn("p", F.when(F.col("id") % 7 == 0, "X").otherwise(F.col("p")))
+    return upserts.statuses(o.where("id % 4 <> 0"), read, ["id"], ["p", "s"])
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 THEN 'X' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 4 <> 0 OR o_orderkey % 5 <> 0""")
+def q_upsert_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"))
+    read = o.where("id % 5 <> 0").withColumn("p", F.when(F.col("id") % 7 == 0, "X").otherwise(F.col("p")))
+    return upserts.upserted(o.where("id % 4 <> 0"), read, ["id"])
+
+
+@query("""WITH s AS (SELECT l_orderkey AS publication, l_partkey * 10 + l_linenumber AS notice, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey::VARCHAR END AS document FROM lineitem WHERE l_linenumber <= 4),
+e AS (SELECT l_orderkey AS publication, l_linenumber AS place, CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey::VARCHAR END AS document FROM lineitem),
+s1 AS (SELECT publication, document, min(notice) AS notice FROM s WHERE document IS NOT NULL GROUP BY 1, 2), e1 AS (SELECT publication, document, min(place) AS place FROM e WHERE document IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT e1.publication, e1.place, s1.notice FROM e1 JOIN s1 USING (publication, document)),
+f AS (SELECT publication, notice, row_number() OVER (PARTITION BY publication ORDER BY notice) AS k FROM s WHERE (publication, notice) NOT IN (SELECT publication, notice FROM x)),
+r AS (SELECT publication, place, row_number() OVER (PARTITION BY publication ORDER BY place) AS k FROM e WHERE (publication, place) NOT IN (SELECT publication, place FROM x))
+SELECT * FROM x UNION ALL SELECT r.publication, r.place, f.notice FROM r LEFT JOIN f USING (publication, k)""")
+def q_link_by_document(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    supplier = F.col("l_suppkey").cast("string")
+    stored = li.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("publication"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("notice"), F.when(F.col("l_linenumber") % 2 == 0, supplier).alias("document"))
+    extracted = li.select(F.col("l_orderkey").alias("publication"), F.col("l_linenumber").alias("place"), F.when(F.col("l_linenumber") % 3 != 0, supplier).alias("document"))
+    return upserts.links_by_document_then_order(stored, extracted)
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------
+
+FINGERPRINT_SQL = r"lower(trim(regexp_replace(regexp_replace(text, '_{3,}', ' ', 'g'), '\s+', ' ', 'g')))"
+
+
+@query(f"SELECT doc_id, CASE WHEN length({FINGERPRINT_SQL}) >= 200 THEN sha256({FINGERPRINT_SQL}) END AS fingerprint, sha256(text) AS content FROM documents")
+def q_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"), text.content_hash(F.col("text").cast("binary")).alias("content"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, source, coalesce(CASE WHEN length({FINGERPRINT_SQL}) >= 200 THEN sha256({FINGERPRINT_SQL}) END, doc_id::VARCHAR) AS k FROM documents)
+SELECT source, k, min(doc_id) AS doc_id FROM f GROUP BY 1, 2""")
+def q_dedup_first(spark, sf_dir):
+    f = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(text.fingerprint(F.col("text")), F.col("doc_id").cast("string")).alias("k"))
+    return upserts.first_per_group(f, ["source", "k"], ["doc_id"])
+
+
+def _entities_sql(column: str) -> str:
+    out = column
+    for name, char in P.ENTITIES.items():
+        out = f"replace({out}, '&{name};', '{chr(0xFDD0) if name == 'amp' else char.replace(chr(39), chr(39) * 2)}')"
+    return f"replace({out}, '{chr(0xFDD0)}', '&')"
+
+
+@query(
+    "SELECT page_id, trim(regexp_replace(translate("
+    + _entities_sql("regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]+>', '', 'g')")
+    + ", '‘’`´“”«»″–—‐‑', '''''''''\"\"\"\"\"----'), '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}]+', ' ', 'g')) AS clean FROM pages"
+)
+def q_clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("clean"))
+
+
+@query("""WITH h AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS host, regexp_extract_all(html, '(?i)href="([^"]*)"', 1) AS hs FROM pages),
+u AS (SELECT page_id, list_filter(list_transform(hs, lambda x: CASE WHEN regexp_matches(x, '(?i)^https?://') THEN x WHEN x LIKE '/%' THEN host || x ELSE '' END), lambda x: x <> '') AS us FROM h),
+x AS (SELECT page_id, unnest(us) AS url, unnest(range(1, len(us) + 1)) AS k FROM u), d AS (SELECT page_id, url, min(k) AS k FROM x GROUP BY 1, 2)
+SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY k) AS place FROM d""")
+def q_links(spark, sf_dir):
+    from noticeloom.sources.posts import resolved_links
+
+    links = table(spark, sf_dir, "pages").select("page_id", F.posexplode(resolved_links(F.col("html"), F.col("url"))).alias("p", "url"))
+    return links.select("page_id", "url", (F.col("p") + 1).cast("long").alias("place"))
+
+
+@query("SELECT doc_id, lower(strip_accents(text)) AS folded, trim(regexp_replace(lower(strip_accents(text)), '[^a-z]+', ' ', 'g')) AS key FROM documents")
+def q_fold(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"), text.name_key(F.col("text")).alias("key"))
+
+
+@query()
+def q_codes(spark, sf_dir):
+    found = codes.classes(F.upper("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found["codes"], ",").alias("classes"), F.array_join(found["inferred"], ",").alias("inferred"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, lower(strip_accents(text)) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'annull|revoc|ritir') THEN 'annullamento' WHEN regexp_matches(t, 'rettific|errata corrige|^\W*(\w+ )?integrazione|integrazione (a|al|all|alla|dell)\b') THEN 'rettifica'
+  WHEN regexp_matches(t, '^\W*(proroga|riapertura)|prorogat[oa] al|riapertura (dei )?termin|proroga (della )?scadenza') THEN 'riapertura' WHEN regexp_matches(t, '\besito\b|individuat[oa] |decreto di (individuazione|nomina)') THEN 'esito' ELSE 'interpello' END AS type,
+  CASE WHEN regexp_matches(t, '\bata\b|dsga|direttore dei servizi|d\.s\.g\.a|collaborator[ei] scolastic|assistent[ei] (amministrativ|tecnic)|personale ata') THEN 'ata-dsga'
+  WHEN regexp_matches(t, 'pnrr|esperto|tutor|progettist|collaudator|psicolog|figur[ae] di sistema|educator') THEN 'altro' ELSE 'docente' END AS staff FROM t""")
+def q_classify(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", codes.notice_type(F.col("text")).alias("type"), codes.staff(F.col("text")).alias("staff"))
+
+
+@query(r"""WITH t AS (SELECT page_id, url || ' prot. n. 00' || page_id || '/2026 del 0' || (page_id % 9 + 1) || '/02/2026, ' || (page_id % 30) || ' ore fino al 1' || (page_id % 10) || '.06.2026' AS t FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(regexp_extract(t, '(?i)prot(?:ocollo)?\.?\s*(?:n\.?\s*)?(\d[\d/.]*\d|\d)', 1), '/(?:19|20)\d{2}$', ''), '^0+(\d)', '\1') AS number,
+  nullif(regexp_extract(t, '(?i)prot(?:ocollo)?\.?\s*(?:n\.?\s*)?(\d[\d/.]*\d|\d)(?:[^\d]{0,25}?del\s*(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}))?', 2), '') AS date,
+  try_cast(nullif(regexp_extract(t, '(?i)(\d{1,2})\s*(?:h\b|ore)', 1), '') AS INT) AS hours, nullif(regexp_extract(t, '(?i)(?:fino al|al)\s*(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4})', 1), '') AS until FROM t""")
+def q_protocol(spark, sf_dir):
+    k = F.col("page_id")
+    said = F.concat("url", F.lit(" prot. n. 00"), k, F.lit("/2026 del 0"), k % 9 + 1, F.lit("/02/2026, "), k % 30, F.lit(" ore fino al 1"), k % 10, F.lit(".06.2026"))
+    t = table(spark, sf_dir, "pages").select("page_id", said.alias("t"))
+    p = codes.protocol(F.array("t"))
+    return t.select("page_id", codes.protocol_number(p["number"]).alias("number"), p["date"].alias("date"), codes.hours(F.col("t")).alias("hours"), codes.until(F.col("t")).alias("until"))
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN source END, lang) AS type, CASE WHEN quality = 1 AND source <> lang THEN 'type:' || lang || '>' || source ELSE '' END AS disagreements
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def q_precedence_merge(spark, sf_dir):
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+
+    def record(kind, named: bool):
+        fields = {"type": kind, "staff": none, "classes": empty, "inferred": empty, "school": none, "school_code": none, "town": none, "province": none, "province_from": none, "protocol": none, "protocol_date": none, "deadline": F.lit(None).cast("timestamp")}
+        more = {"referred_protocol": none, "hours": F.lit(None).cast("int"), "until": none} if named else {"subject": none}
+        return F.struct(*(c.alias(n) for n, c in (fields | more).items()))
+
+    j = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    both = j.select("doc_id", record(F.col("lang"), True).alias("head"), record(F.when(F.col("quality") == 1, F.col("source")), False).alias("doc"))
+    out = extraction.merged(both)
+    listed = F.transform("disagreements", lambda d: F.concat(d["field"], F.lit(":"), d["heading"], F.lit(">"), d["document"]))
+    return out.select("doc_id", "merged.type", F.array_join(listed, ";").alias("disagreements"))
+
+
+# --- times ---------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT event_id, timezone('Europe/Rome', timezone('UTC', ts)) AS r FROM events)
+SELECT event_id, strftime(r, '%Y-%m-%d') AS rome_day, strftime(r, '%d/%m') AS short_day, date_diff('day', DATE '2024-01-01', r::DATE)::INT AS days, strftime(r, '%Y-%m-%d %H:%M') AS minute FROM r""")
+def q_rome_day(spark, sf_dir):
+    t = F.col("published")
+    return events(spark, sf_dir).select(
+        F.col("id").alias("event_id"), times.rome_day(t).cast("string").alias("rome_day"), times.short_day(t).alias("short_day"),
+        times.days_between(F.lit("2024-01-01").cast("date"), times.rome_day(t)).alias("days"), times.italian_minute(t).alias("minute"),
+    )
+
+
+@query("""WITH w AS (SELECT o_orderkey AS id, o_orderdate::DATE + (o_orderkey % 40)::INT AS d, (o_orderkey * 977) % 86400 AS s FROM orders)
+SELECT id, strftime(timezone('UTC', timezone('Europe/Rome', d::TIMESTAMP + to_seconds(s))), '%Y-%m-%d %H:%M:%S') AS instant FROM w
+WHERE NOT (month(d) = 3 AND day(d) >= 25 AND isodow(d) = 7 AND s BETWEEN 7200 AND 10799)""")
+def q_rome_instant(spark, sf_dir):
+    k = F.col("o_orderkey")
+    w = table(spark, sf_dir, "orders").select(k.alias("id"), F.date_add(F.to_date("o_orderdate"), (k % 40).cast("int")).alias("d"), ((k * 977) % 86400).alias("s"))
+    # the hour that a spring day skips has no instant of its own, and engines differ there
+    skipped = (F.month("d") == 3) & (F.dayofmonth("d") >= 25) & (F.dayofweek("d") == 1) & F.col("s").between(7200, 10799)
+    return w.where(~skipped).select("id", day(times.rome_instant(F.col("d"), F.col("s"))).alias("instant"))
+
+
+@query()
+def q_deadline(spark, sf_dir):
+    from noticeloom.functions.places import deadline
+
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), utc("o_orderdate").alias("published"))
+    said = F.concat(F.lit("Candidature entro le ore "), F.col("id") % 24, F.lit(":30 del "), F.date_format(F.date_add("published", (F.col("id") % 60).cast("int")), "dd/MM/yyyy"))
+    return t.select("id", day(deadline(said, F.col("published"))).alias("deadline"))
+
+
+# --- preferences, matching, digests --------------------------------------------------------------------------------
+
+
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = recipients(spark, sf_dir)
+    rows = digest.preference_rows(r.select("recipient", F.col("classes").alias("classe"), F.when(F.col("recipient") % 4 == 0, F.array(F.lit("all"), F.lit("gone"))).otherwise(F.array().cast("array<string>")).alias("gruppo"), F.col("provinces").alias("provincia")))
+    return rows
+
+
+@query("""SELECT c_nationkey AS recipient, array_to_string(coalesce(list(c_mktsegment ORDER BY c_mktsegment) FILTER (WHERE c_custkey % 3 = 0), []), ',') AS classe,
+array_to_string(coalesce(list(c_mktsegment ORDER BY c_mktsegment) FILTER (WHERE c_custkey % 3 = 1), []), ',') AS gruppo, array_to_string(coalesce(list(c_mktsegment ORDER BY c_mktsegment) FILTER (WHERE c_custkey % 3 = 2), []), ',') AS provincia FROM customer GROUP BY 1""")
+def q_eav_pivot(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    kinds = F.array(F.lit("classe"), F.lit("gruppo"), F.lit("provincia"))
+    rows = c.select(F.col("c_nationkey").alias("recipient"), F.get(kinds, (F.col("c_custkey") % 3).cast("int")).alias("kind"), F.col("c_mktsegment").alias("value"))
+    p = digest.preferences_by_kind(rows)
+    return p.select("recipient", *(F.array_join(k, ",").alias(k) for k in ("classe", "gruppo", "provincia")))
+
+
+@query(f"""WITH {RECIPIENTS_SQL} SELECT recipient, class FROM (SELECT recipient, c1 AS class FROM recipients UNION SELECT recipient, c2 FROM recipients
+UNION SELECT recipient, r_name FROM recipients, region WHERE recipient % 4 = 0)""")
+def q_expand_groups(spark, sf_dir):
+    groups = table(spark, sf_dir, "region").select(F.lit("all").alias("name"), F.col("r_name").alias("class"))
+    return digest.expanded_classes(wanted(spark, sf_dir), groups)
+
+
+@query(f"""WITH {RECIPIENTS_SQL}, known AS (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderpriority <> '2-HIGH'),
+c AS (SELECT recipient, unnest([c1, c2]) AS v FROM recipients), n AS (SELECT DISTINCT recipient, regexp_replace(upper(v), '[\\s-]', '', 'g') AS v FROM c),
+k AS (SELECT regexp_replace(upper(v), '[\\s-]', '', 'g') AS v FROM known), pr AS (SELECT recipient, unnest([p1, p2]) AS v FROM recipients)
+SELECT recipient, 'Classe di concorso sconosciuta: "' || v || '"' AS problem FROM n WHERE v NOT IN (SELECT v FROM k)
+UNION ALL SELECT recipient, 'Gruppo di classi sconosciuto: "gone"' FROM recipients WHERE recipient % 4 = 0
+UNION ALL SELECT recipient, 'Provincia non valida: "' || v || '"' FROM pr WHERE v NOT IN (SELECT n_nationkey::VARCHAR FROM nation WHERE n_nationkey < 20)
+UNION ALL SELECT s_suppkey, 'indirizzo non valido' FROM supplier WHERE s_suppkey % 9 = 0 UNION ALL SELECT s_suppkey, 'indirizzo ripetuto' FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 2 = 0""")
+def q_pref_problems(spark, sf_dir):
+    known = table(spark, sf_dir, "orders").select(codes.class_code(F.col("o_orderpriority")).alias("value")).distinct().where("value <> '2HIGH'")
+    provinces = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("value"))
+    found = digest.preference_problems(wanted(spark, sf_dir), known, spark.createDataFrame([("ALL",)], "value string"), provinces)
+    k = F.col("s_suppkey")
+    mail = F.when(k % 9 == 0, F.concat(F.lit("nobody "), k)).when(k % 2 == 0, F.when(k % 4 == 0, "Same@Example.org").otherwise("same@example.org")).otherwise(F.concat(F.lit("s"), k, F.lit("@example.org")))
+    return found.unionByName(digest.email_problems(table(spark, sf_dir, "supplier").select(k.alias("recipient"), mail.alias("email"))))
+
+
+@query(f"""WITH {NOTICES_SQL} SELECT id, coalesce(deadline > TIMESTAMP '1999-06-01', published >= TIMESTAMP '1999-06-01' - INTERVAL 7 DAY) AS is_open,
+published >= TIMESTAMP '1999-05-01' - INTERVAL 3 DAY AND coalesce(deadline > TIMESTAMP '1999-05-02', published >= TIMESTAMP '1999-05-02' - INTERVAL 7 DAY) AS later FROM notices""")
+def q_open_now(spark, sf_dir):
+    d, p = F.col("deadline"), F.col("published")
+    later = digest.admitted(now("1999-05-02 00:00:00"), now("1999-05-01 00:00:00"), d, p, now())
+    return notices(spark, sf_dir).select("id", digest.open_at(d, p, now()).alias("is_open"), later.alias("later"))
+
+
+@query(f"""WITH {NOTICES_SQL}, {RECIPIENTS_SQL} SELECT recipient, id, coalesce(class, '') AS wanted_classes, concat_ws('; ', CASE WHEN class IS NULL THEN 'classe di concorso non specificata' END,
+  CASE WHEN province IS NULL THEN 'provincia non specificata' END, CASE WHEN unreadable THEN 'documento non leggibile' END) AS missing
+FROM notices JOIN recipients ON (class IS NULL OR class IN (c1, c2)) AND (province IS NULL OR province IN (p1, p2)) WHERE staff = 'docente'""")
+def q_match(spark, sf_dir):
+    m = digest.matches(notices(spark, sf_dir), recipients(spark, sf_dir).select("recipient", "classes", "provinces"))
+    return m.select("recipient", "id", F.array_join("wanted_classes", ",").alias("wanted_classes"), F.array_join("missing", "; ").alias("missing"))
+
+
+def digest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("recipient"), F.col("l_orderkey").alias("id"))
+    return digest.digest(notices(spark, sf_dir), recipients(spark, sf_dir).where("active"), sent, now())
+
+
+RANKS_SQL = """dense_rank() OVER (PARTITION BY {key} ORDER BY class IS NULL, section_size DESC, class)::INT AS section_rank, entry_rank::INT AS entry_rank"""
+SIZES_SQL = """count(*) OVER (PARTITION BY {key}, class) AS section_size,
+  row_number() OVER (PARTITION BY {key}, class ORDER BY deadline ASC NULLS LAST, CASE WHEN deadline IS NULL THEN published END NULLS FIRST, id) AS entry_rank"""
+
+
+@query(f"""WITH {DIGEST_SQL}, sized AS (SELECT *, {SIZES_SQL.format(key="recipient")} FROM entries)
+SELECT recipient, id, class, missing, section_size, {RANKS_SQL.format(key="recipient")} FROM sized""")
+def q_digest(spark, sf_dir):
+    return digest_entries(spark, sf_dir).select("recipient", "id", "class", F.array_join("missing", "; ").alias("missing"), "section_size", "section_rank", "entry_rank")
+
+
+@query(f"""WITH {DIGEST_SQL}, split AS (SELECT e.*, u.for_province FROM entries e, (SELECT unnest([0, 1]) AS i) x, LATERAL (SELECT CASE WHEN i = 0 THEN p1 ELSE p2 END AS for_province) u
+  WHERE e.province = u.for_province OR e.province IS NULL),
+sized AS (SELECT *, {SIZES_SQL.format(key="recipient, for_province")} FROM split)
+SELECT recipient, for_province, id, class, {RANKS_SQL.format(key="recipient, for_province")} FROM sized""")
+def q_by_province(spark, sf_dir):
+    provinces = recipients(spark, sf_dir).select("recipient", F.explode("provinces").alias("for_province"))
+    return digest.by_province(digest_entries(spark, sf_dir), provinces).select("recipient", "for_province", "id", "class", "section_rank", "entry_rank")
+
+
+@query("""WITH p AS (SELECT o_custkey AS recipient, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 5)::VARCHAR END AS province, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0),
+s AS (SELECT o_custkey AS recipient, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 5)::VARCHAR END AS province FROM orders WHERE o_orderkey % 2 = 1)
+SELECT recipient, province, id FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.recipient = p.recipient AND (s.province IS NULL OR p.province IS NULL OR s.province = p.province))""")
+def q_served(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    fifth = (k % 5).cast("string")
+    prepared = o.where(k % 2 == 0).select(F.col("o_custkey").alias("recipient"), F.when(k % 3 != 0, fifth).alias("province"), k.alias("id"))
+    served = o.where(k % 2 == 1).select(F.col("o_custkey").alias("recipient"), F.when(k % 7 != 0, fifth).alias("province"))
+    return digest.not_served(prepared, served)
+
+
+@query(f"""WITH {RECIPIENTS_SQL} SELECT recipient FROM recipients WHERE active AND recipient NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 500 = 0)
+AND recipient NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 500 = 1 AND l_linenumber = 2) AND recipient % 13 <> 0""")
+def q_alert_only(spark, sf_dir):
+    li, r = table(spark, sf_dir, "lineitem"), recipients(spark, sf_dir)
+    had = li.where("l_orderkey % 500 = 0").select(F.col("l_suppkey").alias("recipient"))
+    alerted = li.where("l_orderkey % 500 = 1 and l_linenumber = 2").select(F.col("l_suppkey").alias("recipient"))
+    return digest.alert_only_recipients(r, had, alerted, r.where("recipient % 13 = 0").select("recipient")).select("recipient")
+
+
+@query("""SELECT DISTINCT l_suppkey AS recipient, l_orderkey AS id FROM lineitem WHERE l_linenumber <= 3 AND (l_suppkey, l_orderkey) NOT IN (SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
+def q_ledger(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("recipient"), F.col("l_orderkey").alias("id"), "l_linenumber", "l_returnflag")
+    return digest.new_ledger_rows(li.where("l_linenumber <= 3").select("recipient", "id"), li.where("l_returnflag = 'A'"))
+
+
+# --- rendering -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+def q_escape_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
+
+
+@query(f"""WITH {DIGEST_SQL}, g AS (SELECT recipient, class, count(*) AS n FROM entries GROUP BY 1, 2)
+SELECT recipient, 'Interpelli: ' || sum(n)::BIGINT || CASE WHEN sum(n) = 1 THEN ' nuovo' ELSE ' nuovi' END || coalesce(' (' || string_agg(class, ', ' ORDER BY n DESC, class) FILTER (WHERE class IS NOT NULL) || ')', '') || ' · 1 giu 1999' AS subject FROM g GROUP BY 1""")
+def q_render_subject(spark, sf_dir):
+    sized = digest_entries(spark, sf_dir).select("recipient", "class", "section_rank").groupBy("recipient", "class", "section_rank").agg(F.count("*").alias("n"))
+    nested = sized.groupBy("recipient").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("section_rank", "class"))).alias("s"))
+    named = F.transform(F.filter("s", lambda x: x["class"].isNotNull()), lambda x: x["class"])
+    return nested.select("recipient", rendering.subject(F.col("n"), named, F.lit(None).cast("string"), F.lit("1999-06-01").cast("date")).alias("subject"))
+
+
+@query(f"""WITH {NOTICES_SQL} SELECT id, '• ' || CASE WHEN type <> 'interpello' THEN '[' || upper(type) || '] ' ELSE '' END || 'Scuola ' || id || coalesce(' — provincia di ' || province, '') || chr(10) || '  '
+  || coalesce(class || ' · ', '') || CASE WHEN deadline IS NULL THEN 'scadenza non indicata' ELSE 'scade il ' || strftime(timezone('Europe/Rome', timezone('UTC', deadline)), '%d/%m alle %H:%M') END
+  || chr(10) || '  Pubblicato ' || strftime(timezone('Europe/Rome', timezone('UTC', published)), '%d/%m') || chr(10) || '  Documento: https://example.org/' || id AS entry FROM notices""")
+def q_render_entry(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    e = {
+        "type": F.col("type"), "school": F.concat(F.lit("Scuola "), "id"), "town": none, "province": F.col("province"), "classes": F.col("classes"), "hours": F.lit(None).cast("int"),
+        "deadline": F.col("deadline"), "until": none, "missing": F.array().cast("array<string>"), "published": F.col("published"),
+        "links": F.array(F.struct(F.lit("Documento").alias("label"), F.concat(F.lit("https://example.org/"), "id").alias("url")), F.struct(F.lit("x").alias("label"), F.lit("javascript:x").alias("url"))),
+        "duplicates": F.array().cast("array<struct<source:string,published:timestamp,url:string,sent:boolean>>"),
+    }
+    return notices(spark, sf_dir).select("id", F.array_join(rendering.entry_lines(e), "\n").alias("entry"))
+
+
+@query()
+def q_render_digest(spark, sf_dir):
+    """Whole messages: subject, text and HTML of every recipient's digest."""
+    none = F.lit(None).cast("string")
+    entries = digest_entries(spark, sf_dir).select(
+        "*", none.alias("school"), none.alias("town"), F.lit(None).cast("int").alias("hours"), none.alias("until"),
+        F.array(F.struct(F.lit("Documento").alias("label"), F.concat(F.lit("https://example.org/"), "id").alias("url"))).alias("links"),
+        F.array().cast("array<struct<source:string,published:timestamp,url:string,sent:boolean>>").alias("duplicates"),
+    )
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("class"), F.concat(F.lit("Classe "), "o_orderpriority").alias("name")).distinct()
+    alerts = F.array(F.struct(F.lit("silenzio").alias("kind"), F.lit("A & B: nessuna pubblicazione").alias("text")))
+    return rendering.rendered(entries, ["recipient"], F.lit("1999-06-01").cast("date"), now(), F.array(F.lit("A"), F.lit("B")), alerts, names)
+
+
+# --- sources -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id::VARCHAR AS key, url, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) <> '' AS has_heading, '2026-09-24 08:00:' || right('0' || (page_id % 60)::VARCHAR, 2) AS published FROM pages""")
+def q_rest_source(spark, sf_dir):
+    """Pages as the bodies of a REST listing, ten posts a response, read back as publications."""
+    from noticeloom.sources import posts
+
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    seconds = F.lpad((k % 60).cast("string"), 2, "0")
+    post = F.struct(k.alias("id"), F.concat(F.lit("2026-09-24T08:00:"), seconds).alias("date_gmt"), F.col("url").alias("link"), F.struct(F.col("html").alias("rendered")).alias("title"), F.struct(F.col("html").alias("rendered")).alias("content"))
+    bodies = p.select((k / 10).cast("long").alias("n"), post.alias("post")).groupBy("n").agg(F.to_json(F.collect_list("post")).alias("body"))
+    read = posts.publications(posts.posts_of(bodies))
+    return read.select("key", "url", (F.col("heading") != "").alias("has_heading"), day("published").alias("published"))
+
+
+@query()
+def q_html_source(spark, sf_dir):
+    """Pages with an item for each line of a listing, parsed, keyed and without exact repeats."""
+    from noticeloom.sources import listing
+
+    k = F.col("page_id")
+    head = F.regexp_extract("html", "(?i)<title>(.*?)</title>", 1)
+    item = lambda n, h: F.concat(F.lit("<div><h2>"), h, F.lit("</h2></div><p>"), k % 28 + 1, F.lit(f" Settembre 2026 ore 10:{n}|</p><p><a href='/d/"), k, F.lit(".pdf'>Prot. n. "), k, F.lit("</a></p>"))
+    pages_ = table(spark, sf_dir, "pages").select(F.col("url").alias("page"), F.concat(item(20, head), item(10, F.concat(F.lit("A011 "), head)), item(10, F.concat(F.lit("A011 "), head))).alias("html"))
+    return listing.keyed(listing.items_of_pages(pages_)).select("page", "key", "heading", day("published").alias("published"))
+
+
+@query()
+def q_archive(spark, sf_dir):
+    """Documents in archives, one in an archive inside, flattened again."""
+    from noticeloom.sources import archives
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = d.groupBy((F.col("doc_id") / 20).cast("long").alias("archive")).applyInPandas(archives.pack_texts, "archive long, content binary")
+    parts = archives.parts(packed, "archive", "content")
+    return parts.select("archive", "name", text.body_format(F.col("content")).alias("format"), text.content_hash(F.col("content")).alias("hash"), F.octet_length("content").alias("bytes"))
+
+
+@query()
+def q_known_place(spark, sf_dir):
+    """Towns from a made gazetteer of nations in headings of orders."""
+    from noticeloom.functions.places import Gazetteer, place
+
+    names = F.array(*map(F.lit, ("Lecce", "Ostuni", "Matera", "Bitonto", "San Severo", "Alberobello")))
+    towns = table(spark, sf_dir, "nation").select(
+        F.concat(F.get(names, F.col("n_nationkey") % 6), F.when(F.col("n_nationkey") >= 6, F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, ("Marina", "Vecchia", "Alta", "Terme"))), (F.col("n_nationkey") / 6).cast("int")))).otherwise("")).alias("italian"),
+        F.chr(F.lit(65) + F.col("n_regionkey")).alias("c"),
+    ).select(F.col("italian").alias("names"), "italian", F.concat(F.lit("Provincia "), "c").alias("province_name"), F.concat("c", F.lit("X")).alias("province"))
+    gazetteer = Gazetteer(towns)
+    n, k = notices(spark, sf_dir), F.col("id")
+    heading = F.concat(F.lit("Interpello A011 Liceo Statale di "), F.get(names, (k % 6).cast("int")), F.when(k % 2 == 0, F.concat(F.lit(" ("), F.chr(65 + k % 5), F.lit("X)"))).otherwise(F.lit(" Marina")))
+    return n.select("id", place(gazetteer, heading).alias("p")).select("id", "p.town", "p.province", "p.province_from", "p.school", "p.ambiguous")
