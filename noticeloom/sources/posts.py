@@ -82,13 +82,6 @@ class PostReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options, self.after = options, options.get("after")
 
-    def pushFilters(self, filters):  # noqa: N802
-        """A lower bound of the date goes into the request; Spark still applies the filter itself."""
-        for f in filters:
-            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("date_gmt",):
-                self.after = str(f.value)
-            yield f
-
     def partitions(self):
         return [HostPartition(self.options["api"])]
 
@@ -108,8 +101,20 @@ class PostReader(DataSourceReader):
             pages, page = int(answer.headers.get("x-wp-totalpages", page)), page + 1
 
 
+class PushingPostReader(PostReader):
+    """For sessions with ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        """A lower bound of the date goes into the request; Spark still applies the filter itself."""
+        for f in filters:
+            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("date_gmt",):
+                self.after = str(f.value)
+            yield f
+
+
 class PostSource(DataSource):
-    """``spark.read.format("posts").option("api", ...)``; options ``search, categories, perPage, after`` and ``replay`` (a file of recorded responses)."""
+    """``spark.read.format("posts").option("api", ...)``; options ``search, categories, perPage, after``, ``pushdown`` (true: a
+    lower bound of the date in a filter goes into the request) and ``replay`` (a file of recorded responses)."""
 
     @classmethod
     def name(cls) -> str:
@@ -129,4 +134,4 @@ class PostSource(DataSource):
             problems.append("perPage must be from 1 to 100")
         if problems:
             raise ValueError("; ".join(problems))
-        return PostReader(dict(o))
+        return (PushingPostReader if o.get("pushdown") == "true" else PostReader)(dict(o))
