@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The temporary folder of this process, once one is needed.
+_OWN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,11 +24,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
     Only where the cluster names none (local tests) a temporary folder of this process is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="noticeloom-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="noticeloom-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        base = _OWN[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
