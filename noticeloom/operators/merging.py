@@ -79,8 +79,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     Each round takes the least label among neighbours and then the label of that label, so that chains halve; labels are
     checkpointed where the session names a folder for it, which cuts the lineage. Ends when no label changes.
     """
-    spark = nodes.sparkSession
-    cut = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None) is not None
+    cut = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
 
     def kept(df: DataFrame) -> DataFrame:
         return df.checkpoint() if cut else df.persist()

@@ -1,10 +1,11 @@
 """Every registered query of the engine on the given tables, and the SQL that each must agree with.
 
-Queries return scalar columns only. The session's time zone has to be UTC.
+Queries return scalar columns only. Each sets the session's time zone to UTC, as the tables' clocks are UTC.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,10 +22,15 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
-        return f
+        return run
 
     return register
 
