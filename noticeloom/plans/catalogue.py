@@ -362,13 +362,17 @@ def q_rome_instant(spark, sf_dir):
     return w.where(~skipped).select("id", day(times.rome_instant(F.col("d"), F.col("s"))).alias("instant"))
 
 
-@query()
+@query("""WITH w AS (SELECT o_orderkey AS id, o_orderdate::DATE + (o_orderkey % 60)::INT AS d, o_orderkey % 24 AS h FROM orders)
+SELECT id, strftime(timezone('UTC', timezone('Europe/Rome', d::TIMESTAMP + to_seconds(h * 3600 + 1800))), '%Y-%m-%d %H:%M:%S') AS deadline FROM w
+WHERE NOT (month(d) = 3 AND day(d) >= 25 AND isodow(d) = 7 AND h = 2)""")
 def q_deadline(spark, sf_dir):
     from noticeloom.functions.places import deadline
 
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), utc("o_orderdate").alias("published"))
     said = F.concat(F.lit("Candidature entro le ore "), F.col("id") % 24, F.lit(":30 del "), F.date_format(F.date_add("published", (F.col("id") % 60).cast("int")), "dd/MM/yyyy"))
-    return t.select("id", day(deadline(said, F.col("published"))).alias("deadline"))
+    on, hour = F.date_add("published", (F.col("id") % 60).cast("int")), F.col("id") % 24
+    skipped = (F.month(on) == 3) & (F.dayofmonth(on) >= 25) & (F.dayofweek(on) == 1) & (hour == 2)  # as in q_rome_instant
+    return t.where(~skipped).select("id", day(deadline(said, F.col("published"))).alias("deadline"))
 
 
 # --- preferences, matching, digests --------------------------------------------------------------------------------
@@ -541,7 +545,9 @@ def q_rest_source(spark, sf_dir):
     return read.select("key", "url", (F.col("heading") != "").alias("has_heading"), day("published").alias("published"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, url, replace(trim(regexp_replace(regexp_extract(html, '(?i)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS h, regexp_extract(url, '^https?://[^/?#]+') || '/d/' || page_id || '.pdf' AS d, '2026-09-' || right('0' || (page_id % 28 + 1), 2) AS day FROM pages)
+SELECT url AS page, 'impronta:' || substr(sha256(h || chr(10) || day || 'T08:20:00.000Z'), 1, 32) AS key, h AS heading, day || ' 08:20:00' AS published FROM p
+UNION ALL SELECT url, d, 'A011 ' || h, day || ' 08:10:00' FROM p""")
 def q_html_source(spark, sf_dir):
     """Pages with an item for each line of a listing, parsed, keyed and without exact repeats."""
     from noticeloom.sources import listing
@@ -553,7 +559,8 @@ def q_html_source(spark, sf_dir):
     return listing.keyed(listing.items_of_pages(pages_)).select("page", "key", "heading", day("published").alias("published"))
 
 
-@query()
+@query("""SELECT doc_id // 20 AS archive, CASE WHEN doc_id = max(doc_id) OVER (PARTITION BY doc_id // 20) THEN 'inner.zip/' ELSE '' END || doc_id || '.bin' AS name,
+'sconosciuto' AS format, sha256(text) AS hash, strlen(text)::BIGINT AS bytes FROM documents""")
 def q_archive(spark, sf_dir):
     """Documents in archives, one in an archive inside, flattened again."""
     from noticeloom.sources import archives
@@ -561,7 +568,7 @@ def q_archive(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = d.groupBy((F.col("doc_id") / 20).cast("long").alias("archive")).applyInPandas(archives.pack_texts, "archive long, content binary")
     parts = archives.parts(packed, "archive", "content")
-    return parts.select("archive", "name", text.body_format(F.col("content")).alias("format"), text.content_hash(F.col("content")).alias("hash"), F.octet_length("content").alias("bytes"))
+    return parts.select("archive", "name", text.body_format(F.col("content")).alias("format"), text.content_hash(F.col("content")).alias("hash"), F.octet_length("content").cast("long").alias("bytes"))
 
 
 @query()
