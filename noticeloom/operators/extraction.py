@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom import settings
@@ -179,3 +179,19 @@ def merged(records: DataFrame, head: str = "head", doc: str = "doc") -> DataFram
         F.coalesce(d["deadline"], h["deadline"]).alias("deadline"),
     )
     return records.withColumn("merged", out).withColumn("disagreements", disagreements)
+
+
+def one_per_subject(documents: DataFrame) -> DataFrame:
+    """Of documents of a publication with the same school and subject the first; it takes a later copy's protocol if it has none.
+
+    ``publication, place, hash, doc``. Repeats of one body count once.
+    """
+    body = Window.partitionBy("publication", "hash").orderBy("place")
+    once = documents.withColumn("_b", F.row_number().over(body)).where("_b = 1").drop("_b")
+    marked = once.withColumn("_school", F.lower(F.coalesce("doc.school", F.lit("")))).withColumn("_subject", fold(one_line(F.col("doc.subject"))))
+    group = Window.partitionBy("publication", "_school", "_subject").orderBy("place")
+    later = F.first(F.when(F.col("doc.protocol").isNotNull(), F.struct("doc.protocol", "doc.protocol_date")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = marked.withColumn("_k", F.row_number().over(group)).withColumn("_p", later).where("_k = 1")
+    own = F.col("doc.protocol").isNotNull()
+    doc = F.col("doc").withField("protocol", F.coalesce("doc.protocol", "_p.protocol")).withField("protocol_date", F.when(own, F.col("doc.protocol_date")).otherwise(F.col("_p.protocol_date")))
+    return ranked.withColumn("doc", doc).drop("_school", "_subject", "_k", "_p")

@@ -34,7 +34,7 @@ def notices_of(publications: DataFrame, documents: DataFrame, gazetteer: Gazette
     named = documents.join(base.select("publication", "published"), "publication")
     read = extraction.document_record(named.where("text is not null"), gazetteer)
     calls = read.where(extraction.is_notice(F.col("doc.subject"), F.col("url")))
-    once = upserts.first_per_group(calls.withColumn("_subject", F.lower(F.col("doc.subject"))), ["publication", "doc.school", "_subject"], ["place"])
+    once = extraction.one_per_subject(calls)
     both = extraction.merged(once.select("publication", "hash", "text", "doc", "place").join(base, "publication"))
     of_documents = both.select("publication", "published", F.col("hash").alias("document"), fingerprint(F.col("text")).alias("fingerprint"), F.lit(False).alias("unread"), F.lit(False).alias("unreadable"), "disagreements", *(F.col(f"merged.{f}").alias(f) for f in HEAD_FIELDS))
     state = documents.groupBy("publication").agg(F.bool_or(F.col("hash").isNull()).alias("unread"), F.bool_or(F.col("error").isNotNull() & F.col("hash").isNotNull()).alias("unreadable"))
