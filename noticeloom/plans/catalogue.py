@@ -215,22 +215,23 @@ def q_possible_duplicates(spark, sf_dir):
 
 
 @query("""SELECT coalesce(o.o_orderkey, n.k) AS id, CASE WHEN o.o_orderkey IS NULL THEN 'new' WHEN n.k IS NULL THEN 'removed' WHEN o.p = n.p AND o.s = n.s THEN 'unchanged' ELSE 'updated' END AS status
-FROM (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 4 <> 0) o
-FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderpriority END AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 <> 0) n ON o.o_orderkey = n.k""")
+FROM (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'O') o
+FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderpriority END AS p, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'P') n ON o.o_orderkey = n.k""")
 def q_upsert_status(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
-    read = o.where("id % 5 <> 0").withColumn("p", F.when(F.col("id") % 7 == 0, "X").otherwise(F.col("p")))
-    return upserts.statuses(o.where("id % 4 <> 0"), read, ["id"], ["p", "s"])
+    """Stored: orders that were not open; read: orders that are not pending, dear ones with another priority."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), "o_totalprice")
+    read = o.where("s <> 'P'").withColumn("p", F.when(F.col("o_totalprice") > 300000, "X").otherwise(F.col("p")))
+    return upserts.statuses(o.where("s <> 'O'"), read, ["id"], ["p", "s"])
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 THEN 'X' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 4 <> 0 OR o_orderkey % 5 <> 0""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' AND o_totalprice > 300000 THEN 'X' ELSE o_orderpriority END AS p FROM orders""")
 def q_upsert_rows(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"))
-    read = o.where("id % 5 <> 0").withColumn("p", F.when(F.col("id") % 7 == 0, "X").otherwise(F.col("p")))
-    return upserts.upserted(o.where("id % 4 <> 0"), read, ["id"])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), "o_totalprice")
+    read = o.where("s <> 'P'").withColumn("p", F.when(F.col("o_totalprice") > 300000, "X").otherwise(F.col("p")))
+    return upserts.upserted(o.where("s <> 'O'").select("id", "p"), read.select("id", "p"), ["id"])
 
 
-@query("""WITH s AS (SELECT l_orderkey AS publication, l_partkey * 10 + l_linenumber AS notice, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey::VARCHAR END AS document FROM lineitem WHERE l_linenumber <= 4),
+@query("""WITH s AS (SELECT l_orderkey AS publication, l_partkey * 10 + l_linenumber AS notice, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey::VARCHAR END AS document FROM lineitem WHERE l_returnflag <> 'N'),
 e AS (SELECT l_orderkey AS publication, l_linenumber AS place, CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey::VARCHAR END AS document FROM lineitem),
 s1 AS (SELECT publication, document, min(notice) AS notice FROM s WHERE document IS NOT NULL GROUP BY 1, 2), e1 AS (SELECT publication, document, min(place) AS place FROM e WHERE document IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT e1.publication, e1.place, s1.notice FROM e1 JOIN s1 USING (publication, document)),
@@ -240,7 +241,7 @@ SELECT * FROM x UNION ALL SELECT r.publication, r.place, f.notice FROM r LEFT JO
 def q_link_by_document(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     supplier = F.col("l_suppkey").cast("string")
-    stored = li.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("publication"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("notice"), F.when(F.col("l_linenumber") % 2 == 0, supplier).alias("document"))
+    stored = li.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("publication"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("notice"), F.when(F.col("l_linenumber") % 2 == 0, supplier).alias("document"))
     extracted = li.select(F.col("l_orderkey").alias("publication"), F.col("l_linenumber").alias("place"), F.when(F.col("l_linenumber") % 3 != 0, supplier).alias("document"))
     return upserts.links_by_document_then_order(stored, extracted)
 
@@ -458,30 +459,31 @@ def q_by_province(spark, sf_dir):
     return digest.by_province(digest_entries(spark, sf_dir), provinces).select("recipient", "for_province", "id", "class", "section_rank", "entry_rank")
 
 
-@query("""WITH p AS (SELECT o_custkey AS recipient, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 5)::VARCHAR END AS province, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0),
-s AS (SELECT o_custkey AS recipient, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 5)::VARCHAR END AS province FROM orders WHERE o_orderkey % 2 = 1)
+@query("""WITH p AS (SELECT o_custkey AS recipient, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 5)::VARCHAR END AS province, o_orderkey AS id FROM orders WHERE o_orderstatus = 'O'),
+s AS (SELECT o_custkey AS recipient, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 5)::VARCHAR END AS province FROM orders WHERE o_orderstatus = 'F')
 SELECT recipient, province, id FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.recipient = p.recipient AND (s.province IS NULL OR p.province IS NULL OR s.province = p.province))""")
 def q_served(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     fifth = (k % 5).cast("string")
-    prepared = o.where(k % 2 == 0).select(F.col("o_custkey").alias("recipient"), F.when(k % 3 != 0, fifth).alias("province"), k.alias("id"))
-    served = o.where(k % 2 == 1).select(F.col("o_custkey").alias("recipient"), F.when(k % 7 != 0, fifth).alias("province"))
+    prepared = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("recipient"), F.when(k % 3 != 0, fifth).alias("province"), k.alias("id"))
+    served = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("recipient"), F.when(k % 7 != 0, fifth).alias("province"))
     return digest.not_served(prepared, served)
 
 
-@query(f"""WITH {RECIPIENTS_SQL} SELECT recipient FROM recipients WHERE active AND recipient NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 500 = 0)
-AND recipient NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 500 = 1 AND l_linenumber = 2) AND recipient % 13 <> 0""")
+@query(f"""WITH {RECIPIENTS_SQL} SELECT recipient FROM recipients JOIN supplier ON s_suppkey = recipient WHERE active AND s_acctbal >= 0
+AND recipient NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate::DATE = DATE '1998-06-01') AND recipient NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate::DATE = DATE '1998-06-02')""")
 def q_alert_only(spark, sf_dir):
-    li, r = table(spark, sf_dir, "lineitem"), recipients(spark, sf_dir)
-    had = li.where("l_orderkey % 500 = 0").select(F.col("l_suppkey").alias("recipient"))
-    alerted = li.where("l_orderkey % 500 = 1 and l_linenumber = 2").select(F.col("l_suppkey").alias("recipient"))
-    return digest.alert_only_recipients(r, had, alerted, r.where("recipient % 13 = 0").select("recipient")).select("recipient")
+    """Digests and alerts of the day: lines shipped on one day and on the next; excluded: suppliers in debt."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("recipient"), F.to_date("l_shipdate").alias("day"))
+    debt = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("recipient"))
+    had, alerted = (li.where(F.col("day") == F.lit(d).cast("date")).select("recipient") for d in ("1998-06-01", "1998-06-02"))
+    return digest.alert_only_recipients(recipients(spark, sf_dir), had, alerted, debt).select("recipient")
 
 
-@query("""SELECT DISTINCT l_suppkey AS recipient, l_orderkey AS id FROM lineitem WHERE l_linenumber <= 3 AND (l_suppkey, l_orderkey) NOT IN (SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
+@query("""SELECT DISTINCT l_suppkey AS recipient, l_orderkey AS id FROM lineitem WHERE (l_suppkey, l_orderkey) NOT IN (SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
 def q_ledger(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("recipient"), F.col("l_orderkey").alias("id"), "l_linenumber", "l_returnflag")
-    return digest.new_ledger_rows(li.where("l_linenumber <= 3").select("recipient", "id"), li.where("l_returnflag = 'A'"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("recipient"), F.col("l_orderkey").alias("id"), "l_returnflag")
+    return digest.new_ledger_rows(li.select("recipient", "id"), li.where("l_returnflag = 'A'"))
 
 
 # --- rendering -----------------------------------------------------------------------------------------------------
