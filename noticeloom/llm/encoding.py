@@ -1,19 +1,21 @@
 """Byte-level BPE over whole texts with the tokenizers library, with a memory of words.
 
 Byte-level BPE never merges across the words that its pattern cuts, so a text's ids are those of its words in a row. The
-library encodes each new word once in a task and the ids of known words are put together; texts repeat most words. The
-result equals encoding the whole text (tests compare them).
+library's model encodes each new word once in a task and the ids of known words are put together; texts repeat most
+words. The result equals encoding the whole text (tests compare them).
 """
 
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
 import numpy as np
 import regex
 
-#: Words and stretches that a task remembers at most, each; beyond it starts over.
-MOST_REMEMBERED = 250_000
+#: Words that a task remembers at most, in each of two memories; beyond it they start over.
+MOST_REMEMBERED = 600_000
 
 
 def default_path() -> str:
@@ -22,6 +24,27 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible Latin-1 for themselves, others from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Memory(dict):
+    """Makes a value when it is first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= MOST_REMEMBERED:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """Texts to ids as bytes of little-endian unsigned integers of ``width`` bytes."""
 
@@ -30,41 +53,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         #: Fixed value: the word pattern of this family of byte-level vocabularies.
-        self.pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+        self.cut = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
         self.type = np.dtype(f"<u{width}")
-        self.words: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
-
-    def _stretches(self, text: str) -> list[str]:
-        """The text cut before each space that stands between two non-spaces: there a word always starts."""
-        parts = text.split(" ")
-        out, current, solid = [], [parts[0]], parts[0] != "" and not parts[0][-1].isspace()
-        for p in parts[1:]:
-            if solid and p and not p[0].isspace():
-                out.append("".join(current))
-                current = [" " + p]
-            else:
-                current.append(" " + p)
-            solid = p != "" and not p[-1].isspace()
-        out.append("".join(current))
-        return out
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.code = {2: "H", 4: "I"}[width]
+        self.words = Memory(self._word)
+        #: What follows a space that starts a word, to the ids of both; None if there is white space beside the space, where
+        #: it may be no start of a word.
+        self.after_space = Memory(self._after)
+
+    def _word(self, word: str) -> bytes:
+        if word[0] == " " and word.isascii() and word[1:].isalpha():
+            shown = self.characters[32] + word[1:]
+        else:
+            shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
+        ids = array(self.code, [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _after(self, rest: str) -> bytes | None:
+        if rest.isalpha():
+            return self._word(" " + rest)
+        return None if not rest or rest[0].isspace() or rest[-1].isspace() else self._cut(" " + rest)
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.cut(text)))
+
+    def encode_one(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if not rest:
+            return self._cut(text)
+        last = rest.pop()
+        if last and not last[0].isspace() and not first[-1:].isspace():
+            try:
+                return self._cut(first) + b"".join(map(self.after_space.__getitem__, rest)) + self._cut(" " + last)
+            except TypeError:  # a None among them
+                pass
+        return self._cut(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._stretches(t) if t else [] for t in texts]
-        new = list({s for c in cut for s in c}.difference(self.stretches))
-        if len(self.stretches) + len(new) > MOST_REMEMBERED:
-            self.stretches, self.words = {}, {}
-            new = list({s for c in cut for s in c})
-        words = [self.pattern.findall(s) for s in new]
-        unknown = list({w for ws in words for w in ws}.difference(self.words))
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, self.type).tobytes()
-        for s, ws in zip(new, words, strict=True):
-            self.stretches[s] = b"".join(map(self.words.__getitem__, ws))
-        known = self.stretches.__getitem__
-        return [b"".join(map(known, c)) for c in cut]
+        return [self.encode_one(t) for t in texts]
 
     def byte_lengths(self) -> np.ndarray:
         """Bytes of each id: in a byte-level vocabulary every character stands for a byte."""

@@ -61,9 +61,9 @@ class WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         planes, order = [], ids
         for shift in range(bits - 1, -1, -1):
-            ones = (order >> shift & 1).astype(bool)
+            ones = order & order.dtype.type(1 << shift) != 0
             planes.append(Plane.of(ones))
-            order = np.concatenate((order[~ones], order[ones]))
+            order = np.concatenate((np.compress(~ones, order), np.compress(ones, order)))
         return cls(planes, len(ids))
 
     def access(self, i: int) -> int:
@@ -84,7 +84,10 @@ class WaveletMatrix:
         return begin, end
 
     def count(self, token: int, begin: int = 0, end: int | None = None) -> int:
-        a, b = self._range(token, begin, self.n if end is None else end)
+        end = self.n if end is None else min(end, self.n)
+        if begin >= end:
+            return 0
+        a, b = self._range(token, begin, end)
         return b - a
 
     def occurrence(self, token: int, k: int) -> int:
@@ -103,10 +106,10 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level].packed, count=self.n).astype(bool)
+            ones = np.unpackbits(self.planes[level].packed, count=self.n).view(bool)
             out, z = np.empty(self.n, kind), self.zeros[level]
-            out[~ones] = values[:z]
-            out[ones] = values[z:] | kind(1 << (len(self.planes) - 1 - level))
+            out[np.flatnonzero(~ones)] = values[:z]
+            out[np.flatnonzero(ones)] = values[z:] | kind(1 << (len(self.planes) - 1 - level))
             values = out
         return values
 

@@ -166,8 +166,8 @@ def test_op8_contract(spark, sf):
         assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 8, zlib.crc32(raw), "key") and r["shard"] == python_shard(d["doc_id"], dict.fromkeys(range(24), 1.0))
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 50_256), max_size=400), st.integers(0, 50_256))
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(0, 50_256), max_size=120), st.integers(0, 50_256))
 def test_wavelet_matrix(ids, other):
     a = np.array(ids, np.uint16)
     f = TokenFile(to_bytes(a, np.array([5]), np.array([len(a)]), 0, 0))
@@ -190,7 +190,7 @@ def test_wavelet_matrix_across_rank_steps():
 ALPHABET = st.text(st.sampled_from(list(" \n\t\r\x1c\x85  aAéß日😀0١²_'.!<|>")) | st.characters(codec="utf-8"), max_size=60)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(ALPHABET, min_size=1, max_size=5))
 def test_word_memory_equals_whole_encoding(texts):
     from tokenizers import Tokenizer
