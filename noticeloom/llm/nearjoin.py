@@ -6,13 +6,15 @@
 3. Matching starts from whole labels in every tree and shortens prefixes, one tree by one level at a time: always where
    the count of further candidate pairs, taken from the sorted tries, is least for the recall gained. It ends when a
    pair of exactly the threshold is found with the target probability; more similar pairs are found more often.
-4. Nodes of several classes give candidates. Signatures, a byte a value, leave out pairs far below the threshold. The
-   rest only has to connect: a block of a node emits a spanning forest, never all its pairs.
+4. Nodes of several classes give candidates. Signatures, a byte a value, leave out pairs far below the threshold. Small
+   nodes, mostly the same in many trees, give their few pairs once; in large nodes the rest only has to connect: a block
+   emits a spanning forest, never all its pairs.
 5. Inside each connected group of candidates *all* pairs are verified exactly, in blocks of classes against blocks. Links
    are counted in the task, so that the rows that Spark moves grow with classes, not with pairs.
 
-The join returns a row for each document: ``class_id``, ``n_links`` (documents other than this one with a similarity of at
-least the threshold, copies included) and ``cluster_id`` (least id of the connected documents).
+The join returns a row for each document: ``class_id`` (the least id of the documents that links connect with it),
+``n_links`` (documents other than this one with a similarity of at least the threshold, copies included) and ``words_id``
+(the least id of those with the same words).
 
 Defined results: null and empty texts, and texts without a word, link to nothing and are each a class of their own;
 texts of fewer words than a shingle are one shingle; rows that repeat a ``doc_id`` count as documents of one class if
@@ -39,6 +41,8 @@ TREES, DEPTH, LEAST_DEPTH, TARGET = 16, 8, 3, 0.998
 LEAST_AGREEMENT = 0.62
 #: Classes in a block of candidates and of exact verification.
 BLOCK, VERIFY = 512, 128
+#: Nodes of so many classes at most give their pairs as rows, at most 28 a node; larger ones are worked on in blocks.
+SMALL = 8
 
 SIGNED = "doc_id long, key binary, sig binary"
 
@@ -112,6 +116,12 @@ def _connect(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(spanning(like, ids, others), columns=["a", "b"], dtype="int64")
 
 
+def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        left, right = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("ta", "tb"))
+        yield batch.loc[(left == right).mean(axis=1) >= LEAST_AGREEMENT, ["a", "b"]] if len(batch) else batch[["a", "b"]]
+
+
 def _verifier(width: int, threshold: float):
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         """Exact similarities in a block of a group of candidates, or between two: links of each class, and a spanning forest."""
@@ -154,7 +164,7 @@ def in_blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """``doc_id, text`` to ``doc_id, class_id, n_links, cluster_id``; see the module."""
+    """``doc_id, text`` to ``doc_id, class_id, n_links, words_id``; see the module."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     texts = docs.select("doc_id", "text")
@@ -169,24 +179,32 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = T
     depths = shortened({(r["tree"], r["depth"]): r["pairs"] for r in costs.groupBy("tree", "depth").agg(F.sum("pairs").alias("pairs")).collect()}, threshold, target)
     depth = F.get(F.array(*map(F.lit, depths)), F.col("tree"))
     nodes = trie.select("id", "tree", F.xxhash64(F.col("label").substr(F.lit(1), depth * 4)).alias("node"))
-    shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("m")).where("m > 1")
     members = written(nodes.join(shared, ["tree", "node"]), "join-members")
     # a byte of each value is enough to tell likely pairs
     tags = firsts.select("id", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1)), lambda k: F.hex(F.col("sig").substr(k * 4 + 4, F.lit(1)))), "")).alias("tags"))
-    tagged = in_blocks(members, ["tree", "node"], BLOCK).join(tags, "id")
-    candidates = tagged.groupBy("tree", "node", "i", "j").applyInPandas(_connect, "a long, b long")
+    tags = written(tags.join(members.select("id").distinct(), "id"), "join-tags")
+    few = members.where(F.col("m") <= SMALL).groupBy("tree", "node").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    pairs = few.select("ids", F.posexplode("ids").alias("at", "a")).select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b")).distinct()
+    told = pairs.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = in_blocks(members.where(F.col("m") > SMALL).select("id", "tree", "node"), ["tree", "node"], BLOCK).join(tags, "id")
+    # so many tasks whatever the size in bytes: the work is in comparing
+    connected = many.repartition(parts, "tree", "node", "i", "j").groupBy("tree", "node", "i", "j").applyInPandas(_connect, "a long, b long")
+    candidates = told.mapInPandas(_likely, "a long, b long").unionByName(connected)
     groups = components(candidates, "join-candidates")
     chosen = written(groups.join(classes.select("id", "copies"), "id"), "join-groups")
     bodies = texts.withColumnRenamed("doc_id", "id")
     blocks = in_blocks(chosen.select("component", "id", "copies"), ["component"], VERIFY)
     held = chosen.select("id").join(bodies, "id").groupBy("id").agg(F.min("text").alias("text"))
-    verified = written(blocks.join(held, "id").groupBy("component", "i", "j").applyInPandas(_verifier(width, threshold), "a long, b long, links long"), "join-verified")
+    dealt = blocks.join(held, "id").repartition(parts, "component", "i", "j")
+    verified = written(dealt.groupBy("component", "i", "j").applyInPandas(_verifier(width, threshold), "a long, b long, links long"), "join-verified")
     clusters = components(verified.where("b is not null").select("a", "b"), "join-clusters")
     links = verified.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     told = classes.join(links, "id", "left").join(clusters, "id", "left")
-    told = told.select("key", F.col("id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("cluster_id"))
+    told = told.select("key", F.col("id").alias("words_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("class_id"))
     out = signed.select("doc_id", "key").join(told, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("cluster_id", "doc_id").alias("cluster_id"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("words_id", "doc_id").alias("words_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -195,7 +213,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     Of equal rows one stays. Rows with a null ``doc_id`` stay.
     """
     joined = written(ngram_jaccard_join(docs), "join-result")
-    gone = joined.where("doc_id <> cluster_id").select("doc_id").distinct()
+    gone = joined.where("doc_id <> class_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
