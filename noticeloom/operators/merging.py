@@ -73,24 +73,24 @@ def oldest_equal(pairs: DataFrame) -> DataFrame:
     return pairs.where("relation = 'stesso'").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("same_as"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows computed once: checkpointed where the session has a folder for it, else cached. Long plans are cut here."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``id`` and ``a, b`` to ``id, component``: the least id connected with it.
 
     Each round takes the least label among neighbours and then the label of that label, so that chains halve; labels are
     checkpointed where the session names a folder for it, which cuts the lineage. Ends when no label changes.
     """
-    cut = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
-
-    def kept(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if cut else df.persist()
-
-    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = kept(nodes.select("id", F.col("id").alias("component")))
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = settled(nodes.select("id", F.col("id").alias("component")))
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         least = labels.join(seen, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("now"))
         jumped = least.join(labels.select(F.col("id").alias("now"), F.col("component").alias("far")), "now", "left")
-        after = kept(jumped.select("id", F.least("now", F.coalesce("far", "now")).alias("component"), F.col("component").alias("before")))
+        after = settled(jumped.select("id", F.least("now", F.coalesce("far", "now")).alias("component"), F.col("component").alias("before")))
         changed = not after.where("component <> before").isEmpty()
         labels = after.select("id", "component")
         if not changed:
