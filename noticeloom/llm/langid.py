@@ -41,6 +41,10 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 DIMENSIONS, ORDERS = 2048, 3
 PER_LANGUAGE, MOST_ROWS = 500, 20_000
 STEEPNESS = 4.0
+#: A text is held against texts cut to the largest of these numbers of letters that it reaches.
+LETTERS = (1, 8, 16, 32, 64, 128)
+#: Recognised is what lies at least this far from a coin toss (0) to the margin that this part of the held-out rows miss (1).
+SHARE, MISSED = 0.5, 0.01
 LANGUAGE = "lang_pred string, score double"
 
 
@@ -135,6 +139,15 @@ def predicted(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
     return out.tolist(), score
 
 
+def margins(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Predicted languages, and how far each score lies from tossing a coin at each step (0) to certainty (1)."""
+    names, score = predicted(model, x)
+    step = 0.5 if len(model["families"]["names"]) > 1 else 1.0
+    coins = {c: step * (0.5 if len(inner["names"]) > 1 else 1.0) for inner in model["languages"].values() for c in inner["names"]}
+    coin = np.array([coins[c] for c in names], np.float64)
+    return names, np.where(coin < 1, (score - coin) / np.where(coin < 1, 1 - coin, 1), 1.0)
+
+
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     featurizer = Featurizer()
     for batch in batches:
@@ -146,12 +159,11 @@ def held_out_column() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> dict | None:
-    """A model from a bounded sample of the labelled documents outside the held-out third; None if there are none."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column())
+def _sample(usable: DataFrame, per_language: int, most_rows: int) -> tuple[DataFrame | None, int]:
+    """``place, lang, text`` of about as many rows a language as the second value says; None if there are none."""
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows).collect()}
     if not counts:
-        return None
+        return None, 0
     each = max(1, min(per_language, most_rows // len(counts)))
     # a few more than needed, as the hash decides for each row alone; the driver keeps the least hashes
     place = (F.xxhash64("doc_id") / F.lit(2.0**64)) + 0.5
@@ -161,7 +173,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST
             share = F.when(F.col("lang") == lang, 1.5 * each / n).otherwise(share)
         else:
             share = F.when(F.col("lang") == lang, 1.0).otherwise(share)
-    rows = usable.select(place.alias("place"), "lang", "text").where(F.col("place") <= share)
+    return usable.select(place.alias("place"), "lang", "text").where(F.col("place") <= share), each
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> dict | None:
+    """A model from a bounded sample of the labelled documents outside the held-out third; None if there are none."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column())
+    rows, each = _sample(usable, per_language, most_rows)
+    if rows is None:
+        return None
     found: dict[str, list] = {}
     for r in rows.mapInPandas(_vectors, "place double, lang string, vector binary").toLocalIterator():
         found.setdefault(r["lang"], []).append((r["place"], bytes(r["vector"])))
@@ -189,6 +209,57 @@ def language(model: dict | None, text: Column) -> Column:
     return F.pandas_udf(run, LANGUAGE)(text)
 
 
+def first_letters(text: str, n: int) -> str | None:
+    """A text up to its n-th letter; None if it has fewer."""
+    for at, c in enumerate(text):
+        n -= c.isalpha()
+        if not n:
+            return text[: at + 1]
+    return None
+
+
+def least_margins(docs: DataFrame, model: dict | None, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> dict[int, float]:
+    """The least margin of a recognised text by its number of letters (``LETTERS``), from a bounded sample of held-out rows.
+
+    The sample's texts are cut to each number of letters; of the margins of right predictions the first percentile counts,
+    and the least is ``SHARE`` of it. A number that no held-out text reaches has the least of the number before; without
+    held-out rows the least is a coin toss.
+    """
+    rows = _sample(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out_column()), per_language, most_rows)[0] if model else None
+    if rows is None:
+        return dict.fromkeys(LETTERS, 0.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        featurizer = Featurizer()
+        for batch in batches:
+            cuts = [(lang, n, v) for lang, t in zip(batch["lang"], batch["text"], strict=True) for n in LETTERS if (c := first_letters(t, n)) and (v := featurizer.vector(c)) is not None]
+            names, margin = margins(model, np.array([v for *_, v in cuts])) if cuts else ([], [])
+            yield pd.DataFrame([(n, round(float(m), 4)) for (lang, n, _), name, m in zip(cuts, names, margin, strict=True) if name == lang], columns=["letters", "margin"])
+
+    missed = rows.mapInPandas(run, "letters int, margin double").groupBy("letters").agg(F.percentile("margin", F.lit(MISSED)).alias("margin"))
+    found, out, last = {r["letters"]: r["margin"] for r in missed.collect()}, {}, 0.0
+    for n in LETTERS:
+        last = out[n] = SHARE * found[n] if n in found else last
+    return out
+
+
+def recognised(model: dict | None, least: dict[int, float], text: Column) -> Column:
+    """Whether a text has a letter and a margin of at least what its number of letters asks for."""
+    bounds, values = np.array(sorted(least)), np.array([least[n] for n in sorted(least)])
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        featurizer = Featurizer()
+        for batch in batches:
+            out = np.zeros(len(batch), bool)
+            vectors = [(i, np.count_nonzero(featurizer.codes(t)), v) for i, t in enumerate(batch) if model and (v := featurizer.vector(t)) is not None]
+            if vectors:
+                places = np.searchsorted(bounds, [n for _, n, _ in vectors], side="right") - 1
+                out[[i for i, *_ in vectors]] = margins(model, np.array([v for *_, v in vectors]))[1] >= values[places]
+            yield pd.Series(out)
+
+    return F.pandas_udf(run, "boolean")(text)
+
+
 def identified(docs: DataFrame, model: dict | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document."""
     return docs.select("doc_id", held_out_column().alias("held_out"), language(model, F.col("text")).alias("x")).select("doc_id", "held_out", "x.*")

@@ -40,6 +40,24 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.identified(one.where("text is not null"), langid.fit(one)).collect()} == {"en"}
 
 
+def test_unrecognised_texts_go_and_clean_ones_stay(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    junk = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(500)) for _ in range(40)]
+    junk += [" ".join("".join(rnd.choice("абвгдежзиклмнопрст") for _ in range(rnd.randint(2, 9))) for _ in range(60)) for _ in range(40)]
+    given_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in given_.collect()] + [(100_000 + i, t, None, "s", len(t)) for i, t in enumerate(junk)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, given_.schema), "").collect()}
+    held = {r["doc_id"] for r in given_.where(langid.held_out_column()).collect()}
+    assert sum(i in kept for i in held) >= 0.995 * len(held) and sum(i in kept for i in (r[0] for r in rows[:-80])) >= 0.995 * (len(rows) - 80)
+    assert sum(100_000 + i not in kept for i in range(80)) > 75
+    short = [r for r in rows[:-80] if r[1] and len(r[1]) < 60]
+    assert short and sum(r[0] in kept for r in short) >= 0.98 * len(short)
+    least = langid.least_margins(given_, langid.fit(given_))
+    assert min(least.values()) > 0 and least[128] > least[8] and set(langid.least_margins(given_, None).values()) == {0.0}
+
+
 # --- attribution ---------------------------------------------------------------------------------------------------
 
 
