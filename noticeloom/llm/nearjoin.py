@@ -1,6 +1,7 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
 
-1. Documents with the same words are one class; its least ``doc_id`` stands for it from here on.
+1. Documents with the same words are one class; a 64-bit hash of the words' key names it from here on, and only the result
+   maps it to its least ``doc_id``. Ids that repeat with different texts so lose no class.
 2. Each class gets a MinHash signature over its word shingles. The signature is cut into trees of ``DEPTH`` values: a
    tree is a prefix trie, kept as rows sorted by signature, and a node is a prefix that several classes share.
 3. Matching starts from whole labels in every tree and shortens prefixes, one tree by one level at a time: always where
@@ -17,9 +18,9 @@ The join returns a row for each document: ``class_id`` (the least id of the docu
 (the least id of those with the same words).
 
 Defined results: null and empty texts, and texts without a word, link to nothing and are each a class of their own;
-texts of fewer words than a shingle are one shingle; rows that repeat a ``doc_id`` count as documents of one class if
-their words are equal, and of a ``doc_id`` with different texts only one text is compared; a null ``doc_id`` comes back
-with a null class and no links; further columns are ignored.
+texts of fewer words than a shingle are one shingle; rows that repeat a ``doc_id`` are documents of their own, each with
+its own text; a null ``doc_id`` takes part in nothing, and comes back with what its words' class has, or null and no links;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ BLOCK, VERIFY = 512, 128
 #: Nodes of so many classes at most give their pairs as rows, at most 28 a node; larger ones are worked on in blocks.
 SMALL = 8
 
-SIGNED = "doc_id long, key binary, sig binary"
+SIGNED = "doc_id long, text_hash long, key binary, sig binary"
 
 
 def _signer(width: int):
@@ -56,7 +57,7 @@ def _signer(width: int):
                 words = words_of(text)
                 keys.append(text_key(words) if words else None)
                 sigs.append(hasher.signature(shingler.shingles(words)).astype(">u4").tobytes() if words else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "sig": sigs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "key": keys, "sig": sigs})
 
     return run
 
@@ -145,7 +146,8 @@ def _verifier(width: int, threshold: float):
                 rows += [(i, None, int(n)) for i, n in zip(ids, linked @ other_sizes, strict=True)]
                 rows += [(j, None, int(n)) for j, n in zip(others, sizes @ linked, strict=True)]
             rows += [(i, j, 0) for i, j in spanning(linked, ids, others)]
-        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype({"a": "int64", "b": "Int64", "links": "int64"})
+        # built by column: a column of ids and None would pass through floats, which do not hold 64 bits
+        return pd.DataFrame({"a": pd.array([r[0] for r in rows], "int64"), "b": pd.array([r[1] for r in rows], "Int64"), "links": pd.array([r[2] for r in rows], "int64")})
 
     return verify
 
@@ -163,16 +165,17 @@ def in_blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
     )
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """``doc_id, text`` to ``doc_id, class_id, n_links, words_id``; see the module."""
+def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """The result of the join, with the hash of each row's text and ``component``, which names a group of linked classes."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signed = written(texts.mapInPandas(_signer(width), SIGNED), "join-signed")
-    named = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    classes = written(named.groupBy("id").agg(F.min(F.struct("key", "copies")).alias("x")).select("x.*", "id"), "join-classes")
+    usable = signed.where("key is not null and doc_id is not null")
+    named = usable.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
+    classes = written(named.select("key", "copies", F.xxhash64("key").alias("id"), "first.*"), "join-classes")
     # one signature a class
-    firsts = classes.join(signed.select("key", F.col("doc_id").alias("id"), "sig"), ["key", "id"]).dropDuplicates(["key"])
+    firsts = classes.select("id", "key", "doc_id", "text_hash").join(signed.select("key", "doc_id", "text_hash", "sig"), ["key", "doc_id", "text_hash"]).dropDuplicates(["key"])
     labels = firsts.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.col("sig").substr(t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "label"))
     trie = written(labels.repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label"), "join-trie")
     costs = labels.select("tree", "label").repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label").mapInPandas(_trie_costs, "tree int, depth int, pairs double")
@@ -193,18 +196,27 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = T
     connected = many.repartition(parts, "tree", "node", "i", "j").groupBy("tree", "node", "i", "j").applyInPandas(_connect, "a long, b long")
     candidates = told.mapInPandas(_likely, "a long, b long").unionByName(connected)
     groups = components(candidates, "join-candidates")
-    chosen = written(groups.join(classes.select("id", "copies"), "id"), "join-groups")
-    bodies = texts.withColumnRenamed("doc_id", "id")
+    chosen = written(groups.join(classes.select("id", "copies", "doc_id", "text_hash"), "id"), "join-groups")
     blocks = in_blocks(chosen.select("component", "id", "copies"), ["component"], VERIFY)
-    held = chosen.select("id").join(bodies, "id").groupBy("id").agg(F.min("text").alias("text"))
+    held = chosen.select("id", "doc_id", "text_hash").join(texts, ["doc_id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text"))
     dealt = blocks.join(held, "id").repartition(parts, "component", "i", "j")
     verified = written(dealt.groupBy("component", "i", "j").applyInPandas(_verifier(width, threshold), "a long, b long, links long"), "join-verified")
     clusters = components(verified.where("b is not null").select("a", "b"), "join-clusters")
     links = verified.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    told = classes.join(links, "id", "left").join(clusters, "id", "left")
-    told = told.select("key", F.col("id").alias("words_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("class_id"))
-    out = signed.select("doc_id", "key").join(told, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("words_id", "doc_id").alias("words_id"))
+    least = clusters.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    told = classes.join(links, "id", "left").join(clusters, "id", "left").join(least, "component", "left")
+    told = told.select(
+        "key", F.col("doc_id").alias("words_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("component", "id").alias("component")
+    )
+    out = signed.select("doc_id", "text_hash", "key").join(told, "key", "left")
+    return out.select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("words_id", "doc_id").alias("words_id"), "text_hash", "component"
+    )
+
+
+def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """``doc_id, text`` to ``doc_id, class_id, n_links, words_id``; see the module."""
+    return _joined(docs, width, threshold, target).drop("text_hash", "component")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -212,7 +224,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
     Of equal rows one stays. Rows with a null ``doc_id`` stay.
     """
-    joined = written(ngram_jaccard_join(docs), "join-result")
+    joined = written(_joined(docs), "join-result")
     gone = joined.where("doc_id <> class_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -254,6 +254,18 @@ def test_join_edges(spark):
     assert nearjoin.ngram_jaccard_join(df.limit(0)).count() == 0 and nearjoin.one_of_each_group(df.limit(0)).count() == 0
 
 
+def test_join_with_ids_that_repeat_with_different_texts(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    one, two, other = (" ".join(rnd.choice(words) for _ in range(120)) for _ in range(3))
+    for a, b in ((one, two), (two, one)):
+        rows = [(1, a), (1, b), (50, b), (51, b), (52, b + " tail"), (53, a + " tail"), (2, other)]
+        got = sorted(tuple(r) for r in nearjoin.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == [(1, 1, 1, 1), (1, 1, 3, 1), (2, 2, 0, 2), (50, 1, 3, 1), (51, 1, 3, 1), (52, 1, 3, 52), (53, 1, 1, 53)]
+        kept = nearjoin.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b), (2, other)])
+
+
 def test_depths_reach_the_target():
     free = nearjoin.shortened({}, 0.8, 0.998)
     assert nearjoin.recall(free, 0.8) >= 0.998 and min(free) >= nearjoin.LEAST_DEPTH
