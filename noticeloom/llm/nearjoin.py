@@ -222,18 +222,22 @@ def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = T
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents without those that a linked document of a lesser ``doc_id`` stands for, with all their columns.
 
-    Of equal rows one stays. Rows with a null ``doc_id`` stay.
+    Each row is judged by its own text. Of the rows of a group that share its least id one stays, and of equal rows one.
+    Rows with a null ``doc_id`` stay.
     """
     joined = written(_joined(docs), "join-result")
-    gone = joined.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    mark, place, group = "_text_hash", "_place", "_group"
+    while {mark, place, group} & set(docs.columns):
+        mark, place, group = mark + "_", place + "_", group + "_"
+    gone = joined.where("doc_id <> class_id").select("doc_id", F.col("text_hash").alias(mark)).distinct()
+    left = docs.withColumn(mark, F.xxhash64("text")).join(gone, ["doc_id", mark], "left_anti")
     if joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    place = "_place"
-    while place in docs.columns:
-        place += "_"
-    return left.withColumn(place, F.row_number().over(order)).where(F.col(place).eqNullSafe(1) | F.col("doc_id").isNull()).drop(place)
+        return left.select(*docs.columns)
+    of = joined.where("doc_id is not null and component is not null").select("doc_id", F.col("text_hash").alias(mark), F.col("component").alias(group)).distinct()
+    # a text without words is in no group: there rows are equal by text
+    order = Window.partitionBy("doc_id", F.col(group).isNull(), F.coalesce(group, mark)).orderBy("text")
+    numbered = left.join(of, ["doc_id", mark], "left").withColumn(place, F.row_number().over(order))
+    return numbered.where(F.col(place).eqNullSafe(1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

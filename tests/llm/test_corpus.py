@@ -266,6 +266,17 @@ def test_join_with_ids_that_repeat_with_different_texts(spark):
         assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b), (2, other)])
 
 
+def test_rows_of_a_repeated_id_go_by_their_own_text(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    one, clean, third = (" ".join(rnd.choice(words) for _ in range(120)) for _ in range(3))
+    rows = [(1, one), (5, one.upper()), (5, clean), (5, "..."), (5, "..."), (7, third), (7, third + " tail"), (7, third), (None, one), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_group", F.lit(1))
+    kept = nearjoin.one_of_each_group(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == sorted([(0, one), (0, one), (1, one), (5, "..."), (5, clean), (7, third)])
+
+
 def test_depths_reach_the_target():
     free = nearjoin.shortened({}, 0.8, 0.998)
     assert nearjoin.recall(free, 0.8) >= 0.998 and min(free) >= nearjoin.LEAST_DEPTH
