@@ -8,8 +8,9 @@ The benchmark is a stated query set and is run against all documents in blocks:
 characters of items, which bounds what is sent to the tasks; a larger benchmark takes more blocks. Documents are never
 shuffled.
 
-Defined results: null and empty texts match nothing; null and empty items are never found; an item too short for an edit
-must occur exactly; of the occurrences of an item in a document the best is reported, the first of equals; repeated rows
+Defined results: null and empty texts match nothing; null and empty items are never found; an item with a null id is
+found like any other and reported with a null ``item_id``, and items that share an id each; an item too short for an edit must
+occur exactly; of the occurrences of an item in a document the best is reported, the first of equals; repeated rows
 are reported each; further columns are ignored.
 """
 
@@ -28,6 +29,7 @@ from noticeloom.llm.common import small_arrow_batches, table
 #: Edits a character of an item.
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
+Item = tuple[int | None, str]
 FOUND = "doc_id long, item_id long, distance int, budget int, match_start int, match_end int"
 _TOKEN = re.compile(r"\S+")
 
@@ -94,26 +96,27 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = {i: (t, int(len(t) * rate)) for i, t in items}
+    def __init__(self, items: list[Item], rate: float):
+        # by place: ids may be null or repeat
+        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
         by_piece: dict[str, list[tuple[int, int]]] = {}
-        for i, (t, k) in self.items.items():
+        for at, (_, t, k) in enumerate(self.items):
             for offset, piece in pieces(t, k):
-                by_piece.setdefault(piece, []).append((i, offset))
+                by_piece.setdefault(piece, []).append((at, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in by_piece.items():
             self.automaton.add_word(piece, (len(piece), uses))
         self.automaton.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int, int, int, int]]:
         """Item, distance, budget, start and end of each item that the normal text has."""
         starts: dict[int, set[int]] = {}
         for end, (size, uses) in self.automaton.iter(text):
-            for i, offset in uses:
-                starts.setdefault(i, set()).add(end + 1 - size - offset)
+            for place, offset in uses:
+                starts.setdefault(place, set()).add(end + 1 - size - offset)
         out = []
-        for i, at in sorted(starts.items()):
-            item, k = self.items[i]
+        for place, at in sorted(starts.items()):
+            i, item, k = self.items[place]
             windows: list[list[int]] = []
             for s in sorted(at):
                 a, b = max(0, s - k), min(len(text), s + len(item) + k)
@@ -128,7 +131,7 @@ class Matcher:
         return out
 
 
-def _searcher(items: list[tuple[int, str]], rate: float):
+def _searcher(items: list[Item], rate: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(items, rate)
         for batch in batches:
@@ -137,15 +140,15 @@ def _searcher(items: list[tuple[int, str]], rate: float):
                 if text:
                     for i, distance, k, start, end in matcher.find(normal(text)):
                         rows.append((doc_id, i, distance, k, *original_span(text, start, end)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]).assign(item_id=pd.array([r[1] for r in rows], "Int64"))
 
     return run
 
 
-def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[Item]]:
     """The items in normal form, streamed through the driver a block at a time."""
     block, size = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id").toLocalIterator():
+    for row in benchmark.select("item_id", "text").where("text <> ''").distinct().orderBy("item_id", "text").toLocalIterator():
         if text := normal(row["text"]):
             if block and size + len(text) > most:
                 yield block
@@ -167,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     return found if found is not None else spark.createDataFrame([], FOUND)
 
 
-def holds_any(items: list[tuple[int, str]], rate: float, text: Column) -> Column:
+def holds_any(items: list[Item], rate: float, text: Column) -> Column:
     """Whether a text holds an item of the block."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

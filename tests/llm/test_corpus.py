@@ -191,6 +191,14 @@ def test_contamination_by_brute_force(spark):
     assert [len(b) for b in decontam.item_blocks(bench, 400)][0] < 13  # several blocks
 
 
+def test_items_without_an_id_and_with_the_same_id(spark):
+    items = [(None, "an item whose row names no id at all"), (None, "another one that has no id either"), (2**60 + 1, "one of two texts that share an id"), (2**60 + 1, "the second text beneath one id")]
+    docs = [(i, f"before {t} after") for i, (_, t) in enumerate(items)] + [(9, "nothing of the kind")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, items[0], (None, None), (None, "")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contamination(df, bench).collect()) == [(0, None), (1, None), (2, 2**60 + 1), (3, 2**60 + 1)]
+    assert [r["doc_id"] for r in decontam.decontaminated(df, bench).collect()] == [9]
+
+
 # --- the join ------------------------------------------------------------------------------------------------------
 
 
