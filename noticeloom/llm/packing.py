@@ -29,6 +29,8 @@ from noticeloom.llm.common import table
 #: Permitted lengths, in tokens of a byte-level vocabulary: a token is a byte of UTF-8.
 LENGTHS = (1024, 2048, 4096, 8192, 16384)
 GROUP = 2048
+#: Equal rows are numbered in arrays of so many.
+RUN = 4096
 PACKED = "bin_id string, bin_length int, bin_used int, position int, doc_id long, piece int, start long, length int"
 
 
@@ -97,9 +99,12 @@ def pieces(docs: DataFrame, length: Column, most: int) -> DataFrame:
 def packed(docs: DataFrame, length: Column, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
     """A row a piece: its bin, the bin's final length and contents, its position in the bin, and what it is of."""
     cut = pieces(docs, length, max(lengths))
-    # the length is part of the hash, so that rows that repeat an id are spread as far as they differ
+    # equal rows are counted and numbered, so that rows that repeat an id are spread too; long runs in steps, as a run may be a large part of all
     groups = F.greatest(F.lit(1), F.ceil(F.lit(cut.where("length > 0").count()) / group)).cast("long")
-    dealt = cut.where("length > 0").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "length"), groups))
+    counted = cut.where("length > 0").groupBy("doc_id", "piece", "start", "length").agg(F.count("*").alias("n"))
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))))
+    numbered = steps.withColumn("copy", F.explode(F.sequence(F.col("step") * RUN, F.least(F.col("n"), (F.col("step") + 1) * RUN) - 1)))
+    dealt = numbered.select("doc_id", "piece", "start", "length", F.pmod(F.xxhash64("doc_id", "piece", "length", "copy"), groups).alias("cell"))
     full = dealt.groupBy("cell").applyInPandas(_packer(tuple(lengths)), PACKED)
     none = cut.where("length = 0").select(*(F.lit(None).cast(t).alias(c) if c in ("bin_id", "bin_length", "bin_used", "position") else F.col(c) for c, t in (x.split() for x in PACKED.split(", "))))
     return full.unionByName(none)

@@ -380,6 +380,13 @@ def test_packing_keeps_everything(spark):
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))  # the same whatever the partitions
 
 
+def test_packing_deals_equal_rows_into_many_groups(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit(500).alias("n"))
+    out = packing.packed(df, F.col("n"), group=256).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in df.collect()) and {r["length"] for r in out} == {500}
+    assert max(Counter(r["bin_id"].split("-")[0] for r in out).values()) < 2 * 256
+
+
 # --- the pipeline --------------------------------------------------------------------------------------------------
 
 
