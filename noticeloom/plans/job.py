@@ -1,8 +1,11 @@
-"""The daily job over whole tables: collect, link, monitor, compose, send. ``python -m noticeloom.plans.job --help``.
+"""Parts of the daily job over whole tables. ``python -m noticeloom.plans.job --help``.
 
-State is a folder of Parquet tables. A run writes the next state beside the old one (``state-<n>``), so a run that fails
-leaves the state as it was. Sending is the only serial part: messages stream through the driver a partition at a time and
-what was accepted goes into the ledger, so a message is never recorded before it was taken.
+The command covers two parts: it extracts and links everything again from stored texts, and with ``--out`` it composes the
+day's digests as files, a dry run. It reads no source, monitors nothing, has no alerts and writes neither ledger nor digest
+rows; the operators for these exist and are not wired to it. Its digests lack links and notes on possible duplicates.
+
+State is a folder of Parquet tables. A run writes its tables to ``next`` in it and leaves the others as they were. Sending is
+the only serial part: messages stream through the driver a partition at a time, and ``send`` returns what was accepted.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ import datetime as dt
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeloom import schemas
@@ -78,7 +82,8 @@ def daily_messages(notices: DataFrame, first_seen: DataFrame, recipients: DataFr
     at, day = F.lit(now), F.to_date(F.lit(now))
     firsts = digests.groupBy("recipient").agg(F.min("sent").alias("first_digest"))
     people = recipients.where("active").join(firsts, "recipient", "left")
-    seen = notices.drop("published").join(first_seen, "id")
+    # recipients have a ``created`` of their own
+    seen = notices.drop("published", "created", "updated").join(first_seen, "id")
     entries = merging.settled(digest.digest(seen, people.select("recipient", "classes", "provinces", "created", "first_digest"), ledger.select("recipient", "id"), at))
     single = entries.join(people.where(~F.col("split")).select("recipient"), "recipient").withColumn("for_province", F.lit(None).cast("string"))
     split = digest.by_province(entries.join(people.where("split").select("recipient"), "recipient"), people.where("split").select("recipient", F.explode("provinces").alias("for_province")))
@@ -93,10 +98,11 @@ def daily_messages(notices: DataFrame, first_seen: DataFrame, recipients: DataFr
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
-    p = argparse.ArgumentParser(prog="noticeloom-job", description="Read sources, link notices, and send the day's digests.")
+    p = argparse.ArgumentParser(prog="noticeloom-job", description="Extract and link notices again from stored texts; with --out, write the day's digests as files.")
     p.add_argument("--state", required=True, help="folder of the state tables")
     p.add_argument("--towns", required=True, help="town list, separated by semicolons")
     p.add_argument("--classes", help="JSON object of class names")
+    p.add_argument("--groups", help="JSON object of class groups; needed where someone wants a group")
     p.add_argument("--out", help="folder for messages as files (a dry run: the ledger stays as it is)")
     p.add_argument("--reread", action="store_true", help="only extract everything again from stored texts")
     a = p.parse_args(argv)
@@ -105,6 +111,22 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return a
 
 
+def with_parts(attached: DataFrame, parts: DataFrame, stored: DataFrame) -> DataFrame:
+    """``publication, url, place, hash``: an archive with known parts gives way to them, in its place and their order."""
+    known = parts.join(stored.select(F.col("hash").alias("part")), "part").select(F.col("archive").alias("hash"), F.col("place").alias("part_place"), "name", "part")
+    whole = attached.join(known.select("hash").distinct(), "hash", "left_anti").select("publication", "url", "place", F.lit(0).alias("part_place"), "hash")
+    inside = attached.join(known, "hash").select("publication", F.concat("url", F.lit("#"), "name").alias("url"), "place", "part_place", F.col("part").alias("hash"))
+    order = Window.partitionBy("publication").orderBy("place", "part_place", "url")
+    return whole.unionByName(inside).withColumn("place", F.row_number().over(order) - 1).drop("part_place")
+
+
+def wanted_arrays(preferences: DataFrame, groups: DataFrame) -> DataFrame:
+    """``recipient, classes, provinces``, with the classes of wanted groups."""
+    classes = digest.expanded_classes(preferences, groups.where("class is not null")).select("recipient", F.lit("classe").alias("kind"), F.col("class").alias("value"))
+    every = preferences.where("kind <> 'classe'").select("recipient", "kind", "value").unionByName(classes)
+    return digest.preferences_by_kind(every).select("recipient", F.col("classe").alias("classes"), F.col("provincia").alias("provinces"))
+
+
 def reread(spark: SparkSession, state: str, towns: str) -> dict[str, DataFrame]:
     """Notices, announcements and possible duplicates from the stored publications and texts."""
     from noticeloom.sources.configuration import town_list
@@ -112,7 +134,13 @@ def reread(spark: SparkSession, state: str, towns: str) -> dict[str, DataFrame]:
     gazetteer = Gazetteer(town_list(spark, towns))
     publications = schemas.read_state(spark, state, "publication")
     stored = schemas.read_state(spark, state, "document")
-    attached = schemas.read_state(spark, state, "publication_document").drop("error").join(stored.select("hash", "text", "region", "following", "error"), "hash", "left")
+    try:
+        parts = schemas.read_state(spark, state, "document_part")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        parts = schemas.empty(spark, "document_part")  # a state from before archives
+    attached = with_parts(schemas.read_state(spark, state, "publication_document"), parts, stored).join(stored.select("hash", "text", "region", "following", "error"), "hash", "left")
     extracted = notices_of(publications, attached, gazetteer)
     # an id from what a notice is, not from the order of a run
     numbered = extracted.withColumn("id", F.abs(F.xxhash64("publication", F.coalesce("document", F.lit("")), F.coalesce("school", F.lit("")))))
@@ -139,7 +167,15 @@ def main(argv: list[str] | None = None) -> int:
     published = schemas.read_state(spark, a.state, "publication").select("publication", "published")
     first_seen = bridge.join(published, "publication").groupBy("id").agg(F.min("published").alias("published"))
     wanted = schemas.read_state(spark, a.state, "preference")
-    arrays = digest.preferences_by_kind(wanted).select("recipient", F.col("classe").alias("classes"), F.col("provincia").alias("provinces"))
+    groups = spark.createDataFrame([], "name string, class string")
+    if a.groups:
+        from noticeloom.sources.configuration import group_members
+
+        groups = group_members(spark, a.groups)
+    elif not wanted.where("kind = 'gruppo'").isEmpty():
+        print("job failed: recipients want groups of classes, and --groups is not given", file=sys.stderr)
+        return 1
+    arrays = wanted_arrays(wanted, groups)
     people = schemas.read_state(spark, a.state, "recipient").join(arrays, "recipient")
     names = spark.createDataFrame([], "class string, name string")
     if a.classes:

@@ -88,6 +88,30 @@ def test_job_command(spark, tmp_path):
     assert e.value.code == 2
 
 
+def test_job_command_expands_groups(spark, tmp_path):
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    spark.createDataFrame([(1, "s", "k", "u", "Interpello A022 Pisticci", now, [("https://x/a.pdf", "l")], now, now)], schemas.TABLES["publication"]).write.parquet(str(tmp_path / "publication"))
+    spark.createDataFrame([(1, "a@x.it", True, now, None, False)], schemas.TABLES["recipient"]).write.parquet(str(tmp_path / "recipient"))
+    spark.createDataFrame([(1, "gruppo", "Lettere"), (1, "provincia", "MT")], schemas.TABLES["preference"]).write.parquet(str(tmp_path / "preference"))
+    for n in ("document", "publication_document", "ledger", "digest"):
+        schemas.empty(spark, n).write.parquet(str(tmp_path / n))
+    (tmp_path / "towns.csv").write_text("\n".join([";".join(f"c{i}" for i in range(15)), ";".join(["", "", "", "", "", "Pisticci", "Pisticci", "", "", "", "", "Matera", "", "", "MT"])]))
+    (tmp_path / "groups.json").write_text(json.dumps({"Lettere": ["A022", "A012"], "Vuoto": []}))
+    command = ["--state", str(tmp_path), "--towns", str(tmp_path / "towns.csv"), "--out", str(tmp_path / "out")]
+    assert job.main(command) == 1
+    assert job.main([*command, "--groups", str(tmp_path / "groups.json")]) == 0
+    assert any("A022" in f.read_text(errors="replace") for f in (tmp_path / "out").rglob("*") if f.is_file())
+
+
+def test_archives_give_way_to_their_parts(spark):
+    now = dt.datetime(2026, 9, 3, 8)
+    attached = spark.createDataFrame([(1, "u/z.zip", 0, "z", None, now), (1, "u/b", 1, "b", None, now), (1, "u/c", 2, None, "404", now), (2, "u/y.zip", 0, "y", None, now)], schemas.TABLES["publication_document"])
+    parts = spark.createDataFrame([("z", 0, "one.pdf", "p"), ("z", 1, "two.pdf", "q"), ("y", 0, "lost.pdf", "gone")], schemas.TABLES["document_part"])
+    stored = spark.createDataFrame([(h,) for h in "zbypq"], "hash string")
+    got = sorted(tuple(r) for r in job.with_parts(attached, parts, stored).select("publication", "place", "url", "hash").collect())
+    assert got == [(1, 0, "u/z.zip#one.pdf", "p"), (1, 1, "u/z.zip#two.pdf", "q"), (1, 2, "u/b", "b"), (1, 3, "u/c", None), (2, 0, "u/y.zip", "y")]
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     for rows in ([("a", 1, "x", "2026-09-01 08:00:00")], [("a", 1, "y", "2026-09-01 08:00:00"), ("b", 2, None, "2026-09-02 08:00:00")]):
