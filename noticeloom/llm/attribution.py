@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import small_arrow_batches, table
-from noticeloom.llm.encoding import WordEncoder, default_path
+from noticeloom.llm.common import slices, table
+from noticeloom.llm.encoding import default_path, encoder
 
 COUNTED = "doc_id long, section int, start int, end int, n_tokens double, n_crossing int"
 RULES = ("majority", "first", "proportional")
@@ -97,19 +97,21 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule:
 
 def _counter(path: str, rule: str, given: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
-        lengths = encoder.byte_lengths()
-        for batch in batches:
+        coder = encoder(path)
+        lengths = coder.byte_lengths()
+        for batch in slices(batches, 2000):
             texts = batch["text"].tolist()
-            out = []
-            for k, (text, coded) in enumerate(zip(texts, encoder.encode(texts), strict=True)):
+            ids, stops = coder.encode(texts)
+            out, at = [], 0
+            for k, (text, stop) in enumerate(zip(texts, stops.tolist(), strict=True)):
                 if given:
                     listed = batch["sections"].iloc[k]
                     spans = np.array([(s["start"], s["end"]) for s in listed] if listed is not None else [], np.int64).reshape(-1, 2)
                     spans = disjoint(spans, len(text))
                 else:
                     spans = line_sections(text)
-                starts, ends = token_spans(text, np.frombuffer(coded, encoder.type), lengths)
+                starts, ends = token_spans(text, ids[at:stop], lengths)
+                at = stop
                 tokens, crossing = attribute(starts, ends, spans, rule)
                 rows = len(spans) + bool(tokens[-1])
                 number = np.arange(rows)
@@ -137,7 +139,6 @@ def attributed(docs: DataFrame, rule: str = "majority", tokenizer: str | None =
     """``doc_id, text`` and perhaps ``sections array<struct<start, end>>`` to a row a section: its span, tokens, and how many of them cross a boundary."""
     if rule not in RULES:
         raise ValueError(f"rule: one of {RULES}")
-    small_arrow_batches(docs.sparkSession)
     given = "sections" in docs.columns
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     rows = docs.select("doc_id", text, *(["sections"] if given else []))

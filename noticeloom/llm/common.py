@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the cluster names none (local tests) a temporary folder of this process is used.
+    Only a local session (tests) may name none: then a temporary folder of this process is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder: set spark.checkpoint.dir")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="noticeloom-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -40,9 +43,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the memory of a Python worker: whole texts travel in batches of so many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """The batches of a task in parts of so many rows: Spark bounds a batch by bytes, this bounds what is made of it at once."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows].reset_index(drop=True)
 
 
 def text_or_empty(column: str) -> Column:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import small_arrow_batches, table
+from noticeloom.llm.common import slices, table
 
 #: Edits a character of an item.
 RATE = 0.08
@@ -134,7 +134,7 @@ class Matcher:
 def _searcher(items: list[Item], rate: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(items, rate)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if text:
@@ -162,7 +162,6 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``doc_id, item_id, distance, budget, match_start, match_end`` (code points of the text), a row a document and item."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
     found = None
     for block in item_blocks(benchmark):
         part = docs.select("doc_id", "text").mapInPandas(_searcher(block, rate), FOUND)
@@ -175,7 +174,7 @@ def holds_any(items: list[Item], rate: float, text: Column) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(items, rate)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.map(lambda t: bool(t and matcher.find(normal(t)))).astype(bool)
 
     return F.pandas_udf(run, "boolean")(text)
@@ -183,7 +182,6 @@ def holds_any(items: list[Item], rate: float, text: Column) -> Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item, with all their columns. Each row is judged by its own text."""
-    small_arrow_batches(docs.sparkSession)
     for block in item_blocks(benchmark):
         docs = docs.where(~holds_any(block, rate, docs["text"]))
     return docs

@@ -1,21 +1,34 @@
 """Byte-level BPE over whole texts with the tokenizers library, with a memory of words.
 
 Byte-level BPE never merges across the words that its pattern cuts, so a text's ids are those of its words in a row. The
-library's model encodes each new word once in a task and the ids of known words are put together; texts repeat most
-words. The result equals encoding the whole text (tests compare them).
+library's model encodes each new word once in a worker and the ids of known words are put together; texts repeat most
+words. The result equals the library's own encoding of the whole text, added tokens of the tokenizer included (tests
+compare them). A tokenizer that cuts texts in another way, and texts that hold the string of an added token, go to the
+library whole.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
+import json
 import os
+import re
 import sys
 from array import array
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Words that a task remembers at most, in each of two memories; beyond it they start over.
-MOST_REMEMBERED = 600_000
+#: Words that a worker remembers at most; beyond it the older half is forgotten.
+MOST_REMEMBERED = 800_000
+#: Bytes of texts that are worked on at once, or one text.
+MOST_AT_ONCE = 8 << 20
+#: A word and marks after it: two words of the pattern, without asking it.
+_MARKED = re.compile(r"([A-Za-z]+)([!-/:-@\[-`{-~]+)").fullmatch
 
 
 def default_path() -> str:
@@ -31,72 +44,142 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Memory(dict):
-    """Makes a value when it is first asked for."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= MOST_REMEMBERED:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class WordEncoder:
-    """Texts to ids as bytes of little-endian unsigned integers of ``width`` bytes."""
+    """Texts to ids, as little-endian unsigned integers wide enough for the vocabulary."""
 
-    def __init__(self, path: str, width: int = 2):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Fixed value: the word pattern of this family of byte-level vocabularies.
+        #: Fixed value: the word pattern of byte-level vocabularies with ``use_regex``.
         self.cut = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
-        self.type = np.dtype(f"<u{width}")
-        self.model, self.characters = self.tokenizer.model, byte_characters()
-        self.code = {2: "H", 4: "I"}[width]
-        self.words = Memory(self._word)
-        #: What follows a space that starts a word, to the ids of both; None if there is white space beside the space, where
-        #: it may be no start of a word.
-        self.after_space = Memory(self._after)
-
-    def _word(self, word: str) -> bytes:
-        if word[0] == " " and word.isascii() and word[1:].isalpha():
-            shown = self.characters[32] + word[1:]
-        else:
-            shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
-        ids = array(self.code, [t.id for t in self.model.tokenize(shown)])
         if sys.byteorder != "little":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def _after(self, rest: str) -> bytes | None:
-        if rest.isalpha():
-            return self._word(" " + rest)
-        return None if not rest or rest[0].isspace() or rest[-1].isspace() else self._cut(" " + rest)
+            raise NotImplementedError("ids are made in the machine's byte order")
+        self.type, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.by_words = self._cuts_as_expected()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of words, and of what follows a space together with the space; None where white space beside the space makes it
+        #: no start of a word.
+        self.words: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes | None] = {}
+
+    def _cuts_as_expected(self) -> bool:
+        said = json.loads(self.tokenizer.to_str())
+        cut, model = said["pre_tokenizer"] or {}, said["model"]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        return said["normalizer"] is None and model["type"] == "BPE" and plain and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex")) and not cut.get("add_prefix_space")
+
+    def _learn(self, memory: dict, words: list[str], prefix: str) -> None:
+        """Let the library's model encode new words."""
+        model, code, space = self.model.tokenize, self.code, self.characters[32]
+        for word in words:
+            if prefix and word.isascii() and word.isalpha():
+                shown = space + word
+            else:
+                shown = (prefix + word).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
+            memory[word] = array(code, [t.id for t in model(shown)]).tobytes()
+
+    def _learn_after_space(self, chunks: list[str]) -> None:
+        spaced, bare, composed = {}, {}, []
+        for chunk in chunks:
+            if chunk.isalpha():
+                spaced[chunk] = None
+            elif m := _MARKED(chunk):
+                first, rest = m.groups()
+                spaced[first] = bare[rest] = None
+                composed.append((chunk, first, (rest,)))
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                self.after_space[chunk] = None
+            else:
+                first, *rest = self.cut(" " + chunk)
+                spaced[first[1:]] = None
+                if rest:
+                    bare.update(dict.fromkeys(rest))
+                    composed.append((chunk, first[1:], rest))
+        self._learn(self.after_space, [w for w in spaced if w not in self.after_space], " ")
+        self._learn(self.words, [w for w in bare if w not in self.words], "")
+        after, words = self.after_space, self.words.__getitem__
+        for chunk, first, rest in composed:
+            after[chunk] = after[first] + (words(rest[0]) if len(rest) == 1 else b"".join(map(words, rest)))
 
     def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.cut(text)))
-
-    def encode_one(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not rest:
-            return self._cut(text)
-        last = rest.pop()
-        if last and not last[0].isspace() and not first[-1:].isspace():
+        words = self.cut(text)
+        self._learn(self.words, [w for w in dict.fromkeys(words) if w not in self.words], "")
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where those of each text end. No text is null."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(texts):
+            return np.empty(0, self.type), np.empty(0, np.int64)
+        bounds = texts.offsets.to_numpy()[: len(texts) + 1]
+        if len(texts) > 1 and bounds[-1] - bounds[0] > MOST_AT_ONCE:
+            middle = min(max(1, int(np.searchsorted(bounds, (bounds[0] + bounds[-1]) // 2))), len(texts) - 1)
+            (one, ends), (two, more) = self.encode(texts[:middle]), self.encode(texts[middle:])
+            return np.concatenate((one, two)), np.concatenate((ends, more + len(one)))
+        if not self.by_words:
+            coded = [np.frombuffer(self._whole(t), self.type) for t in texts.to_pylist()]
+            return np.concatenate(coded), np.cumsum([len(x) for x in coded])
+        split = pc.split_pattern(texts, " ")
+        begin = split.offsets.to_numpy()[: len(texts)].astype(np.int64)
+        end = split.offsets.to_numpy()[1 : len(texts) + 1].astype(np.int64)
+        chunks = split.values.dictionary_encode()
+        codes, known = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        for memory in (self.words, self.after_space):
+            if len(memory) > MOST_REMEMBERED:
+                for old in list(islice(memory, len(memory) - MOST_REMEMBERED // 2)):
+                    del memory[old]
+        values = list(map(self.after_space.get, known))
+        if new := [w for w, v in zip(known, values, strict=True) if v is None and w not in self.after_space]:
+            gc.disable()  # nothing here makes cycles, and looking for them among so many words takes long
             try:
-                return self._cut(first) + b"".join(map(self.after_space.__getitem__, rest)) + self._cut(" " + last)
-            except TypeError:  # a None among them
-                pass
-        return self._cut(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.encode_one(t) for t in texts]
+                self._learn_after_space(new)
+            finally:
+                gc.enable()
+            values = list(map(self.after_space.get, known))
+        spoilt = np.fromiter((v is None for v in values), bool, len(values))
+        # no space stands before the first, and none after the last, so these may have white space there
+        whole = np.zeros(len(texts), bool)
+        for string in self.added:
+            whole |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+        lone = end - begin == 1
+        first = [known[c] for c in codes[begin].tolist()]
+        last = [known[c] for c in codes[end - 1].tolist()]
+        inner = np.concatenate(([0], np.cumsum(spoilt[codes])))
+        bad = np.where(lone, 0, inner[np.maximum(end - 1, begin + 1)] - inner[begin + 1]) > 0
+        bad |= ~lone & np.fromiter((a[-1:].isspace() or not z or z[0].isspace() for a, z in zip(first, last, strict=True)), bool, len(first))
+        codes[end - 1] = len(values) + np.arange(len(texts))
+        values += [b"" if one else self._cut(" " + z) if not b else b"" for one, b, z in zip(lone, bad | whole, last, strict=True)]
+        codes[begin] = len(values) + np.arange(len(texts))
+        values += [b"" if b else self._cut(a) for b, a in zip(bad | whole, first, strict=True)]
+        again = np.flatnonzero(bad | whole)
+        for i in again.tolist():
+            text = texts[i].as_py()
+            values[codes[begin[i]]] = self._whole(text) if whole[i] else self._cut(text)
+        sizes = np.fromiter((len(v) if v else 0 for v in values), np.int64, len(values)) // self.type.itemsize
+        counts = sizes[codes]
+        for i in again.tolist():
+            counts[begin[i] + 1 : end[i]] = 0
+        pool, starts = np.frombuffer(b"".join(v for v in values if v), self.type), np.cumsum(sizes) - sizes
+        ends = np.cumsum(counts)
+        ids = pool[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1])]
+        return ids, ends[end - 1]
 
     def byte_lengths(self) -> np.ndarray:
-        """Bytes of each id: in a byte-level vocabulary every character stands for a byte."""
+        """Bytes of each id: in a byte-level vocabulary every character stands for a byte, and added tokens are plain text."""
+        if not self.by_words:
+            raise ValueError("spans from byte lengths need a byte-level vocabulary")
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         size = self.tokenizer.get_vocab_size()
-        return np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        return np.array([added.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(size)], np.int64)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder a worker process: the tasks that it runs share the words that they met."""
+    return WordEncoder(path)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import small_arrow_batches, table
+from noticeloom.llm.common import slices, table
 
 #: Families of languages by ISO 639-1 code. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -150,7 +150,7 @@ def margins(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     featurizer = Featurizer()
-    for batch in batches:
+    for batch in slices(batches):
         found = [(o, c, v.astype(np.float16).tobytes()) for o, c, t in zip(batch["place"], batch["lang"], batch["text"], strict=True) if (v := featurizer.vector(t)) is not None]
         yield pd.DataFrame(found, columns=["place", "lang", "vector"])
 
@@ -197,7 +197,7 @@ def language(model: dict | None, text: Column) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         featurizer = Featurizer()
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = ["und"] * len(batch), np.zeros(len(batch))
             vectors = [(i, v) for i, t in enumerate(batch) if model and (v := featurizer.vector(t)) is not None]
             if vectors:
@@ -231,7 +231,7 @@ def least_margins(docs: DataFrame, model: dict | None, per_language: int = PER_L
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         featurizer = Featurizer()
-        for batch in batches:
+        for batch in slices(batches):
             cuts = [(lang, n, v) for lang, t in zip(batch["lang"], batch["text"], strict=True) for n in LETTERS if (c := first_letters(t, n)) and (v := featurizer.vector(c)) is not None]
             names, margin = margins(model, np.array([v for *_, v in cuts])) if cuts else ([], [])
             yield pd.DataFrame([(n, round(float(m), 4)) for (lang, n, _), name, m in zip(cuts, names, margin, strict=True) if name == lang], columns=["letters", "margin"])
@@ -249,7 +249,7 @@ def recognised(model: dict | None, least: dict[int, float], text: Column) -> Col
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         featurizer = Featurizer()
-        for batch in batches:
+        for batch in slices(batches):
             out = np.zeros(len(batch), bool)
             vectors = [(i, np.count_nonzero(featurizer.codes(t)), v) for i, t in enumerate(batch) if model and (v := featurizer.vector(t)) is not None]
             if vectors:
@@ -267,5 +267,4 @@ def identified(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    small_arrow_batches(spark)
     return identified(docs, fit(docs))

@@ -8,7 +8,9 @@ Arrow batches; nothing is shuffled.
 
 Defined results: a null value gives null; an empty payload gives tables without access units; bytes that are no
 transport stream give ``sync_errors`` and whatever packets remain; a lost packet counts in ``continuity_errors`` and a
-repeated one in ``repeated``, whose payload is read once; further columns pass through.
+repeated one in ``repeated``, whose payload is read once; repeated rows are stored each, with equal streams; an empty
+table gives an empty result; further columns pass through. One value is held at a time, so a very long one needs memory
+for itself and its stream alone.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeloom.llm.common import small_arrow_batches, table
+from noticeloom.llm.common import slices, table
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
@@ -233,7 +235,7 @@ PARSED = _fields(
 @F.pandas_udf(T.BinaryType())
 def ts_encoded(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bytes to a transport stream that carries them."""
-    for batch in payloads:
+    for batch in slices(payloads):
         yield batch.map(lambda x: None if x is None else mux(bytes(x)))
 
 
@@ -241,22 +243,22 @@ def ts_encoded(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def ts_parsed(streams: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A transport stream to its tables, errors, timestamps, random-access points and samples."""
     names = PARSED.names
-    for batch in streams:
+    for batch in slices(streams):
         rows = [dict.fromkeys(names) if x is None else demux(bytes(x)) for x in batch]
         yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
-def padded_payload(text: bytes) -> bytes:
+def padded(data: Column) -> Column:
     """Bytes 32 up to a positive multiple of the sample block."""
-    size = max(1, -(-len(text) // SAMPLE_BLOCK)) * SAMPLE_BLOCK
-    return text.ljust(size, b" ")
+    blocks = F.greatest(F.lit(1), F.ceil(F.octet_length(data) / F.lit(float(SAMPLE_BLOCK))))
+    return F.rpad(data, (blocks * SAMPLE_BLOCK).cast("int"), F.lit(b" "))
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for doc_id, n_bytes, media in zip(batch["doc_id"], batch["n_bytes"], batch["media"], strict=True):
             media = bytes(media)
@@ -276,15 +278,8 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")])
 
 
-@F.pandas_udf(T.BinaryType())
-def padded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield batch.map(lambda x: padded_payload(bytes(x)))
-
-
 def op3_mpeg_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as media columns; the digests come from the stored streams alone."""
-    small_arrow_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     stored = docs.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), ts_encoded(padded(F.col("bytes"))).alias("media"))
     return stored.mapInPandas(_digest, DIGESTS)

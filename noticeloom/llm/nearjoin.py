@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import small_arrow_batches, table, written
+from noticeloom.llm.common import slices, table, written
 from noticeloom.llm.components import components
 from noticeloom.llm.shingles import MinHasher, Shingler, shared_counts, spanning, text_key, words_of
 
@@ -51,7 +51,7 @@ SIGNED = "doc_id long, text_hash long, key binary, sig binary"
 def _signer(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, hasher = Shingler(width), MinHasher(TREES * DEPTH)
-        for batch in batches:
+        for batch in slices(batches):
             keys, sigs = [], []
             for text in batch["text"]:
                 words = words_of(text)
@@ -168,7 +168,6 @@ def in_blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
 def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """The result of the join, with the hash of each row's text and ``component``, which names a group of linked classes."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signed = written(texts.mapInPandas(_signer(width), SIGNED), "join-signed")
     usable = signed.where("key is not null and doc_id is not null")

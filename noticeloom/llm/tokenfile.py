@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import shared_dir, small_arrow_batches, table, written
-from noticeloom.llm.encoding import WordEncoder, default_path
+from noticeloom.llm.common import shared_dir, table, written
+from noticeloom.llm.encoding import default_path, encoder
 from noticeloom.llm.wavelet import TokenFile, to_bytes
 
 END_ID = 2
@@ -31,24 +32,24 @@ NO_ID = -(1 << 63)
 
 
 def _file_writer(path: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, number = WordEncoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.type).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, number = encoder(path), TaskContext.get().partitionId(), 0
         ids, docs, lengths, size = [], [], [], 0
 
-        def file() -> pd.DataFrame:
-            every = np.frombuffer(b"".join(ids), encoder.type)
-            out = pd.DataFrame({"file": [to_bytes(every, np.array(docs, np.int64), np.array(lengths, np.int64), part, number)]})
+        def file() -> pa.RecordBatch:
+            content = to_bytes(np.concatenate(ids), np.array(docs, np.int64), np.array(lengths, np.int64), part, number)
             for x in (ids, docs, lengths):
                 x.clear()
-            return out
+            return pa.RecordBatch.from_pydict({"file": pa.array([content], pa.binary())})
 
         for batch in batches:
-            for doc_id, coded in zip(batch["doc_id"], encoder.encode(batch["text"].tolist()), strict=True):
-                ids += coded, end
-                docs.append(NO_ID if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(coded) // encoder.type.itemsize + 1)
-                size += lengths[-1]
+            coded, ends = coder.encode(batch["text"])
+            at = 0
+            for doc_id, end in zip(batch["doc_id"].to_pylist(), ends.tolist(), strict=True):
+                ids += coded[at:end], np.array([end_id], coder.type)
+                docs.append(NO_ID if doc_id is None else doc_id)
+                lengths.append(end - at + 1)
+                size, at = size + end - at + 1, end
                 if size >= FILE_TOKENS:
                     yield file()
                     number, size = number + 1, 0
@@ -60,13 +61,11 @@ def _file_writer(path: str, end_id: int):
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """``doc_id, text`` to wavelet-matrix files in ``path``."""
-    spark = docs.sparkSession
-    small_arrow_batches(spark)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(max(1, -(-total // SHARD_BYTES)), *order).sortWithinPartitions(*order)
-    files = dealt.mapInPandas(_file_writer(tokenizer or default_path(), end_id), "file binary")
+    files = dealt.mapInArrow(_file_writer(tokenizer or default_path(), end_id), "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import shared_dir, small_arrow_batches, table, utf8, written
+from noticeloom.llm.common import shared_dir, table, utf8, written
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -211,7 +211,6 @@ def _joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The reachable records: ``file, at, warc_type, page_id, refers_to, url, payload_digest, payload_bytes, actual_digest, payload``."""
-    small_arrow_batches(spark, 500)
     found = pieces(spark, path).mapInPandas(_candidates, CANDIDATE)
     # one narrow pass: the offsets of candidates and the sizes of splits
     narrow = written(found.select("file", "split", "size", F.col("at").alias("rel"), F.col("next").alias("rel_next"), "whole"), "warc-candidates")

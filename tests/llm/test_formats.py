@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from noticeloom.llm import chat, mpegts, sharding, tokenfile, warc
+from noticeloom.llm import chat, encoding, mpegts, sharding, tokenfile, warc
 from noticeloom.llm.encoding import WordEncoder, default_path
 from noticeloom.llm.wavelet import TokenFile, WaveletMatrix, to_bytes
 
@@ -187,7 +187,8 @@ def test_wavelet_matrix_across_rank_steps():
     assert (m.ids() == a).all() and m.access(8999) == a[8999] and m.count(int(a[5])) == int((a == a[5]).sum())
 
 
-ALPHABET = st.text(st.sampled_from(list(" \n\t\r\x1c\x85  aAéß日😀0١²_'.!<|>")) | st.characters(codec="utf-8"), max_size=60)
+PARTS = st.sampled_from([*" \n\t\r\x1c\x85  aAéß日😀0١²_'.!<|>", "<|endoftext|>", " word", "word, "]) | st.characters(codec="utf-8")
+ALPHABET = st.lists(PARTS, max_size=60).map("".join)
 
 
 @settings(max_examples=150, deadline=None)
@@ -196,14 +197,32 @@ def test_word_memory_equals_whole_encoding(texts):
     from tokenizers import Tokenizer
 
     whole = test_word_memory_equals_whole_encoding.__dict__.setdefault("t", Tokenizer.from_file(default_path()))
-    whole.encode_special_tokens = True
     words = test_word_memory_equals_whole_encoding.__dict__.setdefault("w", WordEncoder(default_path()))
-    got = [np.frombuffer(x, "<u2").tolist() for x in words.encode(texts)]
+    ids, ends = words.encode(texts)
+    got = [x.tolist() for x in np.split(ids, ends[:-1])]
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     lengths = words.byte_lengths()
     assert [int(lengths[x].sum()) for x in got] == [len(t.encode()) for t in texts]
 
 
+def test_encoder_forgets_and_splits(monkeypatch):
+    """With a small memory and small steps the ids stay those of the library; a tokenizer of another kind goes to the library whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(encoding, "MOST_REMEMBERED", 4)
+    monkeypatch.setattr(encoding, "MOST_AT_ONCE", 50)
+    texts = [f"word{i % 7} and, more!! of{i}  it\n's <|endoftext|>"[: 7 * i] for i in range(30)] + ["", "x " * 200]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        words, whole = WordEncoder(path), Tokenizer.from_file(path)
+        ids, ends = words.encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert words.by_words == (name == "byte_bpe_50k.json")
+    with pytest.raises(ValueError):
+        words.byte_lengths()
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -215,7 +234,6 @@ def test_token_files(spark, tmp_path, monkeypatch):
     tokenfile.write_token_files(df, path)
     got = tokenfile.read_documents(spark, path).orderBy("start").collect()
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     expected = Counter()
     for i, text, _ in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
