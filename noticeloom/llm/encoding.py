@@ -117,9 +117,9 @@ class WordEncoder:
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not len(texts):
             return np.empty(0, self.type), np.empty(0, np.int64)
-        bounds = texts.offsets.to_numpy()[: len(texts) + 1]
-        if len(texts) > 1 and bounds[-1] - bounds[0] > MOST_AT_ONCE:
-            middle = min(max(1, int(np.searchsorted(bounds, (bounds[0] + bounds[-1]) // 2))), len(texts) - 1)
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        if len(texts) > 1 and size[-1] > MOST_AT_ONCE:
+            middle = min(max(1, int(np.searchsorted(size, size[-1] // 2))), len(texts) - 1)
             (one, ends), (two, more) = self.encode(texts[:middle]), self.encode(texts[middle:])
             return np.concatenate((one, two)), np.concatenate((ends, more + len(one)))
         if not self.by_words:
