@@ -43,6 +43,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one job, in a folder of its own under the shared one; they can be deleted once they have been read."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base, self.paths = spark, shared_dir(spark, label), {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut the lineage: the rows as a Parquet table. A table of the same name from before is deleted."""
+        path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """The rows, to be broadcast if they are counted as ``most`` at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def slices(batches: Iterator, rows: int = 500) -> Iterator:
     """The batches of a task in parts of so many rows: Spark bounds a batch by bytes, this bounds what is made of it at once."""
     for batch in batches:

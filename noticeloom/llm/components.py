@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import written
+from noticeloom.llm.common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,18 +22,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, label: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """``a, b`` (any integers) to ``id, component``: the least id that it is connected with; ids without edge don't appear.
 
     Edges stay at most as many as at the start, so memory follows the input; hubs are grouped by partial aggregation and
     joined, never collected. Rounds grow with the logarithm of the longest path.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    now = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     seen = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(state) == seen or not state["n"]:
             break
         seen = tuple(state)
-        now = written(_star(_star(now, True), False), label)
+        now = scratch.written(_star(_star(now, True), False), label)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -9,9 +9,10 @@
    pair of exactly the threshold is found with the target probability; more similar pairs are found more often.
 4. Nodes of several classes give candidates. Signatures, a byte a value, leave out pairs far below the threshold. Small
    nodes, mostly the same in many trees, give their few pairs once; in large nodes the rest only has to connect: a block
-   emits a spanning forest, never all its pairs.
+   asks about what isn't connected yet and emits a spanning forest, never all its pairs.
 5. Inside each connected group of candidates *all* pairs are verified exactly, in blocks of classes against blocks. Links
-   are counted in the task, so that the rows that Spark moves grow with classes, not with pairs.
+   are counted in the task and never emitted. Texts are cut into shingles once a class; the shingles of a class travel once
+   for each block of ``VERIFY`` classes that its group has, so once in all but very large groups.
 
 The join returns a row for each document: ``class_id`` (the least id of the documents that links connect with it),
 ``n_links`` (documents other than this one with a similarity of at least the threshold, copies included) and ``words_id``
@@ -29,19 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import slices, table, written
+from noticeloom.llm.common import Scratch, few, slices, table, written
 from noticeloom.llm.components import components
 from noticeloom.llm.shingles import MinHasher, Shingler, shared_counts, spanning, text_key, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, LEAST_DEPTH, TARGET = 16, 8, 3, 0.998
-#: Pairs whose signatures agree less than this aren't candidates: five standard deviations below the threshold.
-LEAST_AGREEMENT = 0.62
-#: Classes in a block of candidates and of exact verification.
-BLOCK, VERIFY = 512, 128
+#: Pairs whose signatures agree less than so many standard deviations below the threshold aren't candidates.
+DEVIATIONS = 5
+#: Classes in a block of candidates, and classes and shingles in a block of exact verification.
+BLOCK, VERIFY, VERIFY_SHINGLES = 4096, 2048, 2_000_000
+#: A table of counts of groups is broadcast up to so many rows.
+MOST_BROADCAST = 500_000
 #: Nodes of so many classes at most give their pairs as rows, at most 28 a node; larger ones are worked on in blocks.
 SMALL = 8
 
@@ -96,66 +99,88 @@ def shortened(costs: dict[tuple[int, int], float], threshold: float, target: flo
             if d > LEAST_DEPTH
         ]
         if not choices:
-            break
+            raise ValueError(f"{TREES} trees of at least {LEAST_DEPTH} values can't reach a recall of {target} at a similarity of {threshold}")
         depths[min(choices)[2]] -= 1
     return depths
 
 
-def _connect(group: pd.DataFrame) -> pd.DataFrame:
-    """A block of a node, or two: edges that connect the pairs with like signatures."""
-    a, b = group[~group["other"]], group[group["other"]]
-    same = b.empty
-    left, right = (np.frombuffer(b"".join(x["tags"]), np.uint8).reshape(len(x), -1) if len(x) else None for x in (a, a if same else b))
-    if left is None or right is None:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    ids, others = a["id"].tolist(), (a if same else b)["id"].tolist()
-    like = np.empty((len(left), len(right)), bool)
-    for i, row in enumerate(left):
-        like[i] = (right == row).mean(axis=1) >= LEAST_AGREEMENT
-    if same:
-        like = np.triu(like, 1)
-    return pd.DataFrame(spanning(like, ids, others), columns=["a", "b"], dtype="int64")
+def least_agreement(threshold: float) -> float:
+    return threshold - DEVIATIONS * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
 
 
-def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("ta", "tb"))
-        yield batch.loc[(left == right).mean(axis=1) >= LEAST_AGREEMENT, ["a", "b"]] if len(batch) else batch[["a", "b"]]
+def _tags(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def _connector(least: float):
+    def connect(group: pd.DataFrame) -> pd.DataFrame:
+        """A block of a node, or two: edges that connect the pairs with like signatures."""
+        a, b = group[~group["other"]], group[group["other"]]
+        edges = []
+        if len(a):
+            left = _tags(a["tags"])
+            if b.empty:
+                edges = spanning(a["id"].tolist(), None, lambda i, at: (left[at] == left[i]).mean(axis=1) >= least)
+            else:
+                right = _tags(b["tags"])
+                edges = spanning(
+                    a["id"].tolist(), b["id"].tolist(), lambda i, at: (right[at] == left[i]).mean(axis=1) >= least, lambda j, at: (left[at] == right[j]).mean(axis=1) >= least
+                )
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return connect
+
+
+def _likely(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.loc[(_tags(batch["ta"]) == _tags(batch["tb"])).mean(axis=1) >= least, ["a", "b"]]
+
+    return run
+
+
+def _shingled(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(width)
+        for batch in slices(batches):
+            sets = [shingler.shingles(words_of(t)) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+    return run
 
 
-def _verifier(width: int, threshold: float):
+def _verifier(threshold: float):
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         """Exact similarities in a block of a group of candidates, or between two: links of each class, and a spanning forest."""
-        shingler = Shingler(width)
         a, b = group[~group["other"]], group[group["other"]]
         same = b.empty
-        left = [shingler.shingles(words_of(t)) for t in a["text"]]
-        right = left if same else [shingler.shingles(words_of(t)) for t in b["text"]]
-        rows = []
-        if left and right:
-            shared = shared_counts(left, right)
-            na, nb = (np.array([len(s) for s in x]) for x in (left, right))
-            linked = shared >= threshold * (na[:, None] + nb[None, :] - shared) - 1e-9
-            ids, others = a["id"].tolist(), (a if same else b)["id"].tolist()
-            sizes, other_sizes = a["copies"].to_numpy(), (a if same else b)["copies"].to_numpy()
-            if same:
-                np.fill_diagonal(linked, False)
-                rows += [(i, None, int(n)) for i, n in zip(ids, linked @ sizes, strict=True)]
-                linked = np.triu(linked, 1)
-            else:
-                rows += [(i, None, int(n)) for i, n in zip(ids, linked @ other_sizes, strict=True)]
-                rows += [(j, None, int(n)) for j, n in zip(others, sizes @ linked, strict=True)]
-            rows += [(i, j, 0) for i, j in spanning(linked, ids, others)]
+        if same:
+            b = a
+        if a.empty:
+            return pd.DataFrame({"a": [], "b": [], "links": []}).astype({"a": "int64", "b": "Int64", "links": "int64"})
+        left = [np.frombuffer(s, np.uint64) for s in a["shingles"]]
+        right = left if same else [np.frombuffer(s, np.uint64) for s in b["shingles"]]
+        shared, na, nb = shared_counts(left, right), a["n"].to_numpy(), b["n"].to_numpy()
+        linked = np.empty(shared.shape, bool)
+        for i, row in enumerate(shared):
+            linked[i] = row >= threshold * (na[i] + nb - row) - 1e-9
+        if same:
+            np.fill_diagonal(linked, False)
+        ids, others, copies = a["id"].tolist(), b["id"].tolist(), a["copies"].to_numpy()
+        rows = [(i, None, int(n)) for i, n in zip(ids, linked @ b["copies"].to_numpy(), strict=True) if n]
+        if not same:
+            rows += [(j, None, int(n)) for j, n in zip(others, copies @ linked, strict=True) if n]
+        rows += [(i, j, 0) for i, j in spanning(ids, None if same else others, lambda i, at: linked[i, at], None if same else lambda j, at: linked[at, j])]
         # built by column: a column of ids and None would pass through floats, which do not hold 64 bits
         return pd.DataFrame({"a": pd.array([r[0] for r in rows], "int64"), "b": pd.array([r[1] for r in rows], "Int64"), "links": pd.array([r[2] for r in rows], "int64")})
 
     return verify
 
 
-def in_blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
-    """Deal the rows of each key into blocks of about ``size`` by a hash of ``id``, and repeat each for the pairs of blocks that it is in: ``i <= j``, ``other`` for the second block."""
-    counted = rows.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("_n")).where("_n > 1")
-    dealt = rows.join(counted, key, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Deal the rows of a group into its number of blocks by a hash of ``id``, and repeat each for the pairs of blocks that it is in: ``i <= j``, ``other`` for the second block."""
+    dealt = rows.withColumn("_n", blocks.cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     return (
         dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
         .withColumn("i", F.least("_own", "_other"))
@@ -168,39 +193,46 @@ def in_blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
 def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """The result of the join, with the hash of each row's text and ``component``, which names a group of linked classes."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "join")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    signed = written(texts.mapInPandas(_signer(width), SIGNED), "join-signed")
+    signed = scratch.written(texts.mapInPandas(_signer(width), SIGNED), "signed")
     usable = signed.where("key is not null and doc_id is not null")
     named = usable.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
-    classes = written(named.select("key", "copies", F.xxhash64("key").alias("id"), "first.*"), "join-classes")
+    classes = scratch.written(named.select("key", "copies", F.xxhash64("key").alias("id"), "first.*"), "classes")
     # one signature a class
     firsts = classes.select("id", "key", "doc_id", "text_hash").join(signed.select("key", "doc_id", "text_hash", "sig"), ["key", "doc_id", "text_hash"]).dropDuplicates(["key"])
     labels = firsts.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.col("sig").substr(t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "label"))
-    trie = written(labels.repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label"), "join-trie")
+    trie = scratch.written(labels.repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label"), "trie")
     costs = labels.select("tree", "label").repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label").mapInPandas(_trie_costs, "tree int, depth int, pairs double")
     depths = shortened({(r["tree"], r["depth"]): r["pairs"] for r in costs.groupBy("tree", "depth").agg(F.sum("pairs").alias("pairs")).collect()}, threshold, target)
     depth = F.get(F.array(*map(F.lit, depths)), F.col("tree"))
     nodes = trie.select("id", "tree", F.xxhash64(F.col("label").substr(F.lit(1), depth * 4)).alias("node"))
     shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("m")).where("m > 1")
-    members = written(nodes.join(shared, ["tree", "node"]), "join-members")
+    members = scratch.written(nodes.join(shared, ["tree", "node"]), "members")
     # a byte of each value is enough to tell likely pairs
     tags = firsts.select("id", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1)), lambda k: F.hex(F.col("sig").substr(k * 4 + 4, F.lit(1)))), "")).alias("tags"))
-    tags = written(tags.join(members.select("id").distinct(), "id"), "join-tags")
-    few = members.where(F.col("m") <= SMALL).groupBy("tree", "node").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    pairs = few.select("ids", F.posexplode("ids").alias("at", "a")).select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b")).distinct()
+    tags = scratch.written(tags.join(members.select("id").distinct(), "id"), "tags")
+    small = members.where(F.col("m") <= SMALL).groupBy("tree", "node").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    pairs = small.select("ids", F.posexplode("ids").alias("at", "a")).select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b")).distinct()
     told = pairs.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    many = in_blocks(members.where(F.col("m") > SMALL).select("id", "tree", "node"), ["tree", "node"], BLOCK).join(tags, "id")
+    parts, least = int(spark.conf.get("spark.sql.shuffle.partitions")), least_agreement(threshold)
+    many = in_blocks(members.where(F.col("m") > SMALL), F.ceil(F.col("m") / BLOCK)).join(tags, "id")
     # so many tasks whatever the size in bytes: the work is in comparing
-    connected = many.repartition(parts, "tree", "node", "i", "j").groupBy("tree", "node", "i", "j").applyInPandas(_connect, "a long, b long")
-    candidates = told.mapInPandas(_likely, "a long, b long").unionByName(connected)
-    groups = components(candidates, "join-candidates")
-    chosen = written(groups.join(classes.select("id", "copies", "doc_id", "text_hash"), "id"), "join-groups")
-    blocks = in_blocks(chosen.select("component", "id", "copies"), ["component"], VERIFY)
+    connected = many.repartition(parts, "tree", "node", "i", "j").groupBy("tree", "node", "i", "j").applyInPandas(_connector(least), "a long, b long")
+    groups = components(told.mapInPandas(_likely(least), "a long, b long").unionByName(connected), scratch, "candidates")
+    chosen = scratch.written(groups.join(classes.select("id", "copies", "doc_id", "text_hash"), "id"), "groups")
+    scratch.drop("trie", "members", "tags", "candidates")
     held = chosen.select("id", "doc_id", "text_hash").join(texts, ["doc_id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text"))
-    dealt = blocks.join(held, "id").repartition(parts, "component", "i", "j")
-    verified = written(dealt.groupBy("component", "i", "j").applyInPandas(_verifier(width, threshold), "a long, b long, links long"), "join-verified")
-    clusters = components(verified.where("b is not null").select("a", "b"), "join-clusters")
+    sets = scratch.written(held.mapInPandas(_shingled(width), "id long, n int, shingles binary"), "shingles")
+    sized = chosen.select("component", "id", "copies").join(sets.select("id", "n"), "id")
+    # groups of more than one block are few: as a rule a broadcast brings their numbers to the rows
+    number = F.ceil(F.greatest(F.count("*") / F.lit(VERIFY), F.sum("n") / F.lit(VERIFY_SHINGLES)))
+    large = few(sized.groupBy("component").agg(number.alias("blocks")).where("blocks > 1"), MOST_BROADCAST)
+    blocks = in_blocks(sized.join(large, "component", "left"), F.coalesce("blocks", F.lit(1)))
+    dealt = blocks.join(sets.select("id", "shingles"), "id").repartition(parts, "component", "i", "j")
+    verified = scratch.written(dealt.groupBy("component", "i", "j").applyInPandas(_verifier(threshold), "a long, b long, links long"), "verified")
+    scratch.drop("groups", "shingles")
+    clusters = components(verified.where("b is not null").select("a", "b"), scratch, "clusters")
     links = verified.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     least = clusters.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
     told = classes.join(links, "id", "left").join(clusters, "id", "left").join(least, "component", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -69,41 +70,77 @@ class MinHasher:
         return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """How many elements each set of ``left`` shares with each of ``right``; the sets are sorted and distinct."""
-    if len(left) * len(right) <= 16:
-        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left], np.int64).reshape(len(left), len(right))
-    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-    total = np.zeros((len(left), len(right)), np.int64)
-
-    def matrix(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(sets), len(part)), np.float32)
-        for i, s in enumerate(sets):
-            at = np.searchsorted(part, s)
-            at[at == len(part)] = 0
-            out[i, at[part[at] == s]] = 1
-        return out
-
-    for i in range(0, len(common), columns):
-        part = common[i : i + columns]
-        total += (matrix(left, part) @ matrix(right, part).T).astype(np.int64)
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048, most_pairs: int = 1 << 21) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``; the sets are sorted and distinct.
+
+    Elements that many sets have are counted as products of matrices, the others pair by pair; ``columns`` and
+    ``most_pairs`` bound what is made at once.
+    """
+    total = np.zeros((len(left), len(right)), np.int32)
+    if total.size <= 16:
+        for i, a in enumerate(left):
+            total[i] = [len(np.intersect1d(a, b, assume_unique=True)) for b in right]
+        return total
+    (la, ia), (lb, ib) = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (left, right))
+    common = np.intersect1d(la, lb)
+    if not len(common):
+        return total
+
+    def by_column(elements: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The column and set of each element that is common, by column, and where each column begins."""
+        at = np.searchsorted(common, elements)
+        at[at == len(common)] = 0
+        hit = common[at] == elements
+        order = np.argsort(at[hit], kind="stable")
+        at, of = at[hit][order], of[hit][order]
+        return at, of, np.searchsorted(at, np.arange(len(common) + 1))
+
+    (ca, sa, fa), (cb, sb, fb) = by_column(la, ia), by_column(lb, ib)
+    pairs = np.diff(fa) * np.diff(fb)
+    dense = pairs * 150 > total.size
+    begin, reached = 0, np.cumsum(np.where(dense, 0, pairs))
+    while begin < len(common):
+        end = max(begin + 1, int(np.searchsorted(reached, (reached[begin - 1] if begin else 0) + most_pairs, "right")))
+        mine = np.arange(fa[begin], fa[end])
+        mine = mine[~dense[ca[mine]]]
+        times = np.diff(fb)[ca[mine]]
+        ends = np.cumsum(times)
+        if len(ends):
+            at = np.repeat(fb[ca[mine]] - (ends - times), times) + np.arange(ends[-1])
+            np.add.at(total, (np.repeat(sa[mine], times), sb[at]), 1)
+        begin = end
+    number = np.cumsum(dense) - 1
+    for begin in range(0, int(dense.sum()), columns):
+        one, two = (np.zeros((len(x), columns), np.float32) for x in (left, right))
+        for out, column, of in ((one, ca, sa), (two, cb, sb)):
+            take = dense[column] & (number[column] >= begin) & (number[column] < begin + columns)
+            out[of[take], number[column[take]] - begin] = 1
+        total += (one @ two.T).astype(np.int32)
     return total
 
 
-def spanning(linked: np.ndarray, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    """Edges that connect what the pairs of a boolean matrix connect; at most as many as there are ids."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = p
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = root(left[i]), root(right[j])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((left[i], right[j]))
+def spanning(left: list[int], right: list[int] | None, linked: Callable, linked_back: Callable | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what the links of ``left`` with ``right`` connect, or those inside ``left``; fewer than there are ids.
+
+    ``linked(i, at)``: which of the columns ``at`` row i is linked with; ``linked_back(j, at)``: which rows column j is.
+    What is connected already isn't asked about again, so that a dense group takes about one question a row.
+    """
+    sides = (left, right if right is not None else left)
+    rest = [np.arange(len(x)) for x in sides]
+    ask = (linked, linked_back or linked)
+    out: list[tuple[int, int]] = []
+    for start in range(len(left)):
+        at = np.searchsorted(rest[0], start)
+        if at == len(rest[0]) or rest[0][at] != start:
+            continue
+        rest[0] = np.delete(rest[0], at)
+        stack = [(0, start)]
+        while stack:
+            side, i = stack.pop()
+            other = 0 if right is None else 1 - side
+            if len(rest[other]):
+                hit = ask[side](i, rest[other])
+                found, rest[other] = rest[other][hit], rest[other][~hit]
+                out += [(sides[side][i], sides[other][j]) for j in found.tolist()]
+                stack += [(other, j) for j in found.tolist()]
     return out
