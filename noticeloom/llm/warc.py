@@ -10,10 +10,13 @@ in the split and, from Content-Length, the offset of their successor; the sizes
 file. Pointer jumping from the start of each file then marks the reachable records: every round doubles the distance, so
 a chain of n records takes about log2(n) joins of narrow rows. What isn't reachable is dropped. Payloads that reach over
 later pieces are joined together in the task that reads them; if one crosses into another split, a second pass over the
-pieces of those records alone puts it together.
+pieces of those records alone puts it together. The same pass reads records that seemed to lie inside another, and very
+large ones.
 
-Defined results: a null payload counts as empty; a null id is written as ``null`` and read as null; a record that ends
-beyond the end of its file, and what follows it, is not reachable; further columns of the input are ignored.
+Defined results: a null payload counts as empty; a null id is written as ``null`` and read as null; rows that repeat an id
+are records each, and of equal payloads under the largest id all rows with that id are responses; an empty table gives an
+archive without records; a very long payload has to fit a row; a record that ends beyond the end of its file, and what
+follows it, is not reachable; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import shared_dir, table, utf8, written
+from noticeloom.llm.common import Scratch, few, shared_dir, table, utf8, written
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 #: A broadcast table of repeated payloads has at most so many rows of about 60 bytes; beyond that a shuffled join does it.
 MOST_BROADCAST = 500_000
+#: Bytes of a block that the first pass puts together at most; a larger one is left to the second.
+MOST_HELD = 32 << 20
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 #: The digits of base 32 in base-32-hex order and in the order of RFC 4648.
 HEX32, RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -51,8 +56,7 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     again = written(
         rows.where(long_enough).groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-repeats"
     )
-    few = again.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    joined = rows.join(F.broadcast(again) if few else again, "digest", "left")
+    joined = rows.join(few(again, MOST_BROADCAST), "digest", "left")
     return joined.withColumn("refers_to", F.when(long_enough & ~F.col("page_id").eqNullSafe(F.col("last_id")), F.col("last_id"))).drop("last_id")
 
 
@@ -131,42 +135,50 @@ def described(head: bytes, block: bytes | None) -> dict:
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces in the order of a split to candidates. A last row of each split (``at`` null) has the split's size."""
-    split, at, open_, rows = None, 0, [], []
+    """Pieces in the order of a split to candidates. A last row of each split (``at`` null) has the split's size.
 
-    def closed(x: dict) -> dict:
-        return {"file": x["file"], "split": x["split"], "at": x["at"], "next": x["next"]} | described(x["head"], None)
+    One record is put together at a time: a candidate inside it gives its offsets alone (not ``whole``), as does one whose
+    block is larger than ``MOST_HELD`` or ends beyond the split. So a task holds one block, and rows together hold every
+    byte once, however many headers a payload shows. If such a candidate proves to be a record, the second pass reads it.
+    """
+    split, at, open_, held, rows = None, 0, None, bytearray(), []
 
-    def end() -> list[dict]:
-        left = [closed(x) for x in open_]
-        open_.clear()
-        return left + ([{"file": split[0], "split": split[1], "size": at}] if split else [])
+    def row(x: dict, block: bytes | None) -> dict:
+        return {k: x[k] for k in ("file", "split", "at", "next")} | described(x["head"], block)
+
+    def end() -> None:
+        if open_:
+            rows.append(row(open_, None))
+        if split:
+            rows.append({"file": split[0], "split": split[1], "size": at})
 
     for batch in batches:
         for file, start, piece in zip(batch["file"], batch["split"], batch["piece"], strict=True):
-            piece = bytes(piece)
             if (file, start) != split:
-                rows += end()
-                split, at = (file, start), 0
-            for x in open_:  # magic inside their payload
-                x["held"] += _SEP + piece
-            if parsed := parsed_head(piece):
+                end()
+                split, at, open_ = (file, start), 0, None
+            parsed = parsed_head(piece)
+            if parsed:
                 head, begin, size = parsed
                 # the version line stands before the piece; the first piece of a file has none, and no header
-                open_.append({"file": file, "split": start, "at": at - len(_SEP), "next": at + begin + size + len(END), "head": head, "begin": begin, "size": size, "held": bytearray(piece)})
-            still = []
-            for x in open_:
-                if len(x["held"]) >= x["begin"] + x["size"]:
-                    block = bytes(x["held"][x["begin"] : x["begin"] + x["size"]])
-                    rows.append({"file": x["file"], "split": x["split"], "at": x["at"], "next": x["next"]} | described(x["head"], block))
-                else:
-                    still.append(x)
-            open_ = still
+                found = {"file": file, "split": start, "at": at - len(_SEP), "next": at + begin + size + len(END), "head": head, "begin": begin, "end": begin + size}
+            if open_:
+                held += _SEP
+                held += piece
+                if parsed:
+                    rows.append(row(found, None))
+            elif parsed and size <= MOST_HELD:
+                open_, held = found, bytearray(piece)
+            elif parsed:
+                rows.append(row(found, None))
+            if open_ and len(held) >= open_["end"]:
+                rows.append(row(open_, bytes(memoryview(held)[open_["begin"] : open_["end"]])))
+                open_, held = None, bytearray()
             at += len(piece) + len(_SEP)
             if len(rows) >= 500:
                 yield pd.DataFrame(rows, columns=FIELDS, dtype=object)
-                rows = []
-    rows += end()
+                rows.clear()
+    end()
     yield pd.DataFrame(rows, columns=FIELDS, dtype=object)
 
 
@@ -181,12 +193,11 @@ def split_bases(splits: DataFrame) -> DataFrame:
     return splits.select("file", "split", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"), total.alias("file_size"))
 
 
-def reachable(links: DataFrame) -> DataFrame:
+def reachable(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``file, at, next`` to the ``file, at`` that a chain from offset 0 reaches, by pointer jumping."""
-    state = written(links.groupBy("file", "at").agg(F.max("next").alias("jump")).withColumn("seen", F.col("at") == 0), "warc-chain")
-    for _ in range(64):
-        if state.where("seen and jump is not null").isEmpty():
-            break
+    state = scratch.written(links.groupBy("file", "at").agg(F.max("next").alias("jump")).withColumn("seen", F.col("at") == 0), "chain")
+    # jumps only lead onwards, so that they all end
+    while not state.where("seen and jump is not null").isEmpty():
         target = state.select("file", F.col("at").alias("jump"), F.col("jump").alias("onward"), F.lit(True).alias("there"))
         moved = state.join(target, ["file", "jump"], "left")
         step = F.explode(
@@ -196,14 +207,14 @@ def reachable(links: DataFrame) -> DataFrame:
             )
         )
         rows = moved.select("file", step.alias("x")).select("file", "x.*").where("at is not null")
-        state = written(rows.groupBy("file", "at").agg(F.max("jump").alias("jump"), F.max("seen").alias("seen")), "warc-chain")
+        state = scratch.written(rows.groupBy("file", "at").agg(F.max("jump").alias("jump"), F.max("seen").alias("seen")), "chain")
     return state.where("seen").select("file", "at")
 
 
 def _joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """One record from its pieces in order."""
     group = group.sort_values("piece_at")
-    held = _SEP.join(bytes(p) for p in group["piece"])
+    held = _SEP.join(group["piece"])
     head, begin, size = parsed_head(held)
     row = {"file": key[0], "at": key[1]} | described(head, held[begin : begin + size])
     return pd.DataFrame([row], columns=["file", "at", *FIELDS[5:]], dtype=object)
@@ -211,13 +222,15 @@ def _joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The reachable records: ``file, at, warc_type, page_id, refers_to, url, payload_digest, payload_bytes, actual_digest, payload``."""
+    scratch = Scratch(spark, "warc-read")
     found = pieces(spark, path).mapInPandas(_candidates, CANDIDATE)
     # one narrow pass: the offsets of candidates and the sizes of splits
-    narrow = written(found.select("file", "split", "size", F.col("at").alias("rel"), F.col("next").alias("rel_next"), "whole"), "warc-candidates")
-    bases = split_bases(narrow.where("size is not null"))
+    narrow = scratch.written(found.select("file", "split", "size", F.col("at").alias("rel"), F.col("next").alias("rel_next"), "whole"), "candidates")
+    bases = scratch.written(split_bases(narrow.where("size is not null")), "bases")
     links = narrow.where("size is null").join(bases, ["file", "split"]).select("file", "split", "whole", "base", (F.col("base") + F.col("rel")).alias("at"), (F.col("base") + F.col("rel_next")).alias("next"), "file_size")
-    links = written(links.where("next <= file_size").drop("file_size"), "warc-links")
-    kept = written(links.join(reachable(links), ["file", "at"], "left_semi"), "warc-kept")
+    links = scratch.written(links.where("next <= file_size").drop("file_size"), "links")
+    kept = scratch.written(links.join(reachable(links, scratch), ["file", "at"], "left_semi"), "kept")
+    scratch.drop("candidates", "links", "chain")
     columns = ["file", "at", *FIELDS[5:-1]]
     rows = found.where("size is null").withColumnRenamed("at", "rel").drop("next", "size")
     out = rows.where("whole").join(kept.select("file", "split", (F.col("at") - F.col("base")).alias("rel"), "at"), ["file", "split", "rel"]).select(*columns)
@@ -240,11 +253,15 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _torn_records(spark: SparkSession, path: str, torn: DataFrame, bases: DataFrame) -> DataFrame:
+    """Records from the pieces that they reach over. Both sides meet in a split of a file, not in the file."""
+    # splits of a file begin at multiples of one size; a piece belongs to the split that its first byte is in
+    unit = bases.where("split > 0").agg(F.min("split")).first()[0] or 1 << 60
+    reached = F.sequence(F.greatest(F.expr(f"record_at div {unit}") - 1, F.lit(0)), F.expr(f"(next + {len(_SEP)}) div {unit}"))
+    records = torn.withColumn("k", F.explode(reached)).withColumn("split", F.col("k") * unit).drop("k").join(bases.select("file", "split", "base"), ["file", "split"])
     numbered = pieces(spark, path).mapInPandas(_numbered, "file string, split long, piece binary, rel long")
-    placed = numbered.join(bases, ["file", "split"]).select("file", "piece", (F.col("base") + F.col("rel")).alias("piece_at"))
-    mine = torn.join(placed, "file").where("piece_at >= record_at and piece_at < next").select("file", F.col("record_at").alias("at"), "piece_at", "piece")
+    mine = numbered.join(records, ["file", "split"]).withColumn("piece_at", F.col("base") + F.col("rel")).where("piece_at >= record_at and piece_at < next")
     schema = ", ".join(["file string", "at long", *CANDIDATE.split(", ")[5:]])
-    return mine.groupBy("file", "at").applyInPandas(_joined, schema)
+    return mine.select("file", F.col("record_at").alias("at"), "piece_at", "piece").groupBy("file", "at").applyInPandas(_joined, schema)
 
 
 def op5_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,13 +139,27 @@ def test_warc_truncated_and_empty(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_fake_headers_are_not_held(spark, tmp_path, monkeypatch):
+    """Thousands of headers inside a payload, some of huge length: rows of candidates hold every byte once, and all records come back."""
+    monkeypatch.setattr(warc, "MOST_HELD", 200_000)
+    fakes = "".join(FAKE.format(10 ** (2 + i % 9)) for i in range(3000))
+    rows = [(1, "u", "first"), (2, "u", fakes), (3, "u", "z" * 300_000), (4, "u", FAKE.format(150_000)), *((i, "u", f"page {i}") for i in range(5, 60))]
+    path = f"file://{tmp_path}/f"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    found = warc.pieces(spark, path).mapInPandas(warc._candidates, warc.CANDIDATE)
+    held = found.agg(F.sum(F.octet_length("payload")).alias("n"), F.count("*").alias("rows")).first()
+    assert held["rows"] > 3000 and held["n"] < 2 * sum(len(r[2]) for r in rows)
+    got = {int(r["page_id"]): bytes(r["payload"]).decode() for r in warc.read_warc(spark, path).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def python_shard(key, shards):
     u = {s: (int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13 for s in shards}
     return max(shards, key=lambda s: (-shards[s] / np.log(u[s])))
 
 
 def test_rendezvous(spark):
-    df = spark.createDataFrame([(i, f"s{i % 3}", "x") for i in range(3000)] + [(None, "n", "x"), (7, "twice", "x")], "doc_id long, shard_x string, _block string").select("doc_id", F.col("shard_x").alias("text"), F.col("_block").alias("clash"))
+    df = spark.createDataFrame([(i, f"s{i % 3}", "x") for i in range(3000)] + [(None, "n", "x"), (7, "twice", "x")], "doc_id long, text string, _block string").withColumn("_slots0", F.lit("mine"))
     weights, grown = {0: 1.0, 1: 2.0, 2: 1.0, 3: 0.0}, {0: 1.0, 1: 2.0, 2: 1.0, 3: 0.0, 4: 1.0}
     rows = sharding.with_slots(sharding.with_shards(df, "doc_id", weights, grown), "doc_id", [F.col("doc_id"), F.col("text")], blocks=8).collect()
     assert len(rows) == 3002
