@@ -5,26 +5,29 @@ is untouched: an Aho-Corasick automaton over all pieces finds exact hits, and My
 text around each hit and gives the distance. Both sides are lower-cased and runs of white space count as one space.
 
 The benchmark is a stated query set and is run against all documents in blocks: a block has at most ``BLOCK_CHARS``
-characters of items, which bounds what is sent to the tasks; a larger benchmark takes more blocks. Documents are never
-shuffled.
+characters of items, which bounds what is sent to the tasks; a larger benchmark takes more blocks, each a job of its own
+over all documents. A worker process makes the automaton of a block once. Documents are never shuffled.
 
 Defined results: null and empty texts match nothing; null and empty items are never found; an item with a null id is
 found like any other and reported with a null ``item_id``, and items that share an id each; an item too short for an edit must
 occur exactly; of the occurrences of an item in a document the best is reported, the first of equals; repeated rows
-are reported each; further columns are ignored.
+are reported each; very long texts are searched whole; without documents or items the result is empty, or the documents
+as they are; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import slices, table
+from noticeloom.llm.common import slices, table, written
 
 #: Edits a character of an item.
 RATE = 0.08
@@ -131,9 +134,22 @@ class Matcher:
         return out
 
 
+_LAST: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, items: list[Item], rate: float) -> Matcher:
+    """The automaton of a block, made once in a worker process and kept until the next block."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Matcher(items, rate)
+    return _LAST[name]
+
+
 def _searcher(items: list[Item], rate: float):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(items, rate)
+        matcher = matcher_of(name, items, rate)
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -159,21 +175,31 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[
         yield block
 
 
+def with_last(blocks: Iterator[list[Item]]) -> Iterator[tuple[list[Item], bool]]:
+    """Each block, and whether it is the last."""
+    before = next(blocks, None)
+    while before is not None:
+        after = next(blocks, None)
+        yield before, after is None
+        before = after
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``doc_id, item_id, distance, budget, match_start, match_end`` (code points of the text), a row a document and item."""
-    spark = docs.sparkSession
-    found = None
-    for block in item_blocks(benchmark):
+    spark, found = docs.sparkSession, []
+    for block, last in with_last(item_blocks(benchmark)):
         part = docs.select("doc_id", "text").mapInPandas(_searcher(block, rate), FOUND)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], FOUND)
+        # each block is a job of its own: no plan and no worker holds two
+        found.append(part if last and not found else written(part, "contamination"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
 
 
 def holds_any(items: list[Item], rate: float, text: Column) -> Column:
     """Whether a text holds an item of the block."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(items, rate)
+        matcher = matcher_of(name, items, rate)
         for batch in slices(batches):
             yield batch.map(lambda t: bool(t and matcher.find(normal(t)))).astype(bool)
 
@@ -182,8 +208,10 @@ def holds_any(items: list[Item], rate: float, text: Column) -> Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item, with all their columns. Each row is judged by its own text."""
-    for block in item_blocks(benchmark):
+    for block, last in with_last(item_blocks(benchmark)):
         docs = docs.where(~holds_any(block, rate, docs["text"]))
+        if not last:
+            docs = written(docs, "decontaminated")
     return docs
 
 
