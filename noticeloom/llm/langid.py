@@ -5,17 +5,19 @@ support vector machines over hashed character 1- to 3-grams of the whole text (l
 one space; square roots of frequencies, scaled to unit length).
 
 Training uses documents with a text and a language outside the held-out third, from a bounded sample: about
-``PER_LANGUAGE`` documents a language and ``MOST_ROWS`` in all, those with the least hashes of their id. The sample's features, not its texts, reach
-the driver; prediction runs over all documents in the tasks and shuffles nothing. A prediction sees the text alone.
+``PER_LANGUAGE`` documents a language and ``MOST_ROWS`` in all, those with the least hashes of id and text, equal rows once. The sample's features,
+not its texts, reach the driver; prediction runs over all documents in the tasks and shuffles nothing. A prediction sees the text alone.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any labelled document everything
 is ``und``; with a single language every text with a letter is that language; ties go to the language that sorts first;
-repeated rows are predicted each; further columns are ignored. The score is the probability of the family times that of
+repeated rows are predicted each; very long texts count whole; an empty table gives an empty result; further columns are
+ignored. The score is the probability of the family times that of
 the language in it, each a mean of logistic margins.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,9 +50,15 @@ SHARE, MISSED = 0.5, 0.01
 LANGUAGE = "lang_pred string, score double"
 
 
+@functools.lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Which code points are letters; there are none from U+40000 on."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x40000)), bool, 0x40000)
+
+
 class Featurizer:
     def __init__(self):
-        self.letter = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+        self.letter = letters()
 
     def codes(self, text: str) -> np.ndarray:
         """Code points of letters with 0 for each run of anything else, and 0 at both ends; empty without a letter."""
@@ -166,14 +174,12 @@ def _sample(usable: DataFrame, per_language: int, most_rows: int) -> tuple[DataF
         return None, 0
     each = max(1, min(per_language, most_rows // len(counts)))
     # a few more than needed, as the hash decides for each row alone; the driver keeps the least hashes
-    place = (F.xxhash64("doc_id") / F.lit(2.0**64)) + 0.5
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        if n > 2 * each:
-            share = F.when(F.col("lang") == lang, 1.5 * each / n).otherwise(share)
-        else:
-            share = F.when(F.col("lang") == lang, 1.0).otherwise(share)
-    return usable.select(place.alias("place"), "lang", "text").where(F.col("place") <= share), each
+    place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64)) + 0.5
+    shares = [(lang, 1.5 * each / n if n > 2 * each else 1.0) for lang, n in counts.items()]
+    table = usable.sparkSession.createDataFrame(shares, "lang string, share double")  # at most ``most_rows`` of them
+    near = usable.select(place.alias("place"), "lang", "text").join(F.broadcast(table), "lang").where("place <= share")
+    # equal rows have one place: they count once, however many there are
+    return near.groupBy("lang", "place").agg(F.first("text").alias("text")), each
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> dict | None:
