@@ -8,12 +8,14 @@ key; counts of shards and blocks give each block its first slot, and a window nu
 task holds a whole shard.
 
 Defined results: a null key counts as the string ``null``; rows with the same key share a shard and get different slots
-(equal rows are interchangeable); further columns pass through unchanged.
+(equal rows are interchangeable); an empty table gives an empty result; texts are only measured, so very long ones are
+as good as short ones; further columns pass through unchanged, whatever their names. More ``blocks`` make smaller windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,17 +52,18 @@ def with_slots(df: DataFrame, key: str, order: list[Column], blocks: int = 512)
 
     The table of counts has at most shards x blocks rows; that bounds what the join sends around.
     """
-    block = hex_uniform(F.concat(F.lit("block:"), _name(F.col(key))), 7) % blocks
-    placed = df.withColumn("_block", block)
-    counts = placed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("shard", "_block").orderBy(*order)
+    own = iter(f"_slots{i}" for i in count() if f"_slots{i}" not in df.columns)
+    block, n, first, rank = (next(own) for _ in range(4))
+    placed = df.withColumn(block, hex_uniform(F.concat(F.lit("block:"), _name(F.col(key))), 7) % blocks)
+    counts = placed.groupBy("shard", block).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("shard", block, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    inside = Window.partitionBy("shard", block).orderBy(*order)
     return (
-        placed.withColumn("_rank", F.row_number().over(inside))
-        .join(F.broadcast(first), ["shard", "_block"])
-        .withColumn("slot", F.col("_first") + F.col("_rank") - 1)
-        .drop("_first", "_rank", "_block")
+        placed.withColumn(rank, F.row_number().over(inside))
+        .join(F.broadcast(firsts), ["shard", block])
+        .withColumn("slot", F.col(first) + F.col(rank) - 1)
+        .drop(first, rank, block)
     )
 
 
