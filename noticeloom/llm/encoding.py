@@ -14,17 +14,22 @@ import gc
 import json
 import os
 import re
+import struct
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Words that a worker remembers at most; beyond it the older half is forgotten.
-MOST_REMEMBERED = 800_000
+MOST_REMEMBERED = 600_000
 #: Bytes of texts that are worked on at once, or one text.
 MOST_AT_ONCE = 8 << 20
 #: A word and marks after it: two words of the pattern, without asking it.
@@ -60,10 +65,11 @@ class WordEncoder:
         self.model, self.characters = self.tokenizer.model, byte_characters()
         self.by_words = self._cuts_as_expected()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of words, and of what follows a space together with the space; None where white space beside the space makes it
+        self.packers = [struct.Struct(f"<{n}{self.code}").pack for n in range(16)]
+        #: Ids of words, and of what follows a space together with the space; none where white space beside the space makes it
         #: no start of a word.
         self.words: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes | None] = {}
+        self.after_space: dict[str, bytes] = {}
 
     def _cuts_as_expected(self) -> bool:
         said = json.loads(self.tokenizer.to_str())
@@ -71,36 +77,44 @@ class WordEncoder:
         plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         return said["normalizer"] is None and model["type"] == "BPE" and plain and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex")) and not cut.get("add_prefix_space")
 
-    def _learn(self, memory: dict, words: list[str], prefix: str) -> None:
+    def _learn(self, memory: dict, words: Iterable[str], prefix: str) -> None:
         """Let the library's model encode new words."""
-        model, code, space = self.model.tokenize, self.code, self.characters[32]
+        model, space, packers = self.model.tokenize, self.characters[32], self.packers
         for word in words:
             if prefix and word.isascii() and word.isalpha():
                 shown = space + word
             else:
                 shown = (prefix + word).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
-            memory[word] = array(code, [t.id for t in model(shown)]).tobytes()
+            ids = [t.id for t in model(shown)]
+            memory[word] = packers[len(ids)](*ids) if len(ids) < len(packers) else array(self.code, ids).tobytes()
 
     def _learn_after_space(self, chunks: list[str]) -> None:
-        spaced, bare, composed = {}, {}, []
+        alone, firsts, bare, composed, after = [], {}, {}, [], self.after_space
         for chunk in chunks:
             if chunk.isalpha():
-                spaced[chunk] = None
+                alone.append(chunk)
             elif m := _MARKED(chunk):
                 first, rest = m.groups()
-                spaced[first] = bare[rest] = None
+                if first not in after:
+                    firsts[first] = None
+                bare[rest] = None
                 composed.append((chunk, first, (rest,)))
             elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                self.after_space[chunk] = None
+                after[chunk] = b""
             else:
                 first, *rest = self.cut(" " + chunk)
-                spaced[first[1:]] = None
-                if rest:
-                    bare.update(dict.fromkeys(rest))
-                    composed.append((chunk, first[1:], rest))
-        self._learn(self.after_space, [w for w in spaced if w not in self.after_space], " ")
-        self._learn(self.words, [w for w in bare if w not in self.words], "")
-        after, words = self.after_space, self.words.__getitem__
+                first = first[1:]
+                if not rest:
+                    alone.append(chunk)
+                    continue
+                if first not in after:
+                    firsts[first] = None
+                bare.update(dict.fromkeys(rest))
+                composed.append((chunk, first, rest))
+        self._learn(after, alone, " ")
+        self._learn(after, (w for w in firsts if w not in after), " ")
+        self._learn(self.words, (w for w in bare if w not in self.words), "")
+        words = self.words.__getitem__
         for chunk, first, rest in composed:
             after[chunk] = after[first] + (words(rest[0]) if len(rest) == 1 else b"".join(map(words, rest)))
 
@@ -135,14 +149,16 @@ class WordEncoder:
                 for old in list(islice(memory, len(memory) - MOST_REMEMBERED // 2)):
                     del memory[old]
         values = list(map(self.after_space.get, known))
-        if new := [w for w, v in zip(known, values, strict=True) if v is None and w not in self.after_space]:
+        new = [i for i, v in enumerate(values) if v is None]
+        if new:
             gc.disable()  # nothing here makes cycles, and looking for them among so many words takes long
             try:
-                self._learn_after_space(new)
+                self._learn_after_space([known[i] for i in new])
             finally:
                 gc.enable()
-            values = list(map(self.after_space.get, known))
-        spoilt = np.fromiter((v is None for v in values), bool, len(values))
+            for i in new:
+                values[i] = self.after_space[known[i]]
+        spoilt = np.fromiter(map(len, values), np.int64, len(values)) == 0
         # no space stands before the first, and none after the last, so these may have white space there
         whole = np.zeros(len(texts), bool)
         for string in self.added:
@@ -161,11 +177,11 @@ class WordEncoder:
         for i in again.tolist():
             text = texts[i].as_py()
             values[codes[begin[i]]] = self._whole(text) if whole[i] else self._cut(text)
-        sizes = np.fromiter((len(v) if v else 0 for v in values), np.int64, len(values)) // self.type.itemsize
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.type.itemsize
         counts = sizes[codes]
         for i in again.tolist():
             counts[begin[i] + 1 : end[i]] = 0
-        pool, starts = np.frombuffer(b"".join(v for v in values if v), self.type), np.cumsum(sizes) - sizes
+        pool, starts = np.frombuffer(b"".join(values), self.type), np.cumsum(sizes) - sizes
         ends = np.cumsum(counts)
         ids = pool[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1])]
         return ids, ends[end - 1]
@@ -183,3 +199,26 @@ class WordEncoder:
 def encoder(path: str) -> WordEncoder:
     """One encoder a worker process: the tasks that it runs share the words that they met."""
     return WordEncoder(path)
+
+
+def token_ids(text: Column, path: str | None = None) -> Column:
+    """The ids of a text, ``array<int>``; none for null."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            ids, ends = encoder(path).encode(batch.fillna("").tolist())
+            yield pd.Series(np.split(ids.astype(np.int32), ends[:-1]) if len(ends) else [], dtype=object)
+
+    return F.pandas_udf(run, "array<int>")(text)
+
+
+def token_count(text: Column, path: str | None = None) -> Column:
+    """How many tokens a text has; 0 for null."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(np.diff(encoder(path).encode(batch.fillna("").tolist())[1], prepend=0), dtype="int64")
+
+    return F.pandas_udf(run, "long")(text)

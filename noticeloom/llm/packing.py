@@ -10,9 +10,12 @@ least permitted length that holds its contents. Costs count that final length.
 A bin is lost at most at the end of each group, so the loss is about a part in a hundred of the bins at ``GROUP`` pieces
 of usual lengths; no task ever holds more than its group of narrow rows.
 
-Defined results: null and zero lengths have no tokens and take no place in a bin; they come back as a piece of length 0
-with a null bin; equal lengths are packed in order of id and piece; repeated rows are packed each; an empty table gives an
-empty result; further columns are ignored.
+``packed`` places lengths; ``packed_sequences`` encodes texts and makes the sequences themselves, with the spans that each
+holds. Lengths are tokens, so that a cut never falls inside one.
+
+Defined results: null, zero and negative lengths have no tokens and take no place in a bin; they come back as a piece of
+length 0 with a null bin; equal lengths are packed in order of id and piece; repeated rows are packed each; very long texts
+are cut; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import table
+from noticeloom.llm.common import table, written
+from noticeloom.llm.encoding import token_count, token_ids
 
-#: Permitted lengths, in tokens of a byte-level vocabulary: a token is a byte of UTF-8.
+#: Permitted lengths, in tokens.
 LENGTHS = (1024, 2048, 4096, 8192, 16384)
 GROUP = 2048
 #: Equal rows are numbered in arrays of so many.
@@ -89,7 +93,7 @@ def _packer(lengths: tuple[int, ...]):
 
 def pieces(docs: DataFrame, length: Column, most: int) -> DataFrame:
     """``doc_id`` and a length to ``doc_id, piece, start, length``."""
-    n = F.coalesce(length, F.lit(0)).cast("long")
+    n = F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long")
     cut = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / most).cast("int") - 1, F.lit(0))))
     rows = docs.select("doc_id", n.alias("n"), cut.alias("piece"))
     start = F.col("piece").cast("long") * most
@@ -98,7 +102,7 @@ def pieces(docs: DataFrame, length: Column, most: int) -> DataFrame:
 
 def packed(docs: DataFrame, length: Column, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
     """A row a piece: its bin, the bin's final length and contents, its position in the bin, and what it is of."""
-    cut = pieces(docs, length, max(lengths))
+    cut = written(pieces(docs, length, max(lengths)), "packing-pieces")  # lengths are counted once
     # equal rows are counted and numbered, so that rows that repeat an id are spread too; long runs in steps, as a run may be a large part of all
     groups = F.greatest(F.lit(1), F.ceil(F.lit(cut.where("length > 0").count()) / group)).cast("long")
     counted = cut.where("length > 0").groupBy("doc_id", "piece", "start", "length").agg(F.count("*").alias("n"))
@@ -110,5 +114,29 @@ def packed(docs: DataFrame, length: Column, lengths: tuple[int, ...] = LENGTHS,
     return full.unionByName(none)
 
 
+SEQUENCE = "array<struct<position: int, doc_id: bigint, piece: int, start: bigint, length: int>>"
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str | None = None, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP, pad: int = 0) -> DataFrame:
+    """``doc_id, text`` to ``bin_id, bin_length, ids, spans``: the ids of each bin, filled up with ``pad``, and what of which document they are.
+
+    ``spans`` are in order: position, doc_id, piece, first token in the document, number of tokens.
+    """
+    most = max(lengths)
+    # equal rows have equal ids, so that a hash of the row is as good a key as a number of it
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").alias("of"), token_ids(F.col("text"), tokenizer).alias("ids"))
+    coded = written(rows, "packing-ids")
+    placed = packed(coded.select(F.col("row").alias("doc_id"), F.size("ids").alias("n")), F.col("n"), lengths, group).where("bin_id is not null")
+    once = coded.where(F.size("ids") > 0).dropDuplicates(["row"])
+    cuts = once.select(F.col("row").alias("doc_id"), "of", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(most)), lambda i: F.slice("ids", i + 1, F.lit(most)))).alias("piece", "part"))
+    joined = placed.join(cuts, ["doc_id", "piece"])
+    one = F.struct("position", F.col("of").alias("doc_id"), "piece", "start", "length", "part")
+    bins = joined.groupBy("bin_id", "bin_length").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    ids = F.flatten(F.col("x.part"))
+    spans = F.transform("x", lambda s: F.struct(*(s[c] for c in ("position", "doc_id", "piece", "start", "length")))).cast(SEQUENCE)
+    return bins.select("bin_id", "bin_length", F.concat(ids, F.array_repeat(F.lit(pad), F.col("bin_length") - F.size(ids))).alias("ids"), spans.alias("spans"))
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), F.octet_length("text"))
+    docs = table(spark, sf_dir, "documents")
+    return packed(docs, token_count(docs["text"]))

@@ -305,10 +305,10 @@ def test_components_by_brute_force(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "t"), "t").collect()}
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in root if x not in alone}
-    assert components.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), common.Scratch(spark, "t"), "t").count() == 0
 
 
 def test_shared_counts():
@@ -409,7 +409,10 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     matcher = decontam.Matcher(items, decontam.RATE)
     expected = {r[0] for r in alive if not matcher.find(decontam.normal(r[1]))}
     assert {r["doc_id"] for r in out} == expected and not {9001, 9002, 9003, 9005, 9006} & expected
-    size = {r[0]: len(r[1].encode()) for r in rows if r[1]}
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_path())
+    size = {r[0]: len(whole.encode(r[1], add_special_tokens=False).ids) for r in rows if r[1]}
     kept = Counter()
     for r in out:
         kept[r["doc_id"]] += r["length"]
