@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom import settings
 from noticeloom.functions.times import least_distance_days
+from noticeloom.operators.shares import settled
 
 
 def within_days(left: DataFrame, right: DataFrame, left_time: str, right_time: str, days: int, keys: list[str]) -> DataFrame:
@@ -24,18 +27,25 @@ def within_days(left: DataFrame, right: DataFrame, left_time: str, right_time: s
 
 
 def candidate_pairs(notices: DataFrame) -> DataFrame:
-    """``a < b`` of notices with the same document, the same fingerprint or a date within the merge window.
+    """``a < b`` of notices that may be related: the same document, the same fingerprint, or near dates of one school.
 
-    ``notices``: ``id, kind, document, fingerprint, dates array<timestamp>``. Three equi-joins instead of one with OR;
-    dates only meet within a kind, as the relation demands.
+    ``notices``: ``id, type, classes, town, school_code, document, fingerprint, dates array<timestamp>``. Notices of one
+    document or fingerprint meet the least of them, which is enough to connect them. Dates meet within type, class, and
+    school code or town, as the relation demands all of these; four equi-joins instead of one with OR.
     """
+
     def equal(column: str) -> DataFrame:
         x = notices.where(F.col(column).isNotNull()).select("id", column)
-        return x.select(F.col("id").alias("a"), column).join(x.select(F.col("id").alias("b"), column), column).where("a < b").select("a", "b")
+        return x.join(x.groupBy(column).agg(F.min("id").alias("a")), column).select("a", F.col("id").alias("b")).where("a < b")
+
+    dated = notices.select("id", "type", F.explode(F.array_distinct("classes")).alias("class"), F.lower("town").alias("town"), "school_code", F.explode("dates").alias("t"))
 
-    dated = notices.select("id", "kind", F.explode("dates").alias("t"))
-    near = within_days(dated.select(F.col("id").alias("a"), "kind", F.col("t").alias("ta")), dated.select(F.col("id").alias("b"), "kind", F.col("t").alias("tb")), "ta", "tb", settings.MERGE_DAYS, ["kind"])
-    return equal("document").unionByName(equal("fingerprint")).unionByName(near.where("a < b").select("a", "b")).distinct()
+    def near(place: str) -> DataFrame:
+        x, keys = dated.where(F.col(place).isNotNull()).select("id", "type", "class", place, "t"), ["type", "class", place]
+        one, two = x.withColumnsRenamed({"id": "a", "t": "ta"}), x.withColumnsRenamed({"id": "b", "t": "tb"})
+        return within_days(one, two, "ta", "tb", settings.MERGE_DAYS, keys).where("a < b").select("a", "b")
+
+    return reduce(DataFrame.unionByName, (equal("document"), equal("fingerprint"), near("school_code"), near("town"))).distinct()
 
 
 def same_school(a_code: Column, b_code: Column, a_town: Column, b_town: Column) -> Column:
@@ -60,8 +70,8 @@ FIELDS = ("type", "classes", "town", "school_code", "protocol", "document", "fin
 
 
 def related_pairs(notices: DataFrame) -> DataFrame:
-    """``a, b, relation`` of all candidate pairs that are related."""
-    pairs = candidate_pairs(notices.withColumn("kind", F.col("type")))
+    """``a, b, relation`` of all candidate pairs that are related; of notices of one document those with the least."""
+    pairs = candidate_pairs(notices)
     left, right = (notices.select(F.col("id").alias(side), F.struct(*FIELDS).alias(f"_{side}")) for side in "ab")
     joined = pairs.join(left, "a").join(right, "b")
     one, two = ({f: F.col(f"_{side}")[f] for f in FIELDS} for side in "ab")
@@ -73,20 +83,15 @@ def oldest_equal(pairs: DataFrame) -> DataFrame:
     return pairs.where("relation = 'stesso'").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("same_as"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows computed once: checkpointed where the session has a folder for it, else cached. Long plans are cut here."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
-
-
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id`` and ``a, b`` to ``id, component``: the least id connected with it.
 
     Each round takes the least label among neighbours and then the label of that label, so that chains halve; labels are
-    checkpointed where the session names a folder for it, which cuts the lineage. Ends when no label changes.
+    checkpointed, which cuts the lineage. Ends when no label changes.
     """
     both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = settled(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         least = labels.join(seen, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("now"))
         jumped = least.join(labels.select(F.col("id").alias("now"), F.col("component").alias("far")), "now", "left")
@@ -94,8 +99,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         changed = not after.where("component <> before").isEmpty()
         labels = after.select("id", "component")
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def possible_duplicates(pairs: DataFrame, bridge: DataFrame) -> DataFrame:

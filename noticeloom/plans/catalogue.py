@@ -176,16 +176,7 @@ def comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates meet within a customer here, as towns stand for customers."""
-    n = comparable(spark, sf_dir)
-    same = n.where("document is not null").select("id", "document")
-    docs = same.select(F.col("id").alias("a"), "document").join(same.select(F.col("id").alias("b"), "document"), "document").where("a < b").select("a", "b")
-    t = n.select("id", "town", F.get("dates", F.lit(0)).alias("t"))
-    near = merging.within_days(t.select(F.col("id").alias("a"), "town", F.col("t").alias("ta")), t.select(F.col("id").alias("b"), "town", F.col("t").alias("tb")), "ta", "tb", 7, ["town"])
-    pairs = docs.unionByName(near.where("a < b").select("a", "b")).distinct()
-    left, right = (n.select(F.col("id").alias(s), F.struct(*merging.FIELDS).alias(f"_{s}")) for s in "ab")
-    one, two = ({f: F.col(f"_{s}")[f] for f in merging.FIELDS} for s in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", merging.relation(one, two).alias("relation")).where("relation is not null")
+    return merging.related_pairs(comparable(spark, sf_dir))
 
 
 @query(f"WITH {RELATED_SQL} SELECT * FROM related")

@@ -23,6 +23,7 @@ from noticeloom import schemas
 from noticeloom.functions.places import Gazetteer
 from noticeloom.functions.text import fingerprint
 from noticeloom.operators import digest, extraction, merging, monitoring, rendering, upserts
+from noticeloom.operators.shares import settled
 
 HEAD_FIELDS = ["type", "staff", "classes", "school", "school_code", "town", "province", "province_from", "protocol", "protocol_date", "referred_protocol", "hours", "until", "deadline"]
 
@@ -34,18 +35,18 @@ def notices_of(publications: DataFrame, documents: DataFrame, gazetteer: Gazette
     region, following, error``.
     """
     headed = extraction.heading_record(publications.withColumn("labels", F.transform("documents", lambda d: d["label"])), gazetteer)
-    base = merging.settled(headed.select("publication", "published", "head", "documents"))
+    base = settled(headed.select("publication", "published", "head", "documents"))
     named = documents.join(base.select("publication", "published"), "publication")
     read = extraction.document_record(named.where("text is not null"), gazetteer)
     calls = read.where(extraction.is_notice(F.col("doc.subject"), F.col("url")))
-    once = merging.settled(extraction.one_per_subject(merging.settled(calls)).select("publication", "hash", "text", "doc", "place"))
+    once = settled(extraction.one_per_subject(settled(calls)).select("publication", "hash", "text", "doc", "place"))
     both = extraction.merged(once.join(base, "publication"))
     of_documents = both.select("publication", "published", F.col("hash").alias("document"), fingerprint(F.col("text")).alias("fingerprint"), F.lit(False).alias("unread"), F.lit(False).alias("unreadable"), "disagreements", *(F.col(f"merged.{f}").alias(f) for f in HEAD_FIELDS))
     state = documents.groupBy("publication").agg(F.bool_or(F.col("hash").isNull()).alias("unread"), F.bool_or(F.col("error").isNotNull() & F.col("hash").isNotNull()).alias("unreadable"))
     rest = base.join(of_documents.select("publication").distinct(), "publication", "left_anti").join(state, "publication", "left")
     none = F.lit(None).cast("string")
     of_headings = rest.select("publication", "published", none.alias("document"), none.alias("fingerprint"), F.coalesce("unread", F.lit(False)).alias("unread"), F.coalesce("unreadable", F.lit(False)).alias("unreadable"), F.array().cast("array<struct<field:string,heading:string,document:string>>").alias("disagreements"), *(F.col(f"head.{f}").alias(f) for f in HEAD_FIELDS))
-    return merging.settled(of_documents.unionByName(of_headings))
+    return settled(of_documents.unionByName(of_headings))
 
 
 def linked(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,7 +55,7 @@ def linked(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     A merged notice is the component of the relation ``same``; its id is the least, its fields those of the best record.
     """
     comparable = extracted.withColumn("dates", F.array("published"))
-    pairs = merging.settled(merging.related_pairs(comparable))
+    pairs = settled(merging.related_pairs(comparable))
     same = merging.components(extracted.select("id"), pairs.where("relation = 'stesso'").select("a", "b"))
     labelled = extracted.join(same, "id")
     notices = upserts.better(labelled.withColumn("arrived", F.col("id")), "component").drop("id", "arrived").withColumnRenamed("component", "id")
@@ -84,10 +85,10 @@ def daily_messages(notices: DataFrame, first_seen: DataFrame, recipients: DataFr
     people = recipients.where("active").join(firsts, "recipient", "left")
     # recipients have a ``created`` of their own
     seen = notices.drop("published", "created", "updated").join(first_seen, "id")
-    entries = merging.settled(digest.digest(seen, people.select("recipient", "classes", "provinces", "created", "first_digest"), ledger.select("recipient", "id"), at))
+    entries = settled(digest.digest(seen, people.select("recipient", "classes", "provinces", "created", "first_digest"), ledger.select("recipient", "id"), at))
     single = entries.join(people.where(~F.col("split")).select("recipient"), "recipient").withColumn("for_province", F.lit(None).cast("string"))
     split = digest.by_province(entries.join(people.where("split").select("recipient"), "recipient"), people.where("split").select("recipient", F.explode("provinces").alias("for_province")))
-    every = merging.settled(single.unionByName(split.select(single.columns)))
+    every = settled(single.unionByName(split.select(single.columns)))
     wanted = every.select("recipient", F.col("for_province").alias("province")).distinct()
     open_ = digest.not_served(wanted, digests.where(F.col("day") == day).select("recipient", "province")).withColumnRenamed("province", "for_province")
     kept = every.join(open_, (every["recipient"] == open_["recipient"]) & every["for_province"].eqNullSafe(open_["for_province"]), "left_semi")
