@@ -18,7 +18,6 @@ import struct
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,12 +27,12 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers at most; beyond it the older half is forgotten.
-MOST_REMEMBERED = 600_000
+#: Words that a worker remembers at most: a generation of half as many, and the one before it.
+MOST_REMEMBERED = 800_000
 #: Bytes of texts that are worked on at once, or one text.
 MOST_AT_ONCE = 8 << 20
-#: A word and marks after it: two words of the pattern, without asking it.
-_MARKED = re.compile(r"([A-Za-z]+)([!-/:-@\[-`{-~]+)").fullmatch
+#: Letters and marks after them: two words of the pattern, without asking it.
+_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
 
 
 def default_path() -> str:
@@ -63,6 +62,7 @@ class WordEncoder:
             raise NotImplementedError("ids are made in the machine's byte order")
         self.type, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
         self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.model._resize_cache(0)  # words are remembered here
         self.by_words = self._cuts_as_expected()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.packers = [struct.Struct(f"<{n}{self.code}").pack for n in range(16)]
@@ -70,6 +70,8 @@ class WordEncoder:
         #: no start of a word.
         self.words: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
+        #: What was remembered after a space before this generation: what is met again goes over to it, the rest is forgotten.
+        self.before: dict[str, bytes] = {}
 
     def _cuts_as_expected(self) -> bool:
         said = json.loads(self.tokenizer.to_str())
@@ -79,44 +81,60 @@ class WordEncoder:
 
     def _learn(self, memory: dict, words: Iterable[str], prefix: str) -> None:
         """Let the library's model encode new words."""
-        model, space, packers = self.model.tokenize, self.characters[32], self.packers
+        model, space, packers, characters = self.model.tokenize, self.characters[32], self.packers, self.characters.__getitem__
         for word in words:
             if prefix and word.isascii() and word.isalpha():
                 shown = space + word
             else:
-                shown = (prefix + word).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
+                shown = "".join(map(characters, (prefix + word).encode("utf-8", "surrogatepass")))
             ids = [t.id for t in model(shown)]
             memory[word] = packers[len(ids)](*ids) if len(ids) < len(packers) else array(self.code, ids).tobytes()
 
-    def _learn_after_space(self, chunks: list[str]) -> None:
-        alone, firsts, bare, composed, after = [], {}, {}, [], self.after_space
+    def _parts(self, chunk: str, space: str) -> tuple[str, ...]:
+        """The words of ``space`` (one, or none) and a chunk without white space at its ends, without the space."""
+        if chunk.isalpha():
+            return (chunk,)
+        if (m := _MARKED(chunk)) and m[1].isalpha():
+            return m.groups()
+        first, *rest = self.cut(space + chunk)
+        return first[len(space) :], *rest
+
+    def _after_space(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks together with the space before them; none where white space at an end makes it no start of a word.
+
+        What a line break joins is seldom the same twice: its ids are put together and not remembered.
+        """
+        after, words, firsts, bare, composed = self.after_space, self.words, {}, {}, []
+        out = {}
         for chunk in chunks:
-            if chunk.isalpha():
-                alone.append(chunk)
-            elif m := _MARKED(chunk):
-                first, rest = m.groups()
-                if first not in after:
-                    firsts[first] = None
-                bare[rest] = None
-                composed.append((chunk, first, (rest,)))
-            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                after[chunk] = b""
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                out[chunk] = after[chunk] = b""
+                continue
+            line, broken, more = chunk.partition("\n")
+            if broken and line and more and not (line[-1].isspace() or more[0].isspace()):
+                first, *rest = self._parts(line, " ")
+                rest += ("\n", *self._parts(more, ""))
             else:
-                first, *rest = self.cut(" " + chunk)
-                first = first[1:]
-                if not rest:
-                    alone.append(chunk)
-                    continue
-                if first not in after:
+                first, *rest = self._parts(chunk, " ")
+            if first not in after:
+                if (ids := self.before.get(first)) is None:
                     firsts[first] = None
-                bare.update(dict.fromkeys(rest))
-                composed.append((chunk, first, rest))
-        self._learn(after, alone, " ")
-        self._learn(after, (w for w in firsts if w not in after), " ")
-        self._learn(self.words, (w for w in bare if w not in self.words), "")
-        words = self.words.__getitem__
-        for chunk, first, rest in composed:
-            after[chunk] = after[first] + (words(rest[0]) if len(rest) == 1 else b"".join(map(words, rest)))
+                else:
+                    after[first] = ids
+            for word in rest:
+                if word not in words:
+                    bare[word] = None
+            composed.append((chunk, first, rest, not broken))
+        self._learn(after, firsts, " ")
+        self._learn(words, bare, "")
+        for chunk, first, rest, often in composed:
+            ids = after[first]
+            if rest:
+                ids = b"".join((ids, *map(words.__getitem__, rest)))
+                if often:
+                    after[chunk] = ids
+            out[chunk] = ids
+        return out
 
     def _cut(self, text: str) -> bytes:
         words = self.cut(text)
@@ -143,21 +161,27 @@ class WordEncoder:
         begin = split.offsets.to_numpy()[: len(texts)].astype(np.int64)
         end = split.offsets.to_numpy()[1 : len(texts) + 1].astype(np.int64)
         chunks = split.values.dictionary_encode()
-        codes, known = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-        for memory in (self.words, self.after_space):
-            if len(memory) > MOST_REMEMBERED:
-                for old in list(islice(memory, len(memory) - MOST_REMEMBERED // 2)):
-                    del memory[old]
-        values = list(map(self.after_space.get, known))
-        new = [i for i, v in enumerate(values) if v is None]
+        codes, known = chunks.indices.to_numpy(zero_copy_only=False).copy(), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.after_space) > MOST_REMEMBERED // 2:
+            self.before, self.after_space = self.after_space, {}
+        if len(self.words) > MOST_REMEMBERED // 4:
+            self.words = {}
+        values, new = list(map(self.after_space.get, known)), []
+        for i, v in enumerate(values):
+            if v is None:
+                word = known[i]
+                if (v := self.before.get(word)) is None:
+                    new.append(i)
+                else:
+                    values[i] = self.after_space[word] = v
         if new:
             gc.disable()  # nothing here makes cycles, and looking for them among so many words takes long
             try:
-                self._learn_after_space([known[i] for i in new])
+                found = self._after_space([known[i] for i in new])
             finally:
                 gc.enable()
             for i in new:
-                values[i] = self.after_space[known[i]]
+                values[i] = found[known[i]]
         spoilt = np.fromiter(map(len, values), np.int64, len(values)) == 0
         # no space stands before the first, and none after the last, so these may have white space there
         whole = np.zeros(len(texts), bool)
@@ -177,14 +201,15 @@ class WordEncoder:
         for i in again.tolist():
             text = texts[i].as_py()
             values[codes[begin[i]]] = self._whole(text) if whole[i] else self._cut(text)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.type.itemsize
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // self.type.itemsize
         counts = sizes[codes]
         for i in again.tolist():
             counts[begin[i] + 1 : end[i]] = 0
-        pool, starts = np.frombuffer(b"".join(values), self.type), np.cumsum(sizes) - sizes
-        ends = np.cumsum(counts)
-        ids = pool[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1])]
-        return ids, ends[end - 1]
+        pool, starts = np.frombuffer(b"".join(values), self.type), np.cumsum(sizes, dtype=np.int32) - sizes
+        ends = np.cumsum(counts, dtype=np.int32)
+        at = np.repeat(starts[codes] - (ends - counts), counts)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return pool[at], ends[end - 1].astype(np.int64)
 
     def byte_lengths(self) -> np.ndarray:
         """Bytes of each id: in a byte-level vocabulary every character stands for a byte, and added tokens are plain text."""

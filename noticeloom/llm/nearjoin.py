@@ -11,8 +11,8 @@
    nodes, mostly the same in many trees, give their few pairs once; in large nodes the rest only has to connect: a block
    asks about what isn't connected yet and emits a spanning forest, never all its pairs.
 5. Inside each connected group of candidates *all* pairs are verified exactly, in blocks of classes against blocks. Links
-   are counted in the task and never emitted. Texts are cut into shingles once a class; the shingles of a class travel once
-   for each block of ``VERIFY`` classes that its group has, so once in all but very large groups.
+   are counted in the task and never emitted. The text of a class travels and is cut into shingles once for each block of
+   ``VERIFY`` classes that its group has, so once in all but very large groups.
 
 The join returns a row for each document: ``class_id`` (the least id of the documents that links connect with it),
 ``n_links`` (documents other than this one with a similarity of at least the threshold, copies included) and ``words_id``
@@ -48,19 +48,21 @@ MOST_BROADCAST = 500_000
 #: Nodes of so many classes at most give their pairs as rows, at most 28 a node; larger ones are worked on in blocks.
 SMALL = 8
 
-SIGNED = "doc_id long, text_hash long, key binary, sig binary"
+SIGNED = "doc_id long, text_hash long, key binary, n int, sig binary"
 
 
 def _signer(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, hasher = Shingler(width), MinHasher(TREES * DEPTH)
         for batch in slices(batches):
-            keys, sigs = [], []
+            keys, sizes, sigs = [], [], []
             for text in batch["text"]:
                 words = words_of(text)
                 keys.append(text_key(words) if words else None)
-                sigs.append(hasher.signature(shingler.shingles(words)).astype(">u4").tobytes() if words else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "key": keys, "sig": sigs})
+                shingles = shingler.shingles(words)
+                sizes.append(len(shingles))
+                sigs.append(hasher.signature(shingles).astype(">u4").tobytes() if words else None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "key": keys, "n": sizes, "sig": sigs})
 
     return run
 
@@ -140,17 +142,7 @@ def _likely(least: float):
     return run
 
 
-def _shingled(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(width)
-        for batch in slices(batches):
-            sets = [shingler.shingles(words_of(t)) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
-
-    return run
-
-
-def _verifier(threshold: float):
+def _verifier(width: int, threshold: float):
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         """Exact similarities in a block of a group of candidates, or between two: links of each class, and a spanning forest."""
         a, b = group[~group["other"]], group[group["other"]]
@@ -159,8 +151,9 @@ def _verifier(threshold: float):
             b = a
         if a.empty:
             return pd.DataFrame({"a": [], "b": [], "links": []}).astype({"a": "int64", "b": "Int64", "links": "int64"})
-        left = [np.frombuffer(s, np.uint64) for s in a["shingles"]]
-        right = left if same else [np.frombuffer(s, np.uint64) for s in b["shingles"]]
+        shingler = Shingler(width)
+        left = [shingler.shingles(words_of(t)) for t in a["text"]]
+        right = left if same else [shingler.shingles(words_of(t)) for t in b["text"]]
         shared, na, nb = shared_counts(left, right), a["n"].to_numpy(), b["n"].to_numpy()
         linked = np.empty(shared.shape, bool)
         for i, row in enumerate(shared):
@@ -197,8 +190,8 @@ def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signed = scratch.written(texts.mapInPandas(_signer(width), SIGNED), "signed")
     usable = signed.where("key is not null and doc_id is not null")
-    named = usable.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
-    classes = scratch.written(named.select("key", "copies", F.xxhash64("key").alias("id"), "first.*"), "classes")
+    named = usable.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = scratch.written(named.select("key", "copies", "n", F.xxhash64("key").alias("id"), "first.*"), "classes")
     # one signature a class
     firsts = classes.select("id", "key", "doc_id", "text_hash").join(signed.select("key", "doc_id", "text_hash", "sig"), ["key", "doc_id", "text_hash"]).dropDuplicates(["key"])
     labels = firsts.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.col("sig").substr(t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "label"))
@@ -220,18 +213,17 @@ def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     # so many tasks whatever the size in bytes: the work is in comparing
     connected = many.repartition(parts, "tree", "node", "i", "j").groupBy("tree", "node", "i", "j").applyInPandas(_connector(least), "a long, b long")
     groups = components(told.mapInPandas(_likely(least), "a long, b long").unionByName(connected), scratch, "candidates")
-    chosen = scratch.written(groups.join(classes.select("id", "copies", "doc_id", "text_hash"), "id"), "groups")
+    chosen = scratch.written(groups.join(classes.select("id", "copies", "n", "doc_id", "text_hash"), "id"), "groups")
     scratch.drop("trie", "members", "tags", "candidates")
     held = chosen.select("id", "doc_id", "text_hash").join(texts, ["doc_id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text"))
-    sets = scratch.written(held.mapInPandas(_shingled(width), "id long, n int, shingles binary"), "shingles")
-    sized = chosen.select("component", "id", "copies").join(sets.select("id", "n"), "id")
+    sized = chosen.select("component", "id", "copies", "n")
     # groups of more than one block are few: as a rule a broadcast brings their numbers to the rows
     number = F.ceil(F.greatest(F.count("*") / F.lit(VERIFY), F.sum("n") / F.lit(VERIFY_SHINGLES)))
     large = few(sized.groupBy("component").agg(number.alias("blocks")).where("blocks > 1"), MOST_BROADCAST)
     blocks = in_blocks(sized.join(large, "component", "left"), F.coalesce("blocks", F.lit(1)))
-    dealt = blocks.join(sets.select("id", "shingles"), "id").repartition(parts, "component", "i", "j")
-    verified = scratch.written(dealt.groupBy("component", "i", "j").applyInPandas(_verifier(threshold), "a long, b long, links long"), "verified")
-    scratch.drop("groups", "shingles")
+    dealt = blocks.join(held, "id").repartition(parts, "component", "i", "j")
+    verified = scratch.written(dealt.groupBy("component", "i", "j").applyInPandas(_verifier(width, threshold), "a long, b long, links long"), "verified")
+    scratch.drop("groups")
     clusters = components(verified.where("b is not null").select("a", "b"), scratch, "clusters")
     links = verified.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     least = clusters.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
