@@ -27,10 +27,12 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers at most: a generation of half as many, and the one before it.
-MOST_REMEMBERED = 800_000
+from noticeloom.llm.common import slices
+
+#: Words that a worker remembers at most: a generation of half as many, and the one before it. A word takes about 200 bytes.
+MOST_REMEMBERED = 200_000
 #: Bytes of texts that are worked on at once, or one text.
-MOST_AT_ONCE = 8 << 20
+MOST_AT_ONCE = 4 << 20
 #: Letters and marks after them: two words of the pattern, without asking it.
 _MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
 
@@ -51,11 +53,11 @@ def byte_characters() -> dict[int, str]:
 class WordEncoder:
     """Texts to ids, as little-endian unsigned integers wide enough for the vocabulary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = MOST_REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         #: Fixed value: the word pattern of byte-level vocabularies with ``use_regex``.
         self.cut = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
         if sys.byteorder != "little":
@@ -162,9 +164,9 @@ class WordEncoder:
         end = split.offsets.to_numpy()[1 : len(texts) + 1].astype(np.int64)
         chunks = split.values.dictionary_encode()
         codes, known = chunks.indices.to_numpy(zero_copy_only=False).copy(), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.after_space) > MOST_REMEMBERED // 2:
+        if len(self.after_space) > self.remembered // 2:
             self.before, self.after_space = self.after_space, {}
-        if len(self.words) > MOST_REMEMBERED // 4:
+        if len(self.words) > self.remembered // 4:
             self.words = {}
         values, new = list(map(self.after_space.get, known)), []
         for i, v in enumerate(values):
@@ -220,10 +222,10 @@ class WordEncoder:
         return np.array([added.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(size)], np.int64)
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, remembered: int = MOST_REMEMBERED) -> WordEncoder:
     """One encoder a worker process: the tasks that it runs share the words that they met."""
-    return WordEncoder(path)
+    return WordEncoder(path, remembered)
 
 
 def token_ids(text: Column, path: str | None = None) -> Column:
@@ -231,7 +233,7 @@ def token_ids(text: Column, path: str | None = None) -> Column:
     path = path or default_path()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             ids, ends = encoder(path).encode(batch.fillna("").tolist())
             yield pd.Series(np.split(ids.astype(np.int32), ends[:-1]) if len(ends) else [], dtype=object)
 
@@ -243,7 +245,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
     path = path or default_path()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             yield pd.Series(np.diff(encoder(path).encode(batch.fillna("").tolist())[1], prepend=0), dtype="int64")
 
     return F.pandas_udf(run, "long")(text)

@@ -29,11 +29,13 @@ END_ID = 2
 #: Bytes of text dealt to a task, and ids in a file at most (but for the last document of a file).
 SHARD_BYTES, FILE_TOKENS = 16 << 20, 8 << 20
 NO_ID = -(1 << 63)
+#: Words that the encoder remembers: here nothing else needs a worker's memory.
+REMEMBERED = 800_000
 
 
 def _file_writer(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, number = encoder(path), TaskContext.get().partitionId(), 0
+        coder, part, number = encoder(path, REMEMBERED), TaskContext.get().partitionId(), 0
         ids, docs, lengths, size = [], [], [], 0
 
         def file() -> pa.RecordBatch:

@@ -224,12 +224,11 @@ def test_encoder_forgets_and_splits(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(encoding, "MOST_REMEMBERED", 4)
     monkeypatch.setattr(encoding, "MOST_AT_ONCE", 50)
     texts = [f"word{i % 7} and, more!! of{i}  it\n's <|endoftext|>"[: 7 * i] for i in range(30)] + ["", "x " * 200]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = public_tokenizers.path(name)
-        words, whole = WordEncoder(path), Tokenizer.from_file(path)
+        words, whole = WordEncoder(path, 4), Tokenizer.from_file(path)
         ids, ends = words.encode(texts)
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
         assert words.by_words == (name == "byte_bpe_50k.json")
