@@ -35,18 +35,19 @@ def _first_rule(text: Column, rules: tuple, default) -> Column:
     return out.otherwise(default)
 
 
-def notice_type(text: Column) -> Column:
-    return _first_rule(fold(text), P.NOTICE_TYPES, P.DEFAULT_TYPE)
+def notice_type(text: Column, folded: Column | None = None) -> Column:
+    """``folded``: the folded text, where it is known already."""
+    return _first_rule(fold(text) if folded is None else folded, P.NOTICE_TYPES, P.DEFAULT_TYPE)
 
 
-def staff(text: Column) -> Column:
-    return _first_rule(fold(text), P.STAFF, P.DEFAULT_STAFF)
+def staff(text: Column, folded: Column | None = None) -> Column:
+    return _first_rule(fold(text) if folded is None else folded, P.STAFF, P.DEFAULT_STAFF)
 
 
-def classes(text: Column) -> Column:
+def classes(text: Column, folded: Column | None = None) -> Column:
     """``struct<codes, inferred>``: written codes, and what phrases on support and common posts add, with the phrase."""
     written = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(P.CLASS_CODE), F.lit(1)), class_code))
-    t = fold(text)
+    t = fold(text) if folded is None else folded
     none = F.lit(None).cast("string")
     grade = _first_rule(t, P.SUPPORT_GRADES, none)
     for value, pattern in P.SUPPORT_OVERRIDES:

@@ -13,35 +13,48 @@ from noticeloom.functions.text import fold, one_line
 TEXT_ARRAY = "array<string>"
 
 
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Working columns, each used by later ones: what many expressions share is computed once a row."""
+    for name, column in columns.items():
+        df = df.withColumn(f"_{name}", column)
+    return df
+
+
 def heading_record(publications: DataFrame, gazetteer: places.Gazetteer) -> DataFrame:
     """``heading, labels array<string>, published`` (and any other columns) with a ``head`` struct added."""
     heading = F.col("heading")
-    kind = codes.notice_type(heading)
-    found, place, code = codes.classes(heading), places.place(gazetteer, heading), codes.school_code(heading)
-    own, written = codes.protocol(F.col("labels")), codes.protocol(F.array(heading))
-    known = F.substring(code, 1, 2).isin(sorted(gazetteer.codes)) if gazetteer.codes else F.lit(False)
-    from_code = place["province"].isNull() & known
-    is_call = kind == P.DEFAULT_TYPE
-    return publications.withColumn(
-        "head",
-        F.struct(
-            kind.alias("type"),
-            codes.staff(heading).alias("staff"),
-            found["codes"].alias("classes"),
-            found["inferred"].alias("inferred"),
-            place["school"].alias("school"),
-            code.alias("school_code"),
-            place["town"].alias("town"),
-            F.when(from_code, F.substring(code, 1, 2)).otherwise(place["province"]).alias("province"),
-            F.when(from_code, "codice-meccanografico").otherwise(place["province_from"]).alias("province_from"),
-            F.coalesce(own["number"], F.when(is_call, written["number"])).alias("protocol"),
-            own["date"].alias("protocol_date"),
-            F.when(~is_call, written["number"]).alias("referred_protocol"),
-            codes.hours(heading).alias("hours"),
-            codes.until(heading).alias("until"),
-            places.deadline(heading, F.col("published")).alias("deadline"),
-        ),
+    known = F.substring("_code", 1, 2).isin(sorted(gazetteer.codes)) if gazetteer.codes else F.lit(False)
+    rows = staged(
+        publications,
+        folded=fold(heading),
+        place=places.place(gazetteer, heading),
+        deadline=places.deadline(heading, F.col("published")),
+        code=codes.school_code(heading),
+        own=codes.protocol(F.col("labels")),
+        written=codes.protocol(F.array(heading)),
+        kind=codes.notice_type(heading, F.col("_folded")),
+        found=codes.classes(heading, F.col("_folded")),
     )
+    place, own, written = F.col("_place"), F.col("_own"), F.col("_written")
+    from_code, is_call = place["province"].isNull() & known, F.col("_kind") == P.DEFAULT_TYPE
+    head = F.struct(
+        F.col("_kind").alias("type"),
+        codes.staff(heading, F.col("_folded")).alias("staff"),
+        F.col("_found.codes").alias("classes"),
+        F.col("_found.inferred").alias("inferred"),
+        place["school"].alias("school"),
+        F.col("_code").alias("school_code"),
+        place["town"].alias("town"),
+        F.when(from_code, F.substring("_code", 1, 2)).otherwise(place["province"]).alias("province"),
+        F.when(from_code, "codice-meccanografico").otherwise(place["province_from"]).alias("province_from"),
+        F.coalesce(own["number"], F.when(is_call, written["number"])).alias("protocol"),
+        own["date"].alias("protocol_date"),
+        F.when(~is_call, written["number"]).alias("referred_protocol"),
+        codes.hours(heading).alias("hours"),
+        codes.until(heading).alias("until"),
+        F.col("_deadline").alias("deadline"),
+    )
+    return rows.select(*publications.columns, head.alias("head"))
 
 
 def _first_true(flags: Column) -> Column:
@@ -100,35 +113,41 @@ def is_notice(subject_: Column, name: Column) -> Column:
 
 def document_record(documents: DataFrame, gazetteer: places.Gazetteer) -> DataFrame:
     """``text, region, following, published`` (and any other columns) with a ``doc`` struct added."""
-    text, lines = F.col("text"), letterhead(F.col("text"))
-    title = subject(F.coalesce(F.col("region"), subject_region(text)))
-    code, place = document_school_code(lines, text), places.letterhead_place(gazetteer, lines)
-    prefix = F.substring(code, 1, 2)
-    by_code = F.when(prefix.isin(sorted(gazetteer.codes)), prefix) if gazetteer.codes else F.lit(None).cast("string")
-    office = F.upper(codes.found(text, P.OFFICE_EMAIL, 1))
-    by_office = F.when(office.isin(sorted(gazetteer.codes)), office) if gazetteer.codes else F.lit(None).cast("string")
-    own = codes.protocol(F.array(before_subject(text)))
-    found = codes.classes(title)
+    text, lines, title = F.col("text"), F.col("_lines"), F.col("_title")
+    known = sorted(gazetteer.codes)
+    rows = staged(
+        documents,
+        lines=letterhead(text),
+        region=F.coalesce(F.col("region"), subject_region(text)),
+        title=subject(F.col("_region")),
+        folded=fold(title),
+        code=document_school_code(lines, text),
+        office=F.upper(codes.found(text, P.OFFICE_EMAIL, 1)),
+        place=places.letterhead_place(gazetteer, lines),
+        deadline=places.deadline(F.concat_ws("\n", text, F.col("following")), F.col("published")),
+        own=codes.protocol(F.array(before_subject(text))),
+        found=codes.classes(title, F.col("_folded")),
+    )
+    prefix, office, place, own = F.substring("_code", 1, 2), F.col("_office"), F.col("_place"), F.col("_own")
+    by_code, by_office = (F.when(c.isin(known), c) if known else F.lit(None).cast("string") for c in (prefix, office))
     empty = F.array().cast(TEXT_ARRAY)
     origin = F.when(by_code.isNotNull(), "documento-codice-meccanografico").when(by_office.isNotNull(), "documento-usp").otherwise(F.concat(F.lit("documento-"), place["province_from"]))
-    return documents.withColumn(
-        "doc",
-        F.struct(
-            title.alias("subject"),
-            F.when(title.isNotNull(), codes.notice_type(title)).alias("type"),
-            F.when(title.isNotNull(), codes.staff(title)).alias("staff"),
-            F.coalesce(found["codes"], empty).alias("classes"),
-            F.coalesce(found["inferred"], empty).alias("inferred"),
-            letterhead_school(lines).alias("school"),
-            code.alias("school_code"),
-            place["town"].alias("town"),
-            F.coalesce(by_code, by_office, place["province"]).alias("province"),
-            origin.alias("province_from"),
-            codes.protocol_number(own["number"]).alias("protocol"),
-            own["date"].alias("protocol_date"),
-            places.deadline(F.concat_ws("\n", text, F.col("following")), F.col("published")).alias("deadline"),
-        ),
+    doc = F.struct(
+        title.alias("subject"),
+        F.when(title.isNotNull(), codes.notice_type(title, F.col("_folded"))).alias("type"),
+        F.when(title.isNotNull(), codes.staff(title, F.col("_folded"))).alias("staff"),
+        F.coalesce(F.col("_found.codes"), empty).alias("classes"),
+        F.coalesce(F.col("_found.inferred"), empty).alias("inferred"),
+        letterhead_school(lines).alias("school"),
+        F.col("_code").alias("school_code"),
+        place["town"].alias("town"),
+        F.coalesce(by_code, by_office, place["province"]).alias("province"),
+        origin.alias("province_from"),
+        codes.protocol_number(own["number"]).alias("protocol"),
+        own["date"].alias("protocol_date"),
+        F.col("_deadline").alias("deadline"),
     )
+    return rows.select(*documents.columns, doc.alias("doc"))
 
 
 def merged(records: DataFrame, head: str = "head", doc: str = "doc") -> DataFrame:

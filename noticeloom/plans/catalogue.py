@@ -1,40 +1,19 @@
 """Every registered query of the engine on the given tables, and the SQL that each must agree with.
 
-Queries return scalar columns only. Each sets the session's time zone to UTC, as the tables' clocks are UTC.
+Queries return scalar columns only. Queries of records, recipients and configuration are in :mod:`noticeloom.plans.records`.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions import codes, text, times
 from noticeloom.functions import patterns as P
 from noticeloom.operators import digest, extraction, merging, monitoring, rendering, upserts
+from noticeloom.plans.registry import ORACLE_SQL, QUERIES, query
 from noticeloom.plans.tables import DIGEST_SQL, EVENTS_NOW, NOTICES_SQL, RECIPIENTS_SQL, now, notices, recipients, table, utc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        @functools.wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return run
-
-    return register
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), utc("ts").alias("published"), "user_id", "value")
 
@@ -578,3 +557,6 @@ def q_known_place(spark, sf_dir):
     n, k = notices(spark, sf_dir), F.col("id")
     heading = F.concat(F.lit("Interpello A011 Liceo Statale di "), F.get(names, (k % 6).cast("int")), F.when(k % 2 == 0, F.concat(F.lit(" ("), F.chr(65 + k % 5), F.lit("X)"))).otherwise(F.lit(" Marina")))
     return n.select("id", place(gazetteer, heading).alias("p")).select("id", "p.town", "p.province", "p.province_from", "p.school", "p.ambiguous")
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

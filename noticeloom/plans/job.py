@@ -81,7 +81,7 @@ def send(messages: DataFrame, sink, report: Callable[[str], None] = print) -> tu
 def daily_messages(notices: DataFrame, first_seen: DataFrame, recipients: DataFrame, ledger: DataFrame, digests: DataFrame, names: DataFrame, alerts, sources, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Messages of today that are not yet served, and the entries behind them."""
     at, day = F.lit(now), F.to_date(F.lit(now))
-    firsts = digests.groupBy("recipient").agg(F.min("sent").alias("first_digest"))
+    firsts = digest.first_digests(digests).drop("digests")
     people = recipients.where("active").join(firsts, "recipient", "left")
     # recipients have a ``created`` of their own
     seen = notices.drop("published", "created", "updated").join(first_seen, "id")
