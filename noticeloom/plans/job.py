@@ -1,11 +1,9 @@
-"""Parts of the daily job over whole tables. ``python -m noticeloom.plans.job --help``.
+"""The daily job over whole tables: collect, link, monitor, compose, deliver, record. ``python -m noticeloom.plans.job --help``.
 
-The command covers two parts: it extracts and links everything again from stored texts, and with ``--out`` it composes the
-day's digests as files, a dry run. It reads no source, monitors nothing, has no alerts and writes neither ledger nor digest
-rows; the operators for these exist and are not wired to it. Its digests lack links and notes on possible duplicates.
-
-State is a folder of Parquet tables. A run writes its tables to ``next`` in it and leaves the others as they were. Sending is
-the only serial part: messages stream through the driver a partition at a time, and ``send`` returns what was accepted.
+State is a folder of Parquet tables. A run reads it and writes the whole next state to ``next`` in it; the old one stays as it
+was, so that a run that breaks changes nothing. Sources are few: each is read by a job of its own, and one that fails is
+a row of the outcomes. All else works on whole tables. Messages are delivered by the tasks that made them, and the ledger is
+made from what the sink accepted.
 """
 
 from __future__ import annotations
@@ -13,17 +11,20 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom import schemas
+from noticeloom import schemas, settings
 from noticeloom.functions.places import Gazetteer
 from noticeloom.functions.text import fingerprint
-from noticeloom.operators import digest, extraction, merging, monitoring, rendering, upserts
+from noticeloom.functions.times import rome_day
+from noticeloom.operators import digest, extraction, merging, monitoring, rendering, shown, upserts
 from noticeloom.operators.shares import settled
+from noticeloom.sources.sinks import FileSink
 
 HEAD_FIELDS = ["type", "staff", "classes", "school", "school_code", "town", "province", "province_from", "protocol", "protocol_date", "referred_protocol", "hours", "until", "deadline"]
 
@@ -57,8 +58,12 @@ def linked(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     comparable = extracted.withColumn("dates", F.array("published"))
     pairs = settled(merging.related_pairs(comparable))
     same = merging.components(extracted.select("id"), pairs.where("relation = 'stesso'").select("a", "b"))
+    # the notice that was published first names the merged one; ids are hashes and say nothing of order
+    arrived = F.struct("published", "publication", "id")
+    oldest = extracted.join(same, "id").groupBy("component").agg(F.min_by("id", arrived).alias("oldest"))
+    same = settled(same.join(oldest, "component").select("id", F.col("oldest").alias("component")))
     labelled = extracted.join(same, "id")
-    notices = upserts.better(labelled.withColumn("arrived", F.col("id")), "component").drop("id", "arrived").withColumnRenamed("component", "id")
+    notices = upserts.better(labelled.withColumn("arrived", arrived), "component").drop("id", "arrived").withColumnRenamed("component", "id")
     bridge = labelled.select("publication", F.col("component").alias("id")).distinct()
     weak = pairs.where("relation = 'possibile-duplicato'").join(same.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(same.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     duplicates = merging.possible_duplicates(weak.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")), bridge)
@@ -78,8 +83,31 @@ def send(messages: DataFrame, sink, report: Callable[[str], None] = print) -> tu
     return accepted, failed
 
 
-def daily_messages(notices: DataFrame, first_seen: DataFrame, recipients: DataFrame, ledger: DataFrame, digests: DataFrame, names: DataFrame, alerts, sources, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """Messages of today that are not yet served, and the entries behind them."""
+def delivered(messages: DataFrame, folder: str) -> DataFrame:
+    """``recipient, variant, error``: each task delivers its messages and says what was accepted (null: accepted). Delivering again writes the same files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sink = FileSink(folder)
+        for batch in batches:
+            errors = []
+            for m in batch.itertuples():
+                try:
+                    sink.send(m.email, m.variant, m.subject, m.text, m.html)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  one recipient's failure is not another's
+                    errors.append(str(e).replace(m.email, "<destinatario>"))
+            yield pd.DataFrame({"recipient": batch["recipient"], "variant": batch["variant"], "error": errors})
+
+    return messages.select("recipient", "variant", "email", "subject", "text", "html").mapInPandas(run, "recipient long, variant string, error string")
+
+
+def daily_messages(
+    notices: DataFrame, first_seen: DataFrame, recipients: DataFrame, ledger: DataFrame, digests: DataFrame, names: DataFrame, alerts, sources, now: dt.datetime, ordered: DataFrame | None = None, duplicates: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Messages of today that are not yet served, and the entries behind them.
+
+    ``ordered`` (publications of each notice, as :func:`shown.publications_in_order` gives them) and ``duplicates`` add links and notes.
+    """
     at, day = F.lit(now), F.to_date(F.lit(now))
     firsts = digest.first_digests(digests).drop("digests")
     people = recipients.where("active").join(firsts, "recipient", "left")
@@ -93,22 +121,30 @@ def daily_messages(notices: DataFrame, first_seen: DataFrame, recipients: DataFr
     open_ = digest.not_served(wanted, digests.where(F.col("day") == day).select("recipient", "province")).withColumnRenamed("province", "for_province")
     kept = every.join(open_, (every["recipient"] == open_["recipient"]) & every["for_province"].eqNullSafe(open_["for_province"]), "left_semi")
     empty = F.array().cast("array<struct<source:string,published:timestamp,url:string,sent:boolean>>")
-    shown = kept.withColumn("links", F.array().cast(rendering.LINK)).withColumn("duplicates", empty)
-    messages = rendering.rendered(shown, ["recipient", "for_province"], day, at, sources, alerts, names)
+    if ordered is None or duplicates is None:
+        full = kept.withColumn("links", F.array().cast(rendering.LINK)).withColumn("duplicates", empty)
+    else:
+        full = shown.with_shown(kept, ["recipient", "for_province"], ordered, duplicates, ledger)
+    messages = rendering.rendered(full, ["recipient", "for_province"], day, at, sources, alerts, names)
     return messages.join(people.select("recipient", "email"), "recipient").withColumnRenamed("for_province", "variant"), kept
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
-    p = argparse.ArgumentParser(prog="noticeloom-job", description="Extract and link notices again from stored texts; with --out, write the day's digests as files.")
-    p.add_argument("--state", required=True, help="folder of the state tables")
+    p = argparse.ArgumentParser(prog="noticeloom-job", description="Read sources, extract and link notices, watch the sources, and make the day's digests.")
+    p.add_argument("--state", required=True, help="folder of the state tables; the next state goes to NEXT in it")
     p.add_argument("--towns", required=True, help="town list, separated by semicolons")
+    p.add_argument("--sources", help="JSON catalogue of the sources to read; none: only what is stored is linked")
+    p.add_argument("--replay", help="file of recorded responses instead of the network")
     p.add_argument("--classes", help="JSON object of class names")
     p.add_argument("--groups", help="JSON object of class groups; needed where someone wants a group")
-    p.add_argument("--out", help="folder for messages as files (a dry run: the ledger stays as it is)")
+    p.add_argument("--out", help="folder, seen by all executors, for messages as files: a dry run, nothing is recorded")
+    p.add_argument("--deliver", help="folder, seen by all executors, for messages as files: digests, ledger and alerts are recorded")
     p.add_argument("--reread", action="store_true", help="only extract everything again from stored texts")
     a = p.parse_args(argv)
-    if a.reread and a.out:
-        p.error("--reread sends nothing: it goes without --out")
+    if a.reread and (a.out or a.deliver or a.sources):
+        p.error("--reread reads and sends nothing: it goes without --sources, --out and --deliver")
+    if a.out and a.deliver:
+        p.error("either --out or --deliver")
     return a
 
 
@@ -128,65 +164,191 @@ def wanted_arrays(preferences: DataFrame, groups: DataFrame) -> DataFrame:
     return digest.preferences_by_kind(every).select("recipient", F.col("classe").alias("classes"), F.col("provincia").alias("provinces"))
 
 
-def reread(spark: SparkSession, state: str, towns: str) -> dict[str, DataFrame]:
-    """Notices, announcements and possible duplicates from the stored publications and texts."""
-    from noticeloom.sources.configuration import town_list
-
-    gazetteer = Gazetteer(town_list(spark, towns))
-    publications = schemas.read_state(spark, state, "publication")
-    stored = schemas.read_state(spark, state, "document")
+def optional(spark: SparkSession, state: str, name: str) -> DataFrame:
+    """A state table; empty if the state is older than it."""
     try:
-        parts = schemas.read_state(spark, state, "document_part")
+        return schemas.read_state(spark, state, name)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        parts = schemas.empty(spark, "document_part")  # a state from before archives
-    attached = with_parts(schemas.read_state(spark, state, "publication_document"), parts, stored).join(stored.select("hash", "text", "region", "following", "error"), "hash", "left")
-    extracted = notices_of(publications, attached, gazetteer)
-    # an id from what a notice is, not from the order of a run
-    numbered = extracted.withColumn("id", F.abs(F.xxhash64("publication", F.coalesce("document", F.lit("")), F.coalesce("school", F.lit("")))))
-    notices, bridge, duplicates = linked(numbered)
+        return schemas.empty(spark, name)
+
+
+def relinked(spark: SparkSession, tables: dict[str, DataFrame], towns: str) -> dict[str, DataFrame]:
+    """Notices, announcements and possible duplicates from publications and stored texts."""
+    from noticeloom.sources.configuration import town_list
+
+    gazetteer, stored = Gazetteer(town_list(spark, towns)), tables["document"]
+    attached = with_parts(tables["publication_document"], tables["document_part"], stored).join(stored.select("hash", "text", "region", "following", "error"), "hash", "left")
+    extracted = notices_of(tables["publication"], attached, gazetteer)
+    # an id from what a notice is, not from the order of a run; 63 bits, so that it is never negative
+    numbered = extracted.withColumn("id", F.shiftrightunsigned(F.xxhash64("publication", F.coalesce("document", F.lit("")), F.coalesce("school", F.lit(""))), 1))
+    notices, bridge, duplicates = linked(settled(numbered))
     return {"notice": notices, "announcement": bridge, "possible_duplicate": duplicates}
 
 
-def main(argv: list[str] | None = None) -> int:
+def collected(spark: SparkSession, catalogue: str, known: DataFrame, now: dt.datetime, replay: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Read every configured source from its resume point: ``source, error`` of each, and the publications that were read."""
+    from noticeloom.sources import configuration
+    from noticeloom.sources.adapters import READERS
+
+    sources = configuration.source_catalog(spark, catalogue)
+    wrong = sources.count() and [f"{r['id']}: {r['problem']}" for r in configuration.source_problems(sources).collect()]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    since = {r["source"]: r["since"] for r in monitoring.resume_points(known, F.lit(now)).collect()}
+    outcomes, read = [], spark.createDataFrame([], "source string, key string, url string, heading string, published timestamp, documents array<struct<url:string,label:string>>")
+    for s in sources.collect():  # configuration: a row a source
+        first = since.get(s["id"], now - dt.timedelta(days=settings.FIRST_READ_DAYS))
+        try:
+            found = settled(READERS[s["adapter"]](spark, s["impostazioni"].asDict(), first, replay).where(F.col("published") >= F.lit(first)).select(F.lit(s["id"]).alias("source"), *read.columns[1:]))
+            read, error = read.unionByName(found), None
+        except Exception as e:  # noqa: BLE001  one source's failure is not another's
+            error = next((x for x in reversed(str(e).split("\n")) if x.strip()), type(e).__name__)[:300]
+        outcomes.append((s["id"], error))
+    return spark.createDataFrame(outcomes, "source string, error string"), read
+
+
+def with_read(publications: DataFrame, read: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """The table of publications after writing what was read over it, and ``source, read, new, updated``."""
+    last = upserts.latest(read, ["source", "key"], ["published"])
+    status = settled(upserts.statuses(publications, last, ["source", "key"], ["url", "heading", "published", "documents"]).where("status in ('new', 'updated', 'unchanged')"))
+    counters = status.groupBy("source").agg(F.count("*").alias("read"), F.count_if(F.col("status") == "new").alias("new"), F.count_if(F.col("status") == "updated").alias("updated"))
+    before = publications.select("source", "key", F.col("publication").alias("_id"), F.col("read").alias("_read"))
+    number = F.shiftrightunsigned(F.xxhash64("source", "key"), 1)
+    changed = last.join(status.where("status <> 'unchanged'"), ["source", "key"]).join(before, ["source", "key"], "left")
+    rows = changed.withColumn("publication", F.coalesce("_id", number)).withColumn("read", F.coalesce("_read", F.lit(now))).withColumn("updated", F.lit(now)).select(publications.columns)
+    return upserts.upserted(publications, rows, ["source", "key"]), counters
+
+
+def to_fetch(publications: DataFrame, attached: DataFrame, stored: DataFrame) -> DataFrame:
+    """``publication, url, place`` of linked documents that are not there yet, or whose reading failed before."""
+    linked_ = publications.select("publication", F.posexplode("documents").alias("place", "d")).select("publication", F.col("d.url").alias("url"), "place")
+    good = attached.join(stored.where("error is null").select("hash"), "hash").select("publication", "url")
+    return linked_.join(good, ["publication", "url"], "left_anti")
+
+
+def with_documents(spark: SparkSession, tables: dict[str, DataFrame], now: dt.datetime, replay: str | None) -> dict[str, DataFrame]:
+    """Download what is missing and read it: the tables of documents, of their parts, and of what is attached to publications."""
+    from noticeloom.sources.documents import fetched, read_documents
+
+    wanted = settled(to_fetch(tables["publication"], tables["publication_document"], tables["document"]))
+    bodies = settled(fetched(wanted.select("url").distinct(), replay))
+    hashed = bodies.where("content is not null").withColumn("whole", F.sha2("content", 256))
+    parts = settled(read_documents(hashed.select("whole", "content").dropDuplicates(["whole"]), "whole", "content"))
+    single = parts.groupBy("key").agg((F.max("part") == 0).alias("one"), F.min("name").alias("name")).select("key", (F.col("one") & (F.col("name") == "")).alias("single"))
+    read = parts.join(single, "key").withColumn("hash", F.coalesce(F.when(F.col("single"), F.col("key")), F.col("hash"), F.col("key")))
+    at = F.lit(now)
+    documents = read.select("hash", "kind", F.col("size").cast("int").alias("size"), "text", "region", "following", "error", at.alias("created")).dropDuplicates(["hash"])
+    archives = read.where(~F.col("single")).select(F.col("key").alias("archive"), F.col("part").alias("place"), "name", F.col("hash").alias("part"))
+    attached = wanted.join(bodies.join(hashed.select("url", "whole"), "url", "left"), "url").select("publication", "url", "place", F.col("whole").alias("hash"), "error", at.alias("read"))
+    return {
+        "document": upserts.upserted(tables["document"], schemas.conformed(documents, "document"), ["hash"]),
+        "document_part": upserts.upserted(tables["document_part"], schemas.conformed(archives, "document_part"), ["archive", "place"]),
+        "publication_document": upserts.upserted(tables["publication_document"], schemas.conformed(attached, "publication_document"), ["publication", "url"]),
+    }
+
+
+def monitored(tables: dict[str, DataFrame], outcomes: DataFrame, names: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """The state of the sources after a run, with today's announcements marked, and the alerts of the day."""
+    at, today = F.lit(now), rome_day(F.lit(now))
+    called = tables["announcement"].join(tables["notice"].where("staff = 'docente'").select("id", (F.size("classes") > 0).alias("c")), "id").groupBy("publication").agg(F.bool_or("c").alias("has_classes"))
+    seen = tables["publication"].select(F.col("publication").alias("id"), "source", "published").join(called.withColumnRenamed("publication", "id"), "id", "left")
+    formats = monitoring.problems(outcomes, seen.withColumn("has_classes", F.coalesce("has_classes", F.lit(False))), at)
+    state = settled(monitoring.transitions(tables["source_state"], formats, at))
+    last = tables["publication"].groupBy("source").agg(F.max("published").alias("last"))
+    return monitoring.announced(state, today), monitoring.alerts(state, names, last, today).where("due")
+
+
+def composed(spark: SparkSession, tables: dict[str, DataFrame], a: argparse.Namespace, names: DataFrame, alerts: list, now: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages of the day with digests, their entries, and messages that only have alerts."""
+    from noticeloom.sources import configuration
+
+    groups = configuration.group_members(spark, a.groups) if a.groups else spark.createDataFrame([], "name string, class string")
+    class_names = configuration.class_names(spark, a.classes) if a.classes else spark.createDataFrame([], "class string, name string")
+    people = tables["recipient"].join(wanted_arrays(tables["preference"], groups), "recipient")
+    ordered = settled(shown.publications_in_order(tables["announcement"], tables["publication"], names))
+    first_seen = ordered.select("id", F.get("ps", F.lit(0))["published"].alias("published"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("text")) for k, t in alerts)) if alerts else F.array().cast("array<struct<kind:string,text:string>>")
+    listed = sorted(r["name"] for r in names.collect())
+    sources = F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")
+    messages, entries = daily_messages(tables["notice"], first_seen, people, tables["ledger"], tables["digest"], class_names, kinds, sources, now, ordered, tables["possible_duplicate"])
+    day, messages = rome_day(F.lit(now)), settled(messages)
+    only = people.limit(0)
+    if alerts:
+        today = tables["digest"].where(F.col("day") == day), tables["alert"].where(F.col("day") == day)
+        only = digest.alert_only_recipients(people, *today, messages.select("recipient"))
+    alone = rendering.alert_only(only, day, F.lit(now), sources, kinds).join(people.select("recipient", "email"), "recipient").withColumn("variant", F.lit(None).cast("string"))
+    return messages, entries, alone
+
+
+def recorded(tables: dict[str, DataFrame], sent: DataFrame, entries: DataFrame, alone: DataFrame, now: dt.datetime) -> dict[str, DataFrame]:
+    """Digest, ledger and alert rows of what was accepted."""
+    day, good = rome_day(F.lit(now)), sent.where("error is null").select("recipient", F.col("variant").alias("province"))
+    number = F.shiftrightunsigned(F.xxhash64("recipient", F.coalesce("province", F.lit("")), F.lit(now)), 1)
+    digests = settled(good.withColumn("digest", number))
+    rows = digests.select("digest", "recipient", day.alias("day"), "province", F.lit(now).alias("sent"))
+    in_it = entries.select(F.col("recipient").alias("_r"), "id", F.col("for_province").alias("_p")).join(digests, (F.col("_r") == F.col("recipient")) & F.col("_p").eqNullSafe(F.col("province")))
+    alerts = alone.where("error is null").select(F.shiftrightunsigned(F.xxhash64("recipient", F.lit(now)), 1).alias("alert"), "recipient", day.alias("day"), F.lit(now).alias("sent"))
+    return {
+        "digest": tables["digest"].unionByName(schemas.conformed(rows, "digest")),
+        "ledger": tables["ledger"].unionByName(schemas.conformed(digest.new_ledger_rows(in_it.select("recipient", "id", "digest"), tables["ledger"]), "ledger")),
+        "alert": tables["alert"].unionByName(schemas.conformed(alerts, "alert")),
+    }
+
+
+def run(spark: SparkSession, a: argparse.Namespace, now: dt.datetime) -> int:
+    """One day. How many messages failed."""
+    from noticeloom.sources import configuration
+
+    tables = {name: optional(spark, a.state, name) for name in schemas.TABLES}
+    tables["publication"] = schemas.read_state(spark, a.state, "publication")  # no state without publications
+    if not a.groups and not tables["preference"].where("kind = 'gruppo'").isEmpty() and (a.out or a.deliver):
+        raise ValueError("recipients want groups of classes, and --groups is not given")
+
+    def write(*names: str) -> None:
+        for name in names:
+            schemas.conformed(tables[name], name).write.mode("overwrite").parquet(f"{a.state}/next/{name}")
+            tables[name] = schemas.read_state(spark, f"{a.state}/next", name)
+
+    names, outcomes = spark.createDataFrame([], "source string, name string"), None
+    if a.sources:
+        names = configuration.source_catalog(spark, a.sources).select(F.col("id").alias("source"), F.col("nome").alias("name"))
+        outcomes, read = collected(spark, a.sources, tables["publication"], now, a.replay)
+        tables["publication"], counters = with_read(tables["publication"], read, now)
+        write("publication")
+        tables |= with_documents(spark, tables, now, a.replay)
+        write("document", "document_part", "publication_document")
+        for r in outcomes.join(counters, "source", "left").orderBy("source").collect():  # a row a source
+            print(f"{r['source']}: " + (r["error"] or f"{r['read'] or 0} read, {r['new'] or 0} new, {r['updated'] or 0} updated"))
+    tables |= relinked(spark, tables, a.towns)
+    write("notice", "announcement", "possible_duplicate")
+    alerts: list[tuple[str, str]] = []
+    if outcomes is not None:
+        tables["source_state"], due = monitored(tables, outcomes, names, now)
+        alerts = [(r["kind"], r["text"]) for r in due.orderBy("source").collect()]  # a row a source
+        write("source_state")
+    if a.reread:
+        return 0
+    failed = 0
+    if a.out or a.deliver:
+        messages, entries, alone = composed(spark, tables, a, names, alerts, now)
+        sent, told = settled(delivered(messages, a.out or a.deliver)), settled(delivered(alone, a.out or a.deliver))
+        failed = sent.where("error is not null").count() + told.where("error is not null").count()
+        if a.deliver:
+            tables |= recorded(tables, sent, entries, told, now)
+    write("digest", "ledger", "alert", "recipient", "preference", *(() if a.sources else ("publication", "document", "document_part", "publication_document", "source_state")))
+    return failed
+
+
+def main(argv: list[str] | None = None, now: dt.datetime | None = None) -> int:
     a = arguments(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        for name, df in reread(spark, a.state, a.towns).items():
-            schemas.conformed(df, name).write.mode("overwrite").parquet(f"{a.state}/next/{name}")
+        return int(run(spark, a, now or dt.datetime.now(dt.UTC).replace(tzinfo=None)) > 0)
     except Exception as e:  # noqa: BLE001
         print(f"job failed: {str(e).splitlines()[0]}", file=sys.stderr)
         return 1
-    if a.reread or not a.out:
-        return 0
-    from noticeloom.sources.sinks import FileSink
-
-    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-    notices = spark.read.parquet(f"{a.state}/next/notice")
-    bridge = spark.read.parquet(f"{a.state}/next/announcement")
-    published = schemas.read_state(spark, a.state, "publication").select("publication", "published")
-    first_seen = bridge.join(published, "publication").groupBy("id").agg(F.min("published").alias("published"))
-    wanted = schemas.read_state(spark, a.state, "preference")
-    groups = spark.createDataFrame([], "name string, class string")
-    if a.groups:
-        from noticeloom.sources.configuration import group_members
-
-        groups = group_members(spark, a.groups)
-    elif not wanted.where("kind = 'gruppo'").isEmpty():
-        print("job failed: recipients want groups of classes, and --groups is not given", file=sys.stderr)
-        return 1
-    arrays = wanted_arrays(wanted, groups)
-    people = schemas.read_state(spark, a.state, "recipient").join(arrays, "recipient")
-    names = spark.createDataFrame([], "class string, name string")
-    if a.classes:
-        from noticeloom.sources.configuration import class_names
-
-        names = class_names(spark, a.classes)
-    no_alerts = F.array().cast("array<struct<kind:string,text:string>>")
-    messages, _ = daily_messages(notices, first_seen, people, schemas.read_state(spark, a.state, "ledger"), schemas.read_state(spark, a.state, "digest"), names, no_alerts, F.array().cast("array<string>"), now)
-    _, failed = send(messages, FileSink(a.out))
-    return int(failed > 0)
 
 
 if __name__ == "__main__":

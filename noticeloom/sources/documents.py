@@ -99,6 +99,28 @@ def read_body(body: bytes, pdf: Callable = pdf_pages, scan: Callable = scanned_p
     return unreadable(kind)
 
 
+FETCHED = "url string, content binary, content_type string, error string"
+
+
+def fetched(urls: DataFrame, replay: str | None = None, types: tuple[str, ...] = P.DOCUMENT_TYPES) -> DataFrame:
+    """``url`` to its body and content type, or to why it can't be had. All addresses of a host are one task's, which paces its requests."""
+    from noticeloom.sources.http import PacedClient, RecordedClient
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = RecordedClient(replay) if replay else PacedClient()
+        for batch in batches:
+            for url in batch["url"]:
+                try:
+                    answer = client.get(url, types)
+                    row = (url, answer.body, answer.headers.get("content-type"), None)
+                except Exception as e:  # noqa: BLE001  whatever is wrong with an address is a row
+                    row = (url, None, None, _first_line(e))
+                yield pd.DataFrame([row], columns=[c.split()[0] for c in FETCHED.split(", ")], dtype=object)
+
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    return urls.repartition(host).select("url").mapInPandas(run, FETCHED)
+
+
 def read_documents(bodies: DataFrame, key: str, content: str, **readers: Callable) -> DataFrame:
     """A row a document, or a row a member of an archive (``part`` counts them). Equal bodies should be read once: drop duplicates by hash before."""
 

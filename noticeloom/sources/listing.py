@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeloom.functions.text import clean_text, fallback_key
 from noticeloom.functions.times import long_date_instant
@@ -75,6 +76,11 @@ def decoded(body: bytes, content_type: str | None) -> str:
         return body.decode("utf-8", "replace")
 
 
+@F.pandas_udf(T.StringType())
+def page_text(bodies: pd.Series, types: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else decoded(bytes(b), t) for b, t in zip(bodies, types, strict=True)], dtype=object)
+
+
 def raw_items(html: str, page: str) -> list[dict]:
     """Heading and link fragments, and the lines among which the date is."""
     tree = Tree(html).root

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from noticeloom import schemas
 from noticeloom.functions.places import Gazetteer
-from noticeloom.plans import catalogue, job
+from noticeloom.plans import catalogue, job, records
 from noticeloom.sources.sinks import MemorySink
 from noticeloom.streaming import monitor
 
 
+assert records.QUERIES is catalogue.QUERIES
+
+
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n in catalogue.ORACLE_SQL])
 def test_query_equals_sql(spark, sf, name):
     import glob
@@ -103,6 +106,45 @@ def test_job_command_expands_groups(spark, tmp_path):
     assert any("A022" in f.read_text(errors="replace") for f in (tmp_path / "out").rglob("*") if f.is_file())
 
 
+def test_a_day_and_the_same_day_again(spark, tmp_path, capsys):
+    """Two sources and a broken one are read, notices linked, sources watched, messages delivered and recorded; run again, nothing is sent twice."""
+    now, api, page = dt.datetime(2026, 9, 24, 10), "https://usp.example.it/posts", "https://ufficio.example.it/decreti"
+    post = lambda i, title, content: {"id": i, "date_gmt": "2026-09-24T08:00:00", "link": f"https://usp.example.it/{i}", "title": {"rendered": title}, "content": {"rendered": content}}
+    listed = [post(1, "Interpello A022 Liceo Fermi, Pisticci (MT)", '<a href="https://usp.example.it/a.pdf">Avviso</a>'), post(2, "Interpello A011 prot. 5 Liceo, Pisticci", "")]
+    html = '<div class="USP-postcontent"><h2>Interpello A022 Liceo Fermi, Pisticci</h2><p>23 Settembre 2026 ore 9:00</p><p><a href="/b.pdf">Decreto</a></p></div>'
+    from noticeloom.sources.posts import listing_url
+
+    answers = [{"url": listing_url(api, 1, after, "interpello"), "stato": 200, "intestazioni": {"Content-Type": "application/json"}, "corpo": json.dumps(listed)} for after in ("2026-08-25T10:00:00", "2026-09-17T08:00:00")]
+    answers += [{"url": page, "stato": 200, "intestazioni": {"Content-Type": "text/html; charset=utf-8"}, "corpo": html}, {"url": "https://usp.example.it/a.pdf", "stato": 200, "intestazioni": {}, "corpo": "%PDF-1.4 broken"}]
+    (tmp_path / "r.json").write_text(json.dumps(answers))
+    sources = [{"id": "usp", "nome": "USP", "adapter": "wordpress", "impostazioni": {"api": api, "cerca": "interpello"}}, {"id": "ufficio", "nome": "Ufficio", "adapter": "pagina-decreti", "impostazioni": {"pagina": page}}]
+    sources.append({"id": "rotta", "nome": "Rotta", "adapter": "pagina-decreti", "impostazioni": {"pagina": "https://rotta.example.it/x"}})
+    (tmp_path / "s.json").write_text(json.dumps(sources))
+    (tmp_path / "towns.csv").write_text("\n".join([";".join(f"c{i}" for i in range(15)), ";".join(["", "", "", "", "", "Pisticci", "Pisticci", "", "", "", "", "Matera", "", "", "MT"])]))
+    first, out = tmp_path / "one", tmp_path / "out"
+    spark.createDataFrame([(1, "a@x.it", True, now, None, False), (2, "b@x.it", True, now, None, False)], schemas.TABLES["recipient"]).write.parquet(str(first / "recipient"))
+    spark.createDataFrame([(1, "classe", "A022"), (1, "provincia", "MT"), (2, "classe", "A099"), (2, "provincia", "MT")], schemas.TABLES["preference"]).write.parquet(str(first / "preference"))
+    schemas.empty(spark, "publication").write.parquet(str(first / "publication"))
+    command = lambda state: ["--state", str(state), "--towns", str(tmp_path / "towns.csv"), "--sources", str(tmp_path / "s.json"), "--replay", str(tmp_path / "r.json"), "--deliver", str(out)]
+    assert job.main(command(first), now) == 0
+    said = capsys.readouterr().out
+    assert "usp: 2 read, 2 new, 0 updated" in said and "ufficio: 1 read, 1 new, 0 updated" in said and "rotta: " in said and "0 read" not in said
+    state = lambda n: spark.read.parquet(str(first / "next" / n))
+    assert state("publication").count() == 3 and {r["source"]: r["problem"] for r in state("source_state").collect()} == {"usp": None, "ufficio": None, "rotta": "errore"}
+    assert state("publication_document").count() == 2 and state("document").where("error is not null").count() == 1
+    text = (out / "a@x.it.txt").read_text()
+    assert "Pagina (USP): https://usp.example.it/1" in text and "Documento: https://usp.example.it/a.pdf" in text and "potrebbe essere lo stesso di: Ufficio" in text and "Rotta non consultabile" in text
+    assert "Oggi nessun interpello" in (out / "b@x.it.txt").read_text()
+    assert state("digest").count() == 1 and state("ledger").count() == 2 and state("alert").count() == 1
+    assert schemas.violations({n: schemas.read_state(spark, str(first / "next"), n) for n in schemas.TABLES}).count() == 0
+    for f in out.iterdir():
+        f.unlink()
+    assert job.main(command(first / "next"), now) == 0
+    assert not list(out.iterdir()) and "usp: 2 read, 0 new, 0 updated" in capsys.readouterr().out
+    again = lambda n: spark.read.parquet(str(first / "next" / "next" / n))
+    assert again("ledger").count() == 2 and again("digest").count() == 1 and again("alert").count() == 1
+
+
 def test_archives_give_way_to_their_parts(spark):
     now = dt.datetime(2026, 9, 3, 8)
     attached = spark.createDataFrame([(1, "u/z.zip", 0, "z", None, now), (1, "u/b", 1, "b", None, now), (1, "u/c", 2, None, "404", now), (2, "u/y.zip", 0, "y", None, now)], schemas.TABLES["publication_document"])
