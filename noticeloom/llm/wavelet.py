@@ -19,6 +19,8 @@ import zstandard
 
 MAGIC = b"WMTX1\n"
 STEP = 2048
+#: Positions that are worked on at once, so that they stay in the processor's cache.
+BLOCK = 1 << 17
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -29,11 +31,10 @@ class Plane:
         self.packed, self.n, self.ranks = packed, n, ranks
 
     @classmethod
-    def of(cls, bits: np.ndarray) -> Plane:
-        packed = np.packbits(bits)
+    def of(cls, packed: np.ndarray, n: int) -> Plane:
         ones = _ONES[packed].astype(np.uint32)
         ends = np.add.reduceat(ones, np.arange(0, len(ones), STEP // 8)) if len(ones) else np.empty(0, np.uint32)
-        return cls(packed, len(bits), np.concatenate(([0], np.cumsum(ends))).astype(np.uint32))
+        return cls(packed, n, np.concatenate(([0], np.cumsum(ends))).astype(np.uint32))
 
     def bit(self, i: int) -> int:
         return int(self.packed[i >> 3]) >> (7 - (i & 7)) & 1
@@ -59,11 +60,19 @@ class WaveletMatrix:
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        planes, order = [], ids
+        planes, order, after, high = [], ids, np.empty_like(ids), np.empty_like(ids)
         for shift in range(bits - 1, -1, -1):
-            ones = order & order.dtype.type(1 << shift) != 0
-            planes.append(Plane.of(ones))
-            order = np.concatenate((np.compress(~ones, order), np.compress(ones, order)))
+            bit, packed, z, o = order.dtype.type(1 << shift), [], 0, 0
+            for i in range(0, len(ids), BLOCK):
+                part = order[i : i + BLOCK]
+                ones = part & bit != 0
+                packed.append(np.packbits(ones))
+                one, zero = np.compress(ones, part), np.compress(~ones, part)
+                high[o : o + len(one)], after[z : z + len(zero)] = one, zero
+                o, z = o + len(one), z + len(zero)
+            after[z:] = high[:o]
+            planes.append(Plane.of(np.concatenate(packed or [np.empty(0, np.uint8)]), len(ids)))
+            order, after = after, np.empty_like(ids) if order is ids else order
         return cls(planes, len(ids))
 
     def access(self, i: int) -> int:
@@ -104,13 +113,16 @@ class WaveletMatrix:
     def ids(self) -> np.ndarray:
         """All tokens in order, from the last plane up."""
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        values = np.zeros(self.n, kind)
+        values, out = np.zeros(self.n, kind), np.empty(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level].packed, count=self.n).view(bool)
-            out, z = np.empty(self.n, kind), self.zeros[level]
-            out[np.flatnonzero(~ones)] = values[:z]
-            out[np.flatnonzero(ones)] = values[z:] | kind(1 << (len(self.planes) - 1 - level))
-            values = out
+            packed, bit, z, o = self.planes[level].packed, kind(1 << (len(self.planes) - 1 - level)), 0, self.zeros[level]
+            for i in range(0, self.n, BLOCK):
+                part = out[i : i + BLOCK]
+                ones = np.unpackbits(packed[i >> 3 : (i + BLOCK) >> 3], count=len(part)).view(bool)
+                one, zero = np.flatnonzero(ones), np.flatnonzero(~ones)
+                part[one], part[zero] = values[o : o + len(one)] | bit, values[z : z + len(zero)]
+                o, z = o + len(one), z + len(zero)
+            values, out = out, values
         return values
 
 
