@@ -379,6 +379,60 @@ def test_packing_keeps_everything(spark):
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))  # the same whatever the partitions
 
 
+def test_packed_sequences_hold_every_token(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["one two three four " * n for n in (0, 1, 3, 10, 10, 40, 90)] + [None, "città è bella <|endoftext|> " * 30]
+    rows = [(i if i != 4 else 3, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x"), (None, "no id", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    whole = Tokenizer.from_file(default_path())
+    expected = Counter()
+    for i, t, _ in rows:
+        ids = whole.encode(t or "", add_special_tokens=False).ids
+        for k in range(0, len(ids), 64):
+            expected[i, k // 64, k, tuple(ids[k : k + 64])] += 1
+    got, fills = Counter(), []
+    for r in packing.packed_sequences(df, lengths=(16, 32, 64), group=8, pad=-1).collect():
+        at = 0
+        assert len(r["ids"]) == r["bin_length"] and [x["position"] for x in r["spans"]] == list(range(len(r["spans"])))
+        for x in r["spans"]:
+            got[x["doc_id"], x["piece"], x["start"], tuple(r["ids"][at : at + x["length"]])] += 1
+            at += x["length"]
+        assert set(r["ids"][at:]) <= {-1} and r["bin_length"] == min(n for n in (16, 32, 64) if n >= at)
+        fills.append(at / r["bin_length"])
+    assert got == expected and packing.packed_sequences(df.limit(0)).count() == 0
+
+
+def test_packing_by_every_packing_of_small_cases():
+    """Best fit never costs less than the cheapest of all packings, and seldom more than a fifth above it."""
+    lengths, rnd, over = (4, 8, 16), random.Random(3), []
+
+    def cheapest(sizes):
+        def go(rest, bins):
+            if not rest:
+                return sum(packing.cost(min(x for x in lengths if x >= b)) for b in bins)
+            tried, best = set(), float("inf")
+            for k, b in enumerate(bins):
+                if b + rest[0] <= max(lengths) and b not in tried:
+                    tried.add(b)
+                    best = min(best, go(rest[1:], (*bins[:k], b + rest[0], *bins[k + 1 :])))
+            return min(best, go(rest[1:], (*bins, rest[0])))
+
+        return go(tuple(sizes), ())
+
+    for _ in range(40):
+        sizes = np.array(sorted((rnd.randint(1, 16) for _ in range(rnd.randint(1, 7))), reverse=True))
+        least, got = cheapest(sizes.tolist()), sum(map(packing.cost, packing.best_fit(sizes, lengths)[2]))
+        assert got >= least - 1e-9
+        over.append(got / least)
+    assert sum(over) / len(over) < 1.02 and max(over) < 1.5
+
+
+def test_negative_lengths_take_no_place(spark):
+    out = packing.packed(spark.createDataFrame([(1, -5), (2, 3)], "doc_id long, n long"), F.col("n")).collect()
+    assert sorted((r["doc_id"], r["length"], r["bin_id"] is None) for r in out) == [(1, 0, True), (2, 3, False)]
+
+
 def test_packing_deals_equal_rows_into_many_groups(spark):
     df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit(500).alias("n"))
     out = packing.packed(df, F.col("n"), group=256).collect()
@@ -386,6 +440,30 @@ def test_packing_deals_equal_rows_into_many_groups(spark):
     assert max(Counter(r["bin_id"].split("-")[0] for r in out).values()) < 2 * 256
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Three blocks give what one gives."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(30))) for i in range(9)]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(40)) + (" " + items[i % 9][1] if i % 2 else ""), "x") for i in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
+    one, kept = sorted(map(tuple, decontam.contamination(d, b).collect())), sorted(r["doc_id"] for r in decontam.decontaminated(d, b).collect())
+    blocks = list(decontam.item_blocks(b, 600))
+    assert len(blocks) >= 3
+    monkeypatch.setattr(decontam, "item_blocks", lambda benchmark: iter(blocks))
+    assert sorted(map(tuple, decontam.contamination(d, b).collect())) == one and len(one) == 30
+    assert sorted(r["doc_id"] for r in decontam.decontaminated(d, b).collect()) == kept == [i for i in range(60) if i % 2 == 0]
+
+
+def test_language_sample_is_bounded_where_an_id_repeats(spark):
+    """A hot id, and equal rows, don't bring more rows to the driver than the bound."""
+    many = spark.range(6000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"), F.lit("en").alias("lang"))
+    rows, each = langid._sample(many, 50, 100)
+    assert each == 50 and 10 <= rows.count() <= 130
+    vectors = langid.Featurizer()
+    assert vectors.vector("\U00030000\U00031350") is not None and vectors.vector("123") is None
+
+
 # --- the pipeline --------------------------------------------------------------------------------------------------
 
 
