@@ -6,13 +6,16 @@ from the texts, so that it shares no pattern with the operators.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeloom.functions import text, times
 from noticeloom.functions.places import Gazetteer
-from noticeloom.operators import digest, extraction, monitoring, recipients, rendering
-from noticeloom.plans.catalogue import RANKS_SQL, SIZES_SQL, digest_entries
+from noticeloom.operators import digest, extraction, monitoring, recipients, rendering, shown
+from noticeloom.plans import job
+from noticeloom.plans.catalogue import RANKS_SQL, RELATED_SQL, SIZES_SQL, digest_entries, related
 from noticeloom.plans.registry import ORACLE_SQL, QUERIES, query
 from noticeloom.plans.tables import DIGEST_SQL, now, table, utc
 from noticeloom.sources import configuration
@@ -257,4 +260,74 @@ def q_without_hour(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), times.without_hour(t).alias("open_ended"), times.long_day(times.rome_day(t)).alias("day"))
 
 
+
+# --- what the job does with publications and documents -------------------------------------------------------------
+
+URL_SQL = "'u' || l_partkey || '-' || l_suppkey || '-' || l_linenumber"
+DOCUMENTS = "array<struct<url:string,label:string>>"
+
+
+def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as documents of publications."""
+    url = F.concat(F.lit("u"), "l_partkey", F.lit("-"), "l_suppkey", F.lit("-"), "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("publication"), url.alias("url"), F.col("l_linenumber").alias("place"), F.col("l_suppkey").cast("string").alias("hash"), "l_returnflag")
+
+
+def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as publications; every third has a document."""
+    k = F.col("o_orderkey")
+    document = F.when(k % 3 == 0, F.array(F.struct(F.concat(F.lit("https://d/"), k).alias("url"), F.lit("x").alias("label")))).otherwise(F.array().cast(DOCUMENTS))
+    return table(spark, sf_dir, "orders").select(k.alias("publication"), F.col("o_orderpriority").alias("source"), k.cast("string").alias("key"), F.concat(F.lit("https://x/"), k).alias("url"), F.col("o_orderstatus").alias("heading"), utc("o_orderdate").alias("published"), document.alias("documents"))
+
+
+@query(f"SELECT l_orderkey AS publication, {URL_SQL} AS url FROM lineitem WHERE NOT (l_returnflag <> 'N' AND l_suppkey % 4 <> 0)")
+def q_to_fetch(spark, sf_dir):
+    """Linked documents that aren't there, or couldn't be read (every fourth supplier's)."""
+    docs = attached(spark, sf_dir)
+    listed = docs.groupBy("publication").agg(F.collect_list(F.struct("url", F.lit("x").alias("label"))).alias("documents"))
+    stored = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("hash"), F.when(F.col("s_suppkey") % 4 == 0, "broken").alias("error"))
+    return job.to_fetch(listed, docs.where("l_returnflag <> 'N'").select("publication", "url", "hash"), stored).select("publication", "url")
+
+
+@query(f"""WITH a AS (SELECT l_orderkey AS publication, {URL_SQL} AS url, l_suppkey AS k FROM lineitem)
+SELECT publication, url, k::VARCHAR AS hash FROM a WHERE k % 5 <> 0 UNION ALL SELECT publication, url || '#p' || p, 'm' || k || '-' || p FROM a, (SELECT unnest([0, 1]) AS p) WHERE k % 5 = 0 AND NOT (k % 10 = 0 AND p = 1)""")
+def q_archive_parts(spark, sf_dir):
+    """Every fifth supplier's documents are archives of two parts; of every tenth's one part is lost."""
+    k = F.col("s_suppkey")
+    part = table(spark, sf_dir, "supplier").where(k % 5 == 0).select(k, F.explode(F.array(F.lit(0), F.lit(1))).alias("place"))
+    parts = part.select(k.cast("string").alias("archive"), "place", F.concat(F.lit("p"), "place").alias("name"), F.concat(F.lit("m"), k, F.lit("-"), "place").alias("part"))
+    stored = parts.where("not (cast(archive as long) % 10 = 0 and place = 1)").select(F.col("part").alias("hash"))
+    return job.with_parts(attached(spark, sf_dir).drop("l_returnflag"), parts, stored).select("publication", "url", "hash")
+
+
+@query("""SELECT o_orderpriority AS source, count(*) AS read, count(*) FILTER (WHERE o_orderstatus = 'P') AS new, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 300000) AS updated FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1""")
+def q_publication_counters(spark, sf_dir):
+    """Stored: orders that are not pending; read: those that are not open, dear ones with another heading."""
+    every = publications(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("publication"), "o_totalprice"), "publication")
+    stored = every.where("heading <> 'P'").withColumn("read", now()).withColumn("updated", now()).select("publication", "source", "key", "url", "heading", "published", "documents", "read", "updated")
+    read = every.where("heading <> 'O'").withColumn("heading", F.when(F.col("o_totalprice") > 300000, "changed").otherwise(F.col("heading")))
+    # a pending order's heading is no change: it is new
+    return job.with_read(stored, read.select("source", "key", "url", "heading", "published", "documents"), dt.datetime(1999, 6, 1))[1]
+
+
+@query("""WITH b AS (SELECT DISTINCT l_partkey AS id, l_orderkey AS k FROM lineitem),
+p AS (SELECT b.id, o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Urgente' ELSE o_orderpriority END AS s, CASE WHEN o_orderkey % 3 = 0 THEN 'https://d/' || o_orderkey END AS doc FROM b JOIN orders ON o_orderkey = b.k)
+SELECT id, coalesce('Documento=' || arg_min(doc, (d, k)) FILTER (WHERE doc IS NOT NULL) || ' ', '') || string_agg('Pagina (' || s || ')=https://x/' || k, ' ' ORDER BY d, k) AS links FROM p GROUP BY 1""")
+def q_shown_links(spark, sf_dir):
+    """Parts as notices that orders announce: the first document, then the pages in order."""
+    bridge = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("publication")).distinct()
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source")).distinct().where("source = '1-URGENT'").withColumn("name", F.lit("Urgente"))
+    told = shown.links(shown.publications_in_order(bridge, publications(spark, sf_dir), names))
+    return told.select("id", F.array_join(F.transform("links", lambda x: F.concat(x["label"], F.lit("="), x["url"])), " ").alias("links"))
+
+
+@query(f"""WITH {RELATED_SQL}, sides AS (SELECT a AS id, b AS other FROM related WHERE relation = 'possibile-duplicato' UNION ALL SELECT b, a FROM related WHERE relation = 'possibile-duplicato')
+SELECT id, string_agg(other || '@' || CASE WHEN other % 3 = 0 THEN 'https://d/' ELSE 'https://x/' END || other, ' ' ORDER BY other) AS notes FROM sides GROUP BY 1""")
+def q_duplicate_notes(spark, sf_dir):
+    listed = publications(spark, sf_dir)
+    ordered = shown.publications_in_order(listed.select("publication", F.col("publication").alias("id")), listed, spark.createDataFrame([], "source string, name string"))
+    told = shown.duplicate_notes(related(spark, sf_dir).where("relation = 'possibile-duplicato'").select("a", "b"), ordered)
+    return told.select("id", F.array_join(F.transform("notes", lambda n: F.concat(n["other"], F.lit("@"), n["url"])), " ").alias("notes"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeloom import schemas
 from noticeloom.functions.places import Gazetteer
-from noticeloom.plans import catalogue, job, records
+from noticeloom.plans import catalogue, check, job, records
 from noticeloom.sources.sinks import MemorySink
 from noticeloom.streaming import monitor
 
@@ -121,6 +121,8 @@ def test_a_day_and_the_same_day_again(spark, tmp_path, capsys):
     sources.append({"id": "rotta", "nome": "Rotta", "adapter": "pagina-decreti", "impostazioni": {"pagina": "https://rotta.example.it/x"}})
     (tmp_path / "s.json").write_text(json.dumps(sources))
     (tmp_path / "towns.csv").write_text("\n".join([";".join(f"c{i}" for i in range(15)), ";".join(["", "", "", "", "", "Pisticci", "Pisticci", "", "", "", "", "Matera", "", "", "MT"])]))
+    assert check.main(["--sources", str(tmp_path / "s.json"), "--replay", str(tmp_path / "r.json")], now) == 1
+    assert "usp: 2 items, 2 with classes, last 2026-09-24" in capsys.readouterr().out
     first, out = tmp_path / "one", tmp_path / "out"
     spark.createDataFrame([(1, "a@x.it", True, now, None, False), (2, "b@x.it", True, now, None, False)], schemas.TABLES["recipient"]).write.parquet(str(first / "recipient"))
     spark.createDataFrame([(1, "classe", "A022"), (1, "provincia", "MT"), (2, "classe", "A099"), (2, "provincia", "MT")], schemas.TABLES["preference"]).write.parquet(str(first / "preference"))
