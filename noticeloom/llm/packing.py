@@ -93,9 +93,10 @@ def _packer(lengths: tuple[int, ...]):
 
 def pieces(docs: DataFrame, length: Column, most: int) -> DataFrame:
     """``doc_id`` and a length to ``doc_id, piece, start, length``."""
-    n = F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long")
-    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / most).cast("int") - 1, F.lit(0))))
-    rows = docs.select("doc_id", n.alias("n"), cut.alias("piece"))
+    # a column of its own first: an explode beside it would count the lengths twice
+    lengths = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / most).cast("int") - 1, F.lit(0))))
+    rows = lengths.select("doc_id", "n", cut.alias("piece"))
     start = F.col("piece").cast("long") * most
     return rows.select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(most)).cast("int").alias("length"))
 
