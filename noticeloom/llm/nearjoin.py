@@ -194,6 +194,7 @@ def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     classes = scratch.written(named.select("key", "copies", "n", F.xxhash64("key").alias("id"), "first.*"), "classes")
     # one signature a class
     firsts = classes.select("id", "key", "doc_id", "text_hash").join(signed.select("key", "doc_id", "text_hash", "sig"), ["key", "doc_id", "text_hash"]).dropDuplicates(["key"])
+    firsts = scratch.written(firsts.select("id", "sig"), "firsts")  # read three times
     labels = firsts.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.col("sig").substr(t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "label"))
     trie = scratch.written(labels.repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label"), "trie")
     costs = labels.select("tree", "label").repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label").mapInPandas(_trie_costs, "tree int, depth int, pairs double")
@@ -205,6 +206,7 @@ def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     # a byte of each value is enough to tell likely pairs
     tags = firsts.select("id", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1)), lambda k: F.hex(F.col("sig").substr(k * 4 + 4, F.lit(1)))), "")).alias("tags"))
     tags = scratch.written(tags.join(members.select("id").distinct(), "id"), "tags")
+    scratch.drop("firsts")
     small = members.where(F.col("m") <= SMALL).groupBy("tree", "node").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
     pairs = small.select("ids", F.posexplode("ids").alias("at", "a")).select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b")).distinct()
     told = pairs.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
