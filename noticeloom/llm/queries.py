@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from noticeloom.llm import attribution, chat, decontam, langid, mpegts, nearjoin, packing, sharding, tokenfile, warc
+from noticeloom.llm import attribution, chat, decontam, filteraudit, langid, mpegts, nearjoin, packing, sharding, tokenfile, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": nearjoin.op10_ngram_jaccard_join,
+    "op13_filter_interaction_audit": filteraudit.op13_filter_interaction_audit,
 }
 
 ORACLE_SQL = {
     "op2_chat_formatting": chat.SQL,
     "op5_warc_boundary_chains": warc.SQL,
     "op8_rendezvous_sharding": sharding.SQL,
+    "op13_filter_interaction_audit": filteraudit.SQL,
 }
