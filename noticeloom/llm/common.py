@@ -49,10 +49,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.paths = spark, shared_dir(spark, label), {}
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Cut the lineage: the rows as a Parquet table. A table of the same name from before is deleted."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

@@ -2,9 +2,9 @@
 
 1. Each task counts the words of its documents and writes *shards* of about ``SHARD_BYTES`` of text: row pointers, column
    numbers and counts, with the shard's own vocabulary. A frequent word so leaves a task once a shard, not once a document.
-2. The vocabularies meet once, dealt into buckets by a hash of the word; the rank of a word in its sorted bucket makes its
-   number, the same for all shards (:func:`dictionary`).
-3. Each shard gets the numbers of its vocabulary back, and its columns are written anew with them (:func:`csr_shards`).
+2. The vocabularies meet once, dealt into buckets by a hash of the word; a word's bucket and its rank among the sorted
+   different words of the bucket, nearly always the first, make its number, the same for all shards (:func:`dictionary`).
+3. The numbers go back to their shards, packed, and each shard's columns are written anew with them (:func:`csr_shards`).
 
 Words are the longest stretches without ``[\\x20\\x09-\\x0D]``, case-sensitive. A task holds one shard at a time; a longer
 document is a shard of its own.
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from noticeloom.llm.common import Scratch, text_or_empty, utf8
 
-SHARD_BYTES = 8 << 20
-#: Entries of vocabularies that a bucket of the dictionary holds on average.
-BUCKET_ROWS = 1_000_000
+SHARD_BYTES = 32 << 20
+#: Of a word's number the low bits are its rank in its bucket, the others the bucket.
+RANK_BITS = 16
+#: Numbers that are packed at once on their way back to the shards.
+PACKED = 500_000
 
 
 class _Vocabulary(dict):
@@ -40,6 +42,18 @@ class _Vocabulary(dict):
         return number
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Integers as bytes by significance, compressed; the first byte tells their width, the next eight their count."""
+    planes = numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return bytes([numbers.itemsize]) + len(numbers).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unsqueezed(stored: bytes) -> np.ndarray:
+    width, n = stored[0], int.from_bytes(stored[1:9], "little")
+    planes = np.frombuffer(pa.decompress(stored[9:], width * n, "zstd"), np.uint8) if n else np.empty(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<i{width}").reshape(-1)
+
+
 def _local_shards(shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 32, 0
@@ -47,15 +61,16 @@ def _local_shards(shard_bytes: int):
 
         def shard() -> pa.RecordBatch:
             rows = pa.concat_arrays(carried)
-            packed = [np.array(ends, "<i8"), np.concatenate(columns), np.concatenate(counts)]
+            packed = [squeezed(np.array(ends, "<i8")), squeezed(np.concatenate(columns)), squeezed(np.concatenate(counts))]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + made], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in packed),
+                    *(pa.array([x], pa.binary()) for x in packed),
+                    pa.array([len(vocabulary)], pa.int32()),
                     pa.array([list(vocabulary)], pa.list_(pa.binary())),
                 ],
-                ["shard", "rows", "indptr", "indices", "data", "words"],
+                ["shard", "rows", "indptr", "indices", "data", "n_words", "words"],
             )
 
         for batch in batches:
@@ -84,40 +99,79 @@ def _struct_type(df: DataFrame, column: str) -> str:
 
 
 def local_shards(docs: DataFrame, carried: Column, scratch: Scratch, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``shard, rows, indptr, indices, data, words``: columns numbered by each shard's own ``words``; ``rows`` holds ``carried`` (a struct) by row."""
+    """``shard, rows, indptr, indices, data, n_words, words``: columns numbered by each shard's own ``words``; ``rows`` holds ``carried`` (a struct) by row."""
     narrow = docs.select(carried.alias("row"), utf8(text_or_empty(text)).alias("text"))
-    schema = f"shard long, rows array<{_struct_type(narrow, 'row')}>, indptr binary, indices binary, data binary, words array<binary>"
-    return scratch.written(narrow.mapInArrow(_local_shards(shard_bytes), schema), "shards")
+    schema = f"shard long, rows array<{_struct_type(narrow, 'row')}>, indptr binary, indices binary, data binary, n_words int, words array<binary>"
+    return scratch.written(narrow.mapInArrow(_local_shards(shard_bytes), schema), "shards", compression="zstd")
 
 
 def dictionary(shards: DataFrame) -> DataFrame:
-    """``shard, at, id``: the global number of each word of each shard's vocabulary. One shuffle of the vocabularies.
+    """``shard, at, word, id``: the global number of each word of each shard's vocabulary. One shuffle of the vocabularies.
 
-    Numbers differ for different words and are the same wherever a word occurs; they have gaps where buckets differ in size.
+    Numbers differ for different words and are the same wherever a word occurs, but aren't dense.
     """
-    entries = shards.agg(F.sum(F.size("words"))).first()[0] or 0
-    buckets = max(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET_ROWS + 1)
-    words = shards.select("shard", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    return words.select("shard", "at", "word", ((rank.cast("long") - 1) * buckets + F.col("bucket")).alias("id"))
+    words = shards.select("shard", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.shiftrightunsigned(F.xxhash64("word"), RANK_BITS))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
+    rank = F.when(rank < 1 << RANK_BITS, rank).otherwise(F.raise_error(F.lit("too many words in a bucket of the dictionary")).cast("int"))
+    return words.select("shard", "at", "word", F.shiftleft("bucket", RANK_BITS).bitwiseOR(rank.cast("long")).alias("id"))
+
+
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of words as one row for each shard that some hundred thousand of them belong to."""
+    held, n = [], 0
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        shard, at, number = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("shard", "at", "id"))
+        order = np.argsort(shard, kind="stable")
+        shard, at, number = shard[order], at[order].astype("<i4"), number[order].astype("<i8")
+        starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist()
+        ends = [*starts[1:], len(shard)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(shard[starts]),
+                pa.array([at[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                pa.array([number[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+            ],
+            ["shard", "at", "ids"],
+        )
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= PACKED:
+            yield from packed()
+            held, n = [], 0
+    if n:
+        yield from packed()
 
 
 def _globalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each shard first its matrix, then its vocabulary's numbers, to ``shard, rows, indptr, indices, data``."""
+    matrix, numbers, missing = None, None, 0
     for batch in batches:
         for i in range(len(batch)):
             one = batch.slice(i, 1)
-            ids = one.column("ids")
-            numbers = ids.values.slice(ids.offsets[0].as_py(), len(ids[0].values) if ids[0].is_valid else 0).to_numpy(zero_copy_only=False).astype("<i8")
-            local = np.frombuffer(one.column("indices")[0].as_buffer(), "<i4")
-            yield pa.RecordBatch.from_arrays(
-                [one.column("shard"), one.column("rows"), one.column("indptr"), pa.array([numbers[local].tobytes()], pa.binary()), one.column("data")],
-                ["shard", "rows", "indptr", "indices", "data"],
-            )
+            if one.column("n_words")[0].is_valid:
+                matrix, missing = one, one.column("n_words")[0].as_py()
+                numbers = np.empty(missing, "<i8")
+            else:
+                at = np.frombuffer(one.column("at")[0].as_buffer(), "<i4")
+                numbers[at] = np.frombuffer(one.column("ids")[0].as_buffer(), "<i8")
+                missing -= len(at)
+            if not missing:
+                indptr, local, data = (unsqueezed(matrix.column(c)[0].as_py()) for c in ("indptr", "indices", "data"))
+                yield pa.RecordBatch.from_arrays(
+                    [matrix.column("shard"), matrix.column("rows"), *(pa.array([x.tobytes()], pa.binary()) for x in (indptr, numbers[local], data))],
+                    ["shard", "rows", "indptr", "indices", "data"],
+                )
+                matrix = numbers = None
 
 
 def _with_numbers(shards: DataFrame) -> DataFrame:
-    numbers = dictionary(shards).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("ids"))
-    return shards.drop("words").join(numbers.select("shard", F.col("ids.id").alias("ids")), "shard", "left")
+    """Each shard's matrix, followed by the packed numbers of its vocabulary, in one task."""
+    packed = dictionary(shards).select("shard", "at", "id").mapInArrow(_packer, "shard long, at binary, ids binary")
+    both = shards.drop("words").unionByName(packed, allowMissingColumns=True)
+    return both.repartition("shard").sortWithinPartitions("shard", F.col("n_words").isNull())
 
 
 def csr_shards(shards: DataFrame) -> DataFrame:
