@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from noticeloom.llm import attribution, chat, decontam, filteraudit, langid, mpegts, nearjoin, packing, sharding, streamdedup, tokenfile, warc
+from noticeloom.llm import attribution, chat, decontam, filteraudit, langid, mpegts, nearjoin, packing, repair, sharding, streamdedup, tokenfile, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": nearjoin.op10_ngram_jaccard_join,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_streaming_exact_dedup": streamdedup.op12_streaming_exact_dedup,
     "op13_filter_interaction_audit": filteraudit.op13_filter_interaction_audit,
 }
@@ -21,6 +22,7 @@ ORACLE_SQL = {
     "op2_chat_formatting": chat.SQL,
     "op5_warc_boundary_chains": warc.SQL,
     "op8_rendezvous_sharding": sharding.SQL,
+    "op11_conversation_repair": repair.SQL,
     "op12_streaming_exact_dedup": streamdedup.SQL,
     "op13_filter_interaction_audit": filteraudit.SQL,
 }
