@@ -322,7 +322,8 @@ def audited(rows: DataFrame, scratch: Scratch) -> DataFrame:
     )
     turns = scratch.written(ordered, "turns")
     first = turns.where("not dropped").groupBy("said").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1")
-    narrow = turns.select("conv_id", "pos", "turn", "said", "symbol", "dropped").join(first.select("said", "first"), "said", "left")
+    first = scratch.written(first.select("said", "first"), "first")  # both sides of the join are plain shuffles then, which Spark can split
+    narrow = turns.select("conv_id", "pos", "turn", "said", "symbol", "dropped").join(first, "said", "left")
     repeated = F.coalesce(F.col("pos") > F.col("first"), F.lit(False)) & (F.shiftright("symbol", 2) != BLANK_FAULT)
     symbol = F.when(F.col("dropped"), DROPPED).when(repeated, F.col("symbol").bitwiseAND(3) + 4 * DUPLICATE_FAULT).otherwise(F.col("symbol"))
     sorted_ = narrow.select("conv_id", "pos", F.col("turn").cast("long").alias("turn"), symbol.alias("symbol")).repartition("conv_id").sortWithinPartitions("conv_id", "pos")
