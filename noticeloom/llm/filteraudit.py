@@ -51,7 +51,9 @@ def failed_filters(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     scratch.drop("shards")
     repeated = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(repeated.select("digest", "first"), "digest", "left").withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    # written, so that both sides of the join are plain shuffles, and Spark can split a digest that many rows have
+    repeated = scratch.written(repeated.select("digest", "first"), "repeated")
+    rows = rows.join(repeated, "digest", "left").withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     bits = (F.when(F.col(f), 1 << i).otherwise(0) for i, f in enumerate(FILTERS))
     return rows.select("doc_id", "part", reduce(Column.__add__, bits).alias("failed"))
 
