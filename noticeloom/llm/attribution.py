@@ -13,7 +13,8 @@ text are its sections, each with its line break. All work on a document stays in
 
 Defined results: a null text counts as empty and has one empty section; tokens outside every section are counted in a
 row with section -1; sections beyond the text are cut to it; of sections that overlap, that which starts later loses the
-shared characters; repeated rows are counted each; further columns are ignored.
+shared characters; repeated rows are counted each; very long texts are encoded whole; an empty table gives an empty result;
+further columns are ignored (the query takes none as ``sections``).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import slices, table
+from noticeloom.llm.common import in_pandas, slices, table
 from noticeloom.llm.encoding import default_path, encoder
 
 COUNTED = "doc_id long, section int, start int, end int, n_tokens double, n_crossing int"
@@ -123,7 +124,7 @@ def _counter(path: str, rule: str, given: bool):
             counts = [len(x[1]) for x in out]
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].to_numpy().repeat(counts) if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64").repeat(counts).reset_index(drop=True),
+                    "doc_id": batch["doc_id"].repeat(counts).reset_index(drop=True),
                     "section": np.concatenate([x[1] for x in out]),
                     "start": np.concatenate([x[2][:, 0] for x in out]),
                     "end": np.concatenate([x[2][:, 1] for x in out]),
@@ -142,8 +143,8 @@ def attributed(docs: DataFrame, rule: str = "majority", tokenizer: str | None =
     given = "sections" in docs.columns
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     rows = docs.select("doc_id", text, *(["sections"] if given else []))
-    return rows.mapInPandas(_counter(tokenizer or default_path(), rule, given), COUNTED)
+    return in_pandas(rows, _counter(tokenizer or default_path(), rule, given), COUNTED)
 
 
 def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attributed(table(spark, sf_dir, "documents"))
+    return attributed(table(spark, sf_dir, "documents").select("doc_id", "text"))

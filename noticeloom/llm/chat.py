@@ -6,8 +6,8 @@ text, ``<turn`` and ``</turn`` get one more backslash after ``<`` than they have
 text survives and no text can end or open a turn.
 
 Defined results: a null role or text counts as empty; turns that tie are ordered by role and text; a null ``turn`` comes
-first; rows of a null ``conv_id`` are one conversation; further columns of the input are ignored. The formatted
-conversation is one string, so one conversation has to fit one row, as any trainer needs.
+first; rows of a null ``conv_id`` are one conversation; repeated rows are turns of their own; very long texts pass whole; an empty table
+gives an empty result; further columns of the input are ignored. The formatted conversation is one string, so one conversation has to fit one row, as any trainer needs.
 """
 
 from __future__ import annotations

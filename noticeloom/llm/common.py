@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 #: The temporary folder of this process, once one is needed.
@@ -76,6 +80,25 @@ def slices(batches: Iterator, rows: int = 500) -> Iterator:
             yield batch.iloc[i : i + rows].reset_index(drop=True)
 
 
+def in_pandas(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``mapInPandas``, but ``ids`` are nullable integers: with a null in a batch pandas would make floats of them, which don't hold 64 bits."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frames() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                frame = batch.to_pandas()
+                for name in ids:
+                    if pa.types.is_integer(batch.column(name).type):
+                        frame[name] = batch.column(name).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+                yield frame
+
+        for frame in run(frames()):
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
+
+    return df.mapInArrow(mapped, schema)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import slices, table, written
+from noticeloom.llm.common import in_pandas, slices, table, written
 
 #: Edits a character of an item.
 RATE = 0.08
@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     """``doc_id, item_id, distance, budget, match_start, match_end`` (code points of the text), a row a document and item."""
     spark, found = docs.sparkSession, []
     for block, last in with_last(item_blocks(benchmark)):
-        part = docs.select("doc_id", "text").mapInPandas(_searcher(block, rate), FOUND)
+        part = in_pandas(docs.select("doc_id", "text"), _searcher(block, rate), FOUND)
         # each block is a job of its own: no plan and no worker holds two
         found.append(part if last and not found else written(part, "contamination"))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)

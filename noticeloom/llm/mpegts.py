@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeloom.llm.common import slices, table
+from noticeloom.llm.common import in_pandas, slices, table
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
@@ -282,4 +282,4 @@ def op3_mpeg_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as media columns; the digests come from the stored streams alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     stored = docs.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), ts_encoded(padded(F.col("bytes"))).alias("media"))
-    return stored.mapInPandas(_digest, DIGESTS)
+    return in_pandas(stored, _digest, DIGESTS)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import Scratch, few, slices, table, written
+from noticeloom.llm.common import Scratch, few, in_pandas, slices, table, written
 from noticeloom.llm.components import components
 from noticeloom.llm.shingles import MinHasher, Shingler, shared_counts, spanning, text_key, words_of
 
@@ -188,7 +188,7 @@ def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     spark = docs.sparkSession
     scratch = Scratch(spark, "join")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    signed = scratch.written(texts.mapInPandas(_signer(width), SIGNED), "signed")
+    signed = scratch.written(in_pandas(texts, _signer(width), SIGNED), "signed")
     usable = signed.where("key is not null and doc_id is not null")
     named = usable.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
     classes = scratch.written(named.select("key", "copies", "n", F.xxhash64("key").alias("id"), "first.*"), "classes")
@@ -233,7 +233,9 @@ def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     told = told.select(
         "key", F.col("doc_id").alias("words_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("component", "id").alias("component")
     )
-    out = signed.select("doc_id", "text_hash", "key").join(told, "key", "left")
+    # rows without words would all meet on the null key
+    worded = signed.where("key is not null").select("doc_id", "text_hash", "key").join(told, "key", "left")
+    out = worded.unionByName(signed.where("key is null").select("doc_id", "text_hash"), allowMissingColumns=True)
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("words_id", "doc_id").alias("words_id"), "text_hash", "component"
     )

@@ -81,12 +81,12 @@ def best_fit(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, l
 
 def _packer(lengths: tuple[int, ...]):
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["length", "unnamed", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         where, used, final = best_fit(group["length"].to_numpy(), lengths)
-        out = group[["doc_id", "piece", "start", "length"]].assign(
+        out = group[["doc_id", "unnamed", "piece", "start", "length"]].assign(
             bin_id=[f"{key[0]}-{b}" for b in where], bin_length=np.array(final)[where], bin_used=np.array(used)[where], position=group.groupby(where).cumcount()
         )
-        return out[[c.split()[0] for c in PACKED.split(", ")]]
+        return out[[c.split()[0] for c in f"{PACKED}, unnamed boolean".split(", ")]]
 
     return pack
 
@@ -110,7 +110,10 @@ def packed(docs: DataFrame, length: Column, lengths: tuple[int, ...] = LENGTHS,
     steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))))
     numbered = steps.withColumn("copy", F.explode(F.sequence(F.col("step") * RUN, F.least(F.col("n"), (F.col("step") + 1) * RUN) - 1)))
     dealt = numbered.select("doc_id", "piece", "start", "length", F.pmod(F.xxhash64("doc_id", "piece", "length", "copy"), groups).alias("cell"))
-    full = dealt.groupBy("cell").applyInPandas(_packer(tuple(lengths)), PACKED)
+    # pandas would make floats of ids with a null among them, and these don't hold 64 bits
+    named = dealt.withColumn("unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long"))
+    full = named.groupBy("cell").applyInPandas(_packer(tuple(lengths)), f"{PACKED}, unnamed boolean")
+    full = full.withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc_id"))).drop("unnamed")
     none = cut.where("length = 0").select(*(F.lit(None).cast(t).alias(c) if c in ("bin_id", "bin_length", "bin_used", "position") else F.col(c) for c, t in (x.split() for x in PACKED.split(", "))))
     return full.unionByName(none)
 

@@ -6,7 +6,8 @@ file system that Spark writes will do; its binary reader reads them back. A task
 
 Defined results: a null text counts as empty; every document ends with the end id, so an empty one has one id; a null
 doc_id is stored as the least and comes back null; rows that repeat an id follow each other in the order of a hash of
-their text; an empty table gives no files and an empty result; further columns are ignored.
+their text; a very long text is a document of a file like any other, which ends after it;
+an empty table gives no files and an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
