@@ -73,6 +73,19 @@ def few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 28) -> DataFrame:
+    """The rows without most of those whose key isn't wanted; what stays has to be joined exactly. Keys aren't null.
+
+    One bit a hash, in 2 ** (bits - 15) rows of 4 KB: however much is wanted, 32 MB are broadcast at most.
+    """
+    own, number = [c for c in (f"_sieve{i}" for i in range(len(rows.columns) + 2)) if c not in rows.columns][:2], F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
+    bucket, position = own
+    marks = wanted.select(F.bitmap_bucket_number(number).alias(bucket), F.bitmap_bit_position(number).alias("_at")).groupBy(bucket).agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    held = rows.withColumn(bucket, F.bitmap_bucket_number(number)).withColumn(position, F.bitmap_bit_position(number)).join(F.broadcast(marks), bucket)
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast({position} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    return held.where(F.getbit(byte, (F.col(position) % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def slices(batches: Iterator, rows: int = 500) -> Iterator:
     """The batches of a task in parts of so many rows: Spark bounds a batch by bytes, this bounds what is made of it at once."""
     for batch in batches:

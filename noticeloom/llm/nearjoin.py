@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import Scratch, few, in_pandas, slices, table, written
+from noticeloom.llm.common import Scratch, few, in_pandas, sieved, slices, table, written
 from noticeloom.llm.components import components
 from noticeloom.llm.shingles import MinHasher, Shingler, shared_counts, spanning, text_key, words_of
 
@@ -190,23 +190,20 @@ def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signed = scratch.written(in_pandas(texts, _signer(width), SIGNED), "signed")
     usable = signed.where("key is not null and doc_id is not null")
-    named = usable.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    classes = scratch.written(named.select("key", "copies", "n", F.xxhash64("key").alias("id"), "first.*"), "classes")
-    # one signature a class
-    firsts = classes.select("id", "key", "doc_id", "text_hash").join(signed.select("key", "doc_id", "text_hash", "sig"), ["key", "doc_id", "text_hash"]).dropDuplicates(["key"])
-    firsts = scratch.written(firsts.select("id", "sig"), "firsts")  # read three times
+    # the same words have the same signature, so any will do
+    named = usable.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = scratch.written(named.select("key", "copies", "n", F.xxhash64("key").alias("id"), "first.*", "sig"), "classes")
+    firsts = classes.select("id", "sig")
     labels = firsts.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.col("sig").substr(t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "label"))
-    trie = scratch.written(labels.repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label"), "trie")
     costs = labels.select("tree", "label").repartition(F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label").mapInPandas(_trie_costs, "tree int, depth int, pairs double")
     depths = shortened({(r["tree"], r["depth"]): r["pairs"] for r in costs.groupBy("tree", "depth").agg(F.sum("pairs").alias("pairs")).collect()}, threshold, target)
     depth = F.get(F.array(*map(F.lit, depths)), F.col("tree"))
-    nodes = trie.select("id", "tree", F.xxhash64(F.col("label").substr(F.lit(1), depth * 4)).alias("node"))
+    nodes = labels.select("id", "tree", F.xxhash64(F.col("label").substr(F.lit(1), depth * 4)).alias("node"))
     shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("m")).where("m > 1")
     members = scratch.written(nodes.join(shared, ["tree", "node"]), "members")
     # a byte of each value is enough to tell likely pairs
     tags = firsts.select("id", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1)), lambda k: F.hex(F.col("sig").substr(k * 4 + 4, F.lit(1)))), "")).alias("tags"))
     tags = scratch.written(tags.join(members.select("id").distinct(), "id"), "tags")
-    scratch.drop("firsts")
     small = members.where(F.col("m") <= SMALL).groupBy("tree", "node").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
     pairs = small.select("ids", F.posexplode("ids").alias("at", "a")).select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b")).distinct()
     told = pairs.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
@@ -216,8 +213,10 @@ def _joined(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     connected = many.repartition(parts, "tree", "node", "i", "j").groupBy("tree", "node", "i", "j").applyInPandas(_connector(least), "a long, b long")
     groups = components(told.mapInPandas(_likely(least), "a long, b long").unionByName(connected), scratch, "candidates")
     chosen = scratch.written(groups.join(classes.select("id", "copies", "n", "doc_id", "text_hash"), "id"), "groups")
-    scratch.drop("trie", "members", "tags", "candidates")
-    held = chosen.select("id", "doc_id", "text_hash").join(texts, ["doc_id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text"))
+    scratch.drop("members", "tags", "candidates")
+    # most texts are in no group: they are left out before the join, which would move them all
+    few_texts = sieved(texts.where("doc_id is not null"), chosen.select("doc_id", "text_hash"), ["doc_id", "text_hash"])
+    held = chosen.select("id", "doc_id", "text_hash").join(few_texts, ["doc_id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text"))
     sized = chosen.select("component", "id", "copies", "n")
     # groups of more than one block are few: as a rule a broadcast brings their numbers to the rows
     number = F.ceil(F.greatest(F.count("*") / F.lit(VERIFY), F.sum("n") / F.lit(VERIFY_SHINGLES)))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from noticeloom.llm.common import sieved
 from noticeloom.llm import attribution, decontam, filteraudit, langid, mpegts, nearjoin, packing, sharding, streamdedup, tokenfile
 
 A, B, C = 2**60 + 1, 2**60 + 3, 2**60 + 5
@@ -67,3 +68,14 @@ def test_rows_without_words_are_not_joined_on_a_null_key(spark):
     # no join reads rows whose key is null
     plan = nearjoin.ngram_jaccard_join(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "isnotnull(key" in plan and plan.count("isnull(key") == 1
+
+
+def test_sieve_keeps_what_is_wanted_and_little_else(spark):
+    rows = spark.range(200_000).select((F.col("id") * 7).alias("k"), F.lit("x").alias("_sieve0"), F.concat(F.lit("t"), "id").alias("t"))
+    wanted = rows.where("k % 1000 = 0").select("k", "t")
+    for bits, most in ((28, 1.02), (16, 5.0)):
+        got = sieved(rows, wanted, ["k", "t"], bits)
+        assert got.columns == rows.columns
+        assert got.join(wanted, ["k", "t"], "left_semi").count() == wanted.count()
+        assert got.count() <= most * wanted.count()
+    assert sieved(rows, wanted.limit(0), ["k", "t"]).count() == 0
