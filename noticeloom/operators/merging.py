@@ -104,5 +104,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def possible_duplicates(pairs: DataFrame, bridge: DataFrame) -> DataFrame:
     """``a < b`` of related notices that were not merged and that no publication announces both. ``bridge``: ``publication, id``."""
-    together = bridge.select("publication", F.col("id").alias("a")).join(bridge.select("publication", F.col("id").alias("b")), "publication").select("a", "b").where("a < b").distinct()
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(together, ["a", "b"], "left_anti")
+    each = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # only the given pairs are looked up: a publication of many notices would have the square of them
+    of_a = each.join(bridge.select("publication", F.col("id").alias("a")), "a")
+    together = of_a.join(bridge.select("publication", F.col("id").alias("b")), ["publication", "b"], "left_semi").select("a", "b").distinct()
+    return each.join(together, ["a", "b"], "left_anti")
