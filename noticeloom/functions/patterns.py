@@ -123,5 +123,7 @@ DOCUMENT_TYPES = (
 PDF_TYPES = ("application/pdf", "application/x-pdf")
 EXTENSION_TYPES = {"pdf": "application/pdf", "zip": "application/zip", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
 EMAIL_SHAPE = r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"
+#: Why documents weren't read before scans and archives could be; these are fetched again.
+READ_BY_OLD_RULES = r"^(formato non ancora letto|PDF senza testo)"
 MISSING_CLASS, MISSING_PROVINCE, UNREADABLE = "classe di concorso non specificata", "provincia non specificata", "documento non leggibile"
 SHORT_MONTHS = ("gen", "feb", "mar", "apr", "mag", "giu", "lug", "ago", "set", "ott", "nov", "dic")

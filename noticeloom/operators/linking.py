@@ -37,7 +37,7 @@ def rank(arrived: Column, published: Column, publication: Column, place: Column)
     """A string that sorts by when a record came, when it was published, and where in its publication it stands."""
 
     def digits(x: Column) -> Column:
-        return F.lpad((x.cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("string"), 20, "0")
+        return F.lpad((x.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
 
     return F.concat_ws("/", digits(F.unix_micros(arrived)), digits(F.unix_micros(published)), digits(publication), digits(place))
 

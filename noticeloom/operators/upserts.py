@@ -57,6 +57,38 @@ def better(records: DataFrame, key: str) -> DataFrame:
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def link_changes(stored: DataFrame, listed: DataFrame, read: DataFrame) -> DataFrame:
+    """``publication, url, place, change``: what becomes of each document link, from one full join.
+
+    ``stored``: ``publication, url, place, hash, error``; ``listed``: ``publication, url, place`` as the publications list them now; ``read``:
+    ``publication, url, hash, error`` of what was fetched. ``delete``: no longer listed; ``insert``: listed and fetched for the first time;
+    ``update``: fetched again with another outcome, wherever it stands; ``move``: elsewhere in the order; ``keep``. A link that is
+    listed but was never fetched has no row yet. ``place`` is null where a link goes.
+    """
+    keys = ["publication", "url"]
+    old = stored.select(*keys, F.col("place").alias("_at"), F.struct("hash", "error").alias("_was"))
+    new = read.select(*keys, F.struct("hash", "error").alias("_now"))
+    # of a link that a publication lists twice, the first place counts
+    once = listed.groupBy(*keys).agg(F.min("place").alias("place"), F.lit(True).alias("_listed"))
+    both = once.join(old.join(new, keys, "full"), keys, "full")
+    change = (
+        F.when(F.col("_listed").isNull(), F.when(F.col("_was").isNotNull(), "delete"))
+        .when(F.col("_was").isNull(), F.when(F.col("_now").isNotNull(), "insert"))
+        .when(F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("_was")), "update")
+        .when(F.col("place") != F.col("_at"), "move")
+        .otherwise("keep")
+    )
+    return both.select(*keys, "place", change.alias("change")).where("change is not null")
+
+
+def reconciled(stored: DataFrame, read: DataFrame, changes: DataFrame) -> DataFrame:
+    """The links after :func:`link_changes`: columns of ``stored``, which ``read`` has too (but ``place``)."""
+    keys = ["publication", "url"]
+    kept = stored.drop("place").join(changes.where("change in ('keep', 'move')").select(*keys, "place"), keys)
+    written = read.drop("place").join(changes.where("change in ('insert', 'update')").select(*keys, "place"), keys)
+    return kept.select(stored.columns).unionByName(written.select(stored.columns))
+
+
 def without_children(parent_gone: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """A cascade: rows whose parent went go too."""
     return child.join(parent_gone.select(key).distinct(), key, "left_anti")

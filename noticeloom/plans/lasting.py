@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noticeloom.operators import linking
+from noticeloom.operators import linking, upserts
+from noticeloom.plans import job
 from noticeloom.plans.registry import query
 from noticeloom.plans.tables import table, utc
 
@@ -74,3 +75,53 @@ def q_linked_arrivals(spark, sf_dir):
     links = linking.linked(every.where("k % 4 <> 0"), stored, stored.select("publication", "id"))
     names = stored.select("id", F.col("order").alias("notice")).unionByName(links.where("made").select("id", F.col("rank").alias("notice")))
     return links.join(names, "id").select("rank", "publication", "notice")
+
+
+# --- documents of publications and versions ------------------------------------------------------------------------
+
+#: Lines of orders as document links: stored with one place and hash, listed with another, some read again.
+LINKS_SQL = """
+l AS (SELECT l_orderkey AS publication, 'u' || l_linenumber AS url, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2, 3),
+stored AS (SELECT publication, url, n AS place, s AS hash FROM l WHERE p % 5 <> 0),
+listed AS (SELECT publication, url, n + CASE WHEN publication % 3 = 0 THEN 1 ELSE 0 END AS place FROM l WHERE p % 7 <> 0),
+fetched AS (SELECT publication, url, CASE WHEN p % 2 = 0 THEN s + 1 ELSE s END AS hash FROM l WHERE p % 5 = 0 AND p % 3 <> 0 OR p % 11 = 0)"""
+
+
+def links(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    every = i.select(F.col("l_orderkey").cast("long").alias("publication"), F.concat(F.lit("u"), "l_linenumber").alias("url"), F.col("l_linenumber").cast("int").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    error = F.lit(None).cast("string").alias("error")
+    stored = every.where("p % 5 <> 0").select("publication", "url", F.col("n").alias("place"), F.col("s").cast("string").alias("hash"), error)
+    listed = every.where("p % 7 <> 0").select("publication", "url", (F.col("n") + F.when(F.col("publication") % 3 == 0, 1).otherwise(0)).alias("place"))
+    fetched = every.where("p % 5 = 0 and p % 3 <> 0 or p % 11 = 0").select("publication", "url", F.lit(None).cast("int").alias("place"), F.when(F.col("p") % 2 == 0, F.col("s") + 1).otherwise(F.col("s")).cast("string").alias("hash"), error)
+    return stored, listed, fetched
+
+
+CHANGES_SQL = f"""WITH {LINKS_SQL},
+x AS (SELECT publication, url, l.place, s.place AS was, s.hash AS old, f.hash AS new FROM (stored s FULL JOIN fetched f USING (publication, url)) FULL JOIN listed l USING (publication, url)),
+c AS (SELECT *, CASE WHEN place IS NULL THEN CASE WHEN was IS NOT NULL THEN 'delete' END WHEN was IS NULL THEN CASE WHEN new IS NOT NULL THEN 'insert' END
+  WHEN new IS NOT NULL AND new <> old THEN 'update' WHEN place <> was THEN 'move' ELSE 'keep' END AS change FROM x)"""
+
+
+@query(f"{CHANGES_SQL} SELECT publication, url, place::INTEGER AS place, change FROM c WHERE change IS NOT NULL")
+def q_link_changes(spark, sf_dir):
+    return upserts.link_changes(*links(spark, sf_dir))
+
+
+@query(f"{CHANGES_SQL} SELECT publication, url, place::INTEGER AS place, CASE WHEN change IN ('insert', 'update') THEN new ELSE old END::VARCHAR AS hash FROM c WHERE change <> 'delete'")
+def q_reconciled_links(spark, sf_dir):
+    stored, listed, fetched = links(spark, sf_dir)
+    return upserts.reconciled(stored, fetched, upserts.link_changes(stored, listed, fetched)).drop("error")
+
+
+#: Orders as publications with their lines as documents; a part was extracted from other headings, other texts, in another order, or by older rules.
+@query("""WITH d AS (SELECT o_orderkey AS publication, o_orderkey % 5 AS k, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT publication FROM d WHERE k IN (0, 3) OR k IN (1, 2) AND n > 0""")
+def q_stale_extractions(spark, sf_dir):
+    k = F.col("publication") % 5
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("publication"), F.col("l_linenumber").alias("place"), F.concat(F.lit("u"), "l_linenumber").alias("url"), F.col("l_suppkey").cast("string").alias("hash"), F.lit(None).cast("string").alias("error"), F.col("l_returnflag").alias("text"), F.lit("").alias("following"))
+    pubs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("publication"), F.col("o_orderpriority").alias("heading"), utc("o_orderdate").alias("published"), F.array(F.struct(F.lit("u").alias("url"), F.lit("l").alias("label"))).alias("documents"))
+    before = pubs.withColumn("heading", F.when(k == 0, "another").otherwise(F.col("heading")))
+    read = lines.withColumn("text", F.when(k == 1, "another").otherwise(F.col("text"))).withColumn("place", F.when(k == 2, -F.col("place")).otherwise(F.col("place")))
+    known = job.extraction_digests(before.where(k != 3), read).unionByName(job.extraction_digests(before.where(k == 3), read, "older"))
+    return job.extraction_digests(pubs, lines).join(known, ["publication", "digest"], "left_anti").select("publication")

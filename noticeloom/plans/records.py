@@ -280,13 +280,17 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("publication"), F.col("o_orderpriority").alias("source"), k.cast("string").alias("key"), F.concat(F.lit("https://x/"), k).alias("url"), F.col("o_orderstatus").alias("heading"), utc("o_orderdate").alias("published"), document.alias("documents"))
 
 
-@query(f"SELECT l_orderkey AS publication, {URL_SQL} AS url FROM lineitem WHERE NOT (l_returnflag <> 'N' AND l_suppkey % 4 <> 0)")
+@query(f"""SELECT l_orderkey AS publication, {URL_SQL} AS url FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+WHERE l_returnflag = 'N' OR l_linenumber = 7 OR s_suppkey % 7 IN (0, 1) OR s_suppkey % 7 = 2 AND s_suppkey % 2 = 0""")
 def q_to_fetch(spark, sf_dir):
-    """Linked documents that aren't there, or couldn't be read (every fourth supplier's)."""
-    docs = attached(spark, sf_dir)
+    """Linked documents that were never attached (N) or never downloaded (no hash), two kinds of old errors, and texts without following pages; new errors and archives stay."""
+    docs, k = attached(spark, sf_dir), F.col("s_suppkey")
     listed = docs.groupBy("publication").agg(F.collect_list(F.struct("url", F.lit("x").alias("label"))).alias("documents"))
-    stored = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("hash"), F.when(F.col("s_suppkey") % 4 == 0, "broken").alias("error"))
-    return job.to_fetch(listed, docs.where("l_returnflag <> 'N'").select("publication", "url", "hash"), stored).select("publication", "url")
+    errors = F.when(k % 7 == 0, "formato non ancora letto: rar").when(k % 7 == 1, "PDF senza testo").when(k % 7 == 3, "non leggibile: 7z")
+    texts = F.when(k % 7 == 2, "text").when(k % 7 == 4, "text")
+    stored = table(spark, sf_dir, "supplier").select(k.cast("string").alias("hash"), errors.alias("error"), texts.alias("text"), F.when((k % 7 == 4) | (k % 2 == 1), "").alias("following"))
+    known = docs.where("l_returnflag <> 'N'").select("publication", "url", F.when(F.col("place") != 7, F.col("hash")).alias("hash"))
+    return job.to_fetch(job.listed(listed), known, stored).select("publication", "url")
 
 
 @query(f"""WITH a AS (SELECT l_orderkey AS publication, {URL_SQL} AS url, l_suppkey AS k FROM lineitem)

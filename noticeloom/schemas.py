@@ -24,7 +24,7 @@ TABLES = {
     "publication": _table("publication:long source:text key:text url:text heading:text published:time documents:x read:time updated:time", documents=_LINKS),
     "notice": _table(
         "id:long type:text staff:text classes:x school:text school_code:text town:text province:text province_from:text protocol:text protocol_date:text "
-        "referred_protocol:text hours:int until:text deadline:time document:text fingerprint:text unread:bool unreadable:bool disagreements:x created:time updated:time",
+        "referred_protocol:text hours:int until:text deadline:time document:text fingerprint:text unread:bool unreadable:bool disagreements:x created:time updated:time arrived:text",
         classes=T.ArrayType(T.StringType()),
         disagreements=_DISAGREEMENTS,
     ),
@@ -37,6 +37,8 @@ TABLES = {
     "alert": _table("alert:long recipient:long day:date sent:time"),
     "document_part": _table("archive:text place:int name:text part:text"),
     "possible_duplicate": _table("a:long b:long"),
+    "alias": _table("old:long id:long"),
+    "extracted": _table("publication:long digest:text"),
 }
 
 KEYS = {
@@ -53,6 +55,8 @@ KEYS = {
     "alert": ["recipient", "day"],
     "document_part": ["archive", "place"],
     "possible_duplicate": ["a", "b"],
+    "alias": ["old"],
+    "extracted": ["publication"],
 }
 
 # What the constrained columns may hold.
@@ -78,6 +82,7 @@ REFERENCES = [
     ("digest", "recipient", "recipient", "recipient"),
     ("alert", "recipient", "recipient", "recipient"),
     ("notice", "document", "document", "hash"),
+    ("alias", "id", "notice", "id"),
 ]
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from noticeloom import schemas
 from noticeloom.functions.places import Gazetteer
+from noticeloom.operators import linking
 from noticeloom.plans import catalogue, check, job, records
+from noticeloom.plans.state import State
 from noticeloom.sources.sinks import MemorySink
 from noticeloom.streaming import monitor
 
@@ -54,13 +56,16 @@ def test_notices_link_and_message(spark):
                                  "publication long, heading string, published timestamp, documents array<struct<url:string,label:string>>")
     docs = spark.createDataFrame([(1, "https://x/a.pdf", 0, "h1", LETTER, None, None, None), (2, "https://y/b.pdf", 0, "h1", LETTER, None, None, None)],
                                  "publication long, url string, place int, hash string, text string, region string, following string, error string")
-    extracted = job.notices_of(pubs, docs, Gazetteer(towns)).withColumn("id", F.col("publication"))
-    notices, bridge, duplicates = job.linked(extracted)
+    extracted = job.notices_of(pubs, docs, Gazetteer(towns)).withColumn("rank", F.col("publication").cast("string")).withColumn("own", F.col("publication")).withColumn("dates", F.array("published"))
+    none = extracted.limit(0).select(F.col("own").alias("id"), F.col("rank").alias("order"), *linking.RECORD, "dates")
+    bridge = linking.linked(extracted, none, spark.createDataFrame([], "publication long, id long"))
+    notices = bridge.where("made").select("rank", "id").join(extracted, "rank")
     got = {r["id"]: r for r in notices.collect()}
     assert set(got) == {1, 3} and got[1]["classes"] == ["A022"] and got[1]["document"] == "h1" and got[3]["province"] == "BA"
-    assert sorted((r["publication"], r["id"]) for r in bridge.collect()) == [(1, 1), (2, 1), (3, 3)] and duplicates.count() == 0
+    assert sorted((r["publication"], r["id"]) for r in bridge.collect()) == [(1, 1), (2, 1), (3, 3)]
     people = spark.createDataFrame([(1, "a@x.it", True, ["A022"], ["MT"], now, False), (2, "bad@x.it", True, ["A011"], ["BA"], now, True), (3, "c@x.it", False, ["A011"], ["BA"], now, False)],
                                    "recipient long, email string, active boolean, classes array<string>, provinces array<string>, created timestamp, split boolean")
+    notices = notices.withColumn("created", F.lit(now)).withColumn("updated", F.lit(now))
     first = bridge.join(pubs.select("publication", "published"), "publication").groupBy("id").agg(F.min("published").alias("published"))
     names = spark.createDataFrame([("A022", "Italiano")], "class string, name string")
     alerts = F.array().cast("array<struct<kind:string,text:string>>")
@@ -84,7 +89,7 @@ def test_job_command(spark, tmp_path):
         schemas.empty(spark, n).write.parquet(str(tmp_path / n))
     (tmp_path / "towns.csv").write_text("\n".join([";".join(f"c{i}" for i in range(15)), ";".join(["", "", "", "", "", "Pisticci", "Pisticci", "", "", "", "", "Matera", "", "", "MT"])]))
     assert job.main(["--state", str(tmp_path), "--towns", str(tmp_path / "towns.csv"), "--reread"]) == 0
-    assert spark.read.parquet(str(tmp_path / "next" / "notice")).first()["town"] == "Pisticci"
+    assert State(spark, str(tmp_path)).read("notice").first()["town"] == "Pisticci"
     assert job.main(["--state", str(tmp_path / "missing"), "--towns", "x", "--reread"]) == 1
     with pytest.raises(SystemExit) as e:
         job.main(["--state", "x", "--towns", "y", "--reread", "--out", "z"])
@@ -131,20 +136,22 @@ def test_a_day_and_the_same_day_again(spark, tmp_path, capsys):
     assert job.main(command(first), now) == 0
     said = capsys.readouterr().out
     assert "usp: 2 read, 2 new, 0 updated" in said and "ufficio: 1 read, 1 new, 0 updated" in said and "rotta: " in said and "0 read" not in said
-    state = lambda n: spark.read.parquet(str(first / "next" / n))
+    state = lambda n: State(spark, str(first)).read(n)
     assert state("publication").count() == 3 and {r["source"]: r["problem"] for r in state("source_state").collect()} == {"usp": None, "ufficio": None, "rotta": "errore"}
     assert state("publication_document").count() == 2 and state("document").where("error is not null").count() == 1
     text = (out / "a@x.it.txt").read_text()
     assert "Pagina (USP): https://usp.example.it/1" in text and "Documento: https://usp.example.it/a.pdf" in text and "potrebbe essere lo stesso di: Ufficio" in text and "Rotta non consultabile" in text
     assert "Oggi nessun interpello" in (out / "b@x.it.txt").read_text()
     assert state("digest").count() == 1 and state("ledger").count() == 2 and state("alert").count() == 1
-    assert schemas.violations({n: schemas.read_state(spark, str(first / "next"), n) for n in schemas.TABLES}).count() == 0
-    for f in out.iterdir():
+    assert schemas.violations({n: state(n) for n in schemas.TABLES}).count() == 0
+    before = State(spark, str(first))
+    for f in out.glob("*.*"):
         f.unlink()
-    assert job.main(command(first / "next"), now) == 0
-    assert not list(out.iterdir()) and "usp: 2 read, 0 new, 0 updated" in capsys.readouterr().out
-    again = lambda n: spark.read.parquet(str(first / "next" / "next" / n))
-    assert again("ledger").count() == 2 and again("digest").count() == 1 and again("alert").count() == 1
+    assert job.main(command(first), now) == 0
+    assert not list(out.glob("*.*")) and "usp: 2 read, 0 new, 0 updated" in capsys.readouterr().out
+    assert state("ledger").count() == 2 and state("digest").count() == 1 and state("alert").count() == 1
+    # nothing is extracted twice, and who reads the snapshot of before still does
+    assert state("notice").where(F.col("updated") > F.lit(now)).isEmpty() and State(spark, str(first)).number == before.number + 2 and before.read("notice").count() == state("notice").count()
 
 
 def test_archives_give_way_to_their_parts(spark):
