@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeloom.functions import patterns as P
+from noticeloom.functions import phrases
 from noticeloom.functions.text import fold
 
 
@@ -27,33 +28,26 @@ def email(address: Column) -> Column:
     return F.lower(F.trim(address))
 
 
-def _first_rule(text: Column, rules: tuple, default) -> Column:
-    out = None
-    for value, pattern in rules:
-        hit = text.rlike(pattern)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(default)
+def _words(text: Column, folded: Column | None) -> Column:
+    return phrases.words(fold(text) if folded is None else folded)
 
 
 def notice_type(text: Column, folded: Column | None = None) -> Column:
     """``folded``: the folded text, where it is known already."""
-    return _first_rule(fold(text) if folded is None else folded, P.NOTICE_TYPES, P.DEFAULT_TYPE)
+    return phrases.first_said(_words(text, folded), P.NOTICE_TYPES, P.DEFAULT_TYPE)
 
 
 def staff(text: Column, folded: Column | None = None) -> Column:
-    return _first_rule(fold(text) if folded is None else folded, P.STAFF, P.DEFAULT_STAFF)
+    return phrases.first_said(_words(text, folded), P.STAFF, P.DEFAULT_STAFF)
 
 
 def classes(text: Column, folded: Column | None = None) -> Column:
     """``struct<codes, inferred>``: written codes, and what phrases on support and common posts add, with the phrase."""
-    written = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(P.CLASS_CODE), F.lit(1)), class_code))
-    t = fold(text) if folded is None else folded
-    none = F.lit(None).cast("string")
-    grade = _first_rule(t, P.SUPPORT_GRADES, none)
-    for value, pattern in P.SUPPORT_OVERRIDES:
-        grade = F.when(t.rlike(pattern), value).otherwise(grade)
-    support = F.when(~F.exists(written, lambda c: c.startswith("AD")) & t.rlike(P.SUPPORT), grade)
-    common = F.when((F.size(written) == 0) & support.isNull() & t.rlike(P.COMMON_POST), _first_rule(t, P.COMMON_POST_CLASSES, none))
+    written = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(phrases.shaped(P.CLASS_SHAPES)), F.lit(1)), class_code))
+    t = _words(text, folded)
+    grade = phrases.first_said(t, P.SUPPORT_OVERRIDES + P.SUPPORT_GRADES, None)
+    support = F.when(~F.exists(written, lambda c: c.startswith("AD")) & phrases.says(t, P.SUPPORT), grade)
+    common = F.when((F.size(written) == 0) & support.isNull() & phrases.says(t, P.COMMON_POST), phrases.first_said(t, P.COMMON_POST_CLASSES, None))
     extra = F.coalesce(support, common)
     phrase = F.when(support.isNotNull(), F.concat(support, F.lit(' da "sostegno"'))).otherwise(F.concat(common, F.lit(' da "posto comune"')))
     empty = F.array().cast("array<string>")

@@ -22,37 +22,36 @@ ENTITIES = {
     "igrave": "ì", "Egrave": "È", "Agrave": "À",
 }
 
-# The written forms of class codes: support posts, common posts, a letter and a number, two letters and a number, letter-digit mixes.
-CLASS_FORMS = ("AD(?:AA|EE|MM|SS)", "(?:AA|EE)[A-Z]{2}", r"[AB](?:\s?-\s?)?\d{2,3}", r"[AB][A-Z]-?\d{2}", r"A[A-Z]\d[A-Z]")
-CLASS_CODE = rf"(?<![\p{{L}}\d])({any_of(*CLASS_FORMS)})(?![\p{{L}}\d])"
+# The shapes of class codes, in the order in which they are tried: @ a letter, # a digit, - and ~ dashes that may be missing.
+CLASS_SHAPES = ("ADAA", "ADEE", "ADMM", "ADSS", "AA@@", "EE@@", "A-###", "A-##", "B-###", "B-##", "A@~##", "B@~##", "A@#@")
 
-# Words on support posts and common posts in folded texts, and the class that each grade stands for.
-SUPPORT = any_of("sostegno", r"\b[ecd]h\b", "psicofisic")
+# Phrases (see phrases.py) on support posts and common posts, and the class that each grade stands for.
+SUPPORT = ("sostegno", " eh ", " ch ", " dh ", "psicofisic")
+SUPPORT_OVERRIDES = (("ADSS", (" ss2g ", " ss 2g ", " ss2 g ", " ss 2 g ")), ("ADMM", (" ss1g ", " ss 1g ", " ss1 g ", " ss 1 g ")))
 SUPPORT_GRADES = (
-    ("ADSS", any_of("(?:ii|2|secondo|2°) grado", "superiore")),
-    ("ADMM", any_of("(?:i|1|primo|1°) grado", "media")),
-    ("ADEE", any_of("primaria", "elementare")),
-    ("ADAA", any_of("infanzia", "materna")),
+    ("ADSS", ("ii grado", "2 grado", "secondo grado", "superiore")),
+    ("ADMM", ("i grado", "1 grado", "primo grado", "media")),
+    ("ADEE", ("primaria", "elementare")),
+    ("ADAA", ("infanzia", "materna")),
 )
-SUPPORT_OVERRIDES = (("ADMM", r"\bss ?1 ?g\b"), ("ADSS", r"\bss ?2 ?g\b"))
-COMMON_POST = any_of("posto comune", "comune (?:scuola )?(?:infanzia|primaria)")
-COMMON_POST_CLASSES = (("AAAA", any_of("infanzia", "materna")), ("EEEE", any_of("primaria", "elementare")))
+COMMON_POST = ("posto comune", "comune infanzia", "comune primaria", "comune scuola infanzia", "comune scuola primaria")
+COMMON_POST_CLASSES = (("AAAA", ("infanzia", "materna")), ("EEEE", ("primaria", "elementare")))
 
-# Stems of folded texts that tell the type of a notice, the first type that has one; and the staff that it is for.
+# Phrases that tell the type of a notice, the first type that has one; and the staff that it is for.
 NOTICE_TYPES = (
-    ("annullamento", any_of("annull", "revoc", "ritir")),
-    ("rettifica", any_of("rettific", "errata corrige", r"^\W*(?:\w+ )?integrazione", r"integrazione (?:al?|all|alla|dell)\b")),
-    ("riapertura", any_of(r"^\W*(?:proroga|riapertura)", "prorogat[oa] al", "riapertura (?:dei )?termin", "proroga (?:della )?scadenza")),
-    ("esito", any_of(r"\besito\b", "individuat[oa] ", "decreto di (?:individuazione|nomina)")),
+    ("annullamento", ("annull", "revoc", "ritir")),
+    ("rettifica", ("rettific", "errata corrige", "^^integrazione", "integrazione a ", "integrazione al ", "integrazione all ", "integrazione alla ", "integrazione dell ")),
+    ("riapertura", ("^proroga", "^riapertura", "prorogata al", "prorogato al", "riapertura termin", "riapertura dei termin", "proroga scadenza", "proroga della scadenza")),
+    ("esito", (" esito ", "individuata ", "individuato ", "decreto di individuazione", "decreto di nomina")),
 )
 DEFAULT_TYPE = "interpello"
 STAFF = (
-    (
-        "ata-dsga",
-        any_of(r"\bata\b", "dsga", "direttore dei servizi", r"d\.s\.g\.a", "collaborator[ei] scolastic", "assistent[ei] (?:amministrativ|tecnic)", "personale ata"),
-    ),
-    ("altro", any_of("pnrr", "esperto", "tutor", "progettist", "collaudator", "psicolog", "figur[ae] di sistema", "educator")),
-)
+    ("ata-dsga", (
+        " ata ", "dsga", "d s g a", "direttore dei servizi", "collaboratore scolastic", "collaboratori scolastic", "assistente amministrativ", "assistente tecnic",
+        "assistenti amministrativ", "assistenti tecnic",
+    )),
+    ("altro", ("pnrr", "esperto", "tutor", "progettist", "collaudator", "psicolog", "figura di sistema", "figure di sistema", "educator")),
+)
 DEFAULT_STAFF = "docente"
 
 # How protocol numbers, school codes, hours and end dates are written.
@@ -63,12 +62,12 @@ HOURS = r"(?i)(\d{1,2})\s*(?:h\b|ore)"
 UNTIL = rf"(?i)(?:fino )?al\s*({WRITTEN_DATE})"
 UNTIL_PHRASE, UNTIL_TEXT = r"(?i)termine delle attivit", "termine delle attività"
 
-# Words of documents: where the subject is, where the body begins, what names a form, a notice, an addressee, an authority.
+# Words and phrases of documents: where the subject is, where the body begins, what names a form, a notice, an addressee, an authority.
 SUBJECT_LINE = r"(?i)^\s*oggetto\s*[:.\-–]?\s*"
 BODY_START = "(?i)dirigente|" + starting("vist[oaie]", "premess", "considerat", "constatat", "verificat", "preso atto", "emette", "decreta", "dispone", "rende noto", "si comunica", "comunica") + r"\b"
-FORM_NAME = "(?i)" + any_of("modello", "domanda", "allegat", "dichiarazion", "modulo", "istanza")
-FORM_SUBJECT = "(?i)" + any_of("messa a disposizione", r"\bmad\b", "domanda", "dichiarazion", "istanza", "modello", "modulo")
-NOTICE_SUBJECT = "(?i)" + any_of("interpell", "supplen", "avviso", "incaric", "reclutament", "individuazion", "conferiment", "nomin", "copertura", "sostituzion", "posti")
+FORM_NAME = ("modello", "domanda", "allegat", "dichiarazion", "modulo", "istanza")
+FORM_SUBJECT = ("messa a disposizione", " mad ", "domanda", "dichiarazion", "istanza", "modello", "modulo")
+NOTICE_SUBJECT = ("interpell", "supplen", "avviso", "incaric", "reclutament", "individuazion", "conferiment", "nomin", "copertura", "sostituzion", "posti")
 ADDRESSEE_LINE = "(?i)" + starting("al", "all['’]", "alla", "alle", "agli", "ai", "ambito territoriale") + r"(?:\s|['’]|$)"
 AUTHORITY_LINE = "(?i)" + any_of("ministero", "ufficio scolastico", r"u\.\s?s\.\s?r\.", "unione europea", "repubblica italiana", "regione ")
 SCHOOL_CODE_LOOSE = r"\b[A-Z]{4}\d[0-9A-Z]{5}\b"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom import settings
-from noticeloom.functions import codes, places
+from noticeloom.functions import codes, phrases, places
 from noticeloom.functions import patterns as P
 from noticeloom.functions.text import fold, one_line
 
@@ -108,7 +108,8 @@ def letterhead_school(lines: Column) -> Column:
 
 def is_notice(subject_: Column, name: Column) -> Column:
     """The subject names a call and no form, nor does the file's name or label."""
-    return F.coalesce(subject_.rlike(P.NOTICE_SUBJECT) & ~subject_.rlike(P.FORM_SUBJECT), F.lit(False)) & ~name.rlike(P.FORM_NAME)
+    words = phrases.words(fold(subject_))
+    return F.coalesce(phrases.says(words, P.NOTICE_SUBJECT) & ~phrases.says(words, P.FORM_SUBJECT), F.lit(False)) & ~phrases.says(F.lower(name), P.FORM_NAME)
 
 
 def document_record(documents: DataFrame, gazetteer: places.Gazetteer) -> DataFrame:
