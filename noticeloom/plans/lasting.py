@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticeloom.operators import linking, upserts
+from noticeloom.operators.shares import shared_folder
 from noticeloom.plans import job
 from noticeloom.plans.registry import query
 from noticeloom.plans.tables import table, utc
+from noticeloom.streaming import health
 
 # --- linking -------------------------------------------------------------------------------------------------------
 
@@ -125,3 +127,19 @@ def q_stale_extractions(spark, sf_dir):
     read = lines.withColumn("text", F.when(k == 1, "another").otherwise(F.col("text"))).withColumn("place", F.when(k == 2, -F.col("place")).otherwise(F.col("place")))
     known = job.extraction_digests(before.where(k != 3), read).unionByName(job.extraction_digests(before.where(k == 3), read, "older"))
     return job.extraction_digests(pubs, lines).join(known, ["publication", "digest"], "left_anti").select("publication")
+
+
+# --- sources as streams --------------------------------------------------------------------------------------------
+
+#: Users' events as items of sources: every third stopped ten days ago, every fourth has few items with classes. Time has come as far as the last event.
+@query("""WITH e AS (SELECT user_id, event_id, ts - CASE WHEN user_id % 3 = 0 THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END AS ts, value > CASE WHEN user_id % 4 = 1 THEN 80 ELSE 20 END AS flag FROM events),
+i AS (SELECT user_id AS source, ts, flag, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM e),
+s AS (SELECT source, max(ts) AS last, count(*) FILTER (WHERE k <= 20) AS n, count(*) FILTER (WHERE k <= 20 AND flag) AS c FROM i GROUP BY 1)
+SELECT source::VARCHAR AS source, problem FROM (SELECT source, CASE WHEN (SELECT max(ts) FROM e) - last >= INTERVAL 7 DAY THEN 'silenzio' WHEN n >= 10 AND c < 0.5 * n THEN 'formato' END AS problem FROM s)
+WHERE problem IS NOT NULL""")
+def q_source_health(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[t]")  # a pattern may name a file as well as a folder
+    items = stream.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").cast("long").alias("id"), (utc("ts") - F.when(F.col("user_id") % 3 == 0, F.expr("INTERVAL 10 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))).alias("published"), (F.col("value") > F.when(F.col("user_id") % 4 == 1, 80).otherwise(20)).alias("has_classes"))
+    return health.current(health.followed(spark, items, shared_folder(spark, "health")))
