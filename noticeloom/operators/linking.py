@@ -75,7 +75,7 @@ def _first_sharing(unsettled: DataFrame) -> DataFrame:
     """``rank, first``: the first unsettled arrival that shares a blocking key with each, maybe itself. Keys of dates reach two buckets, so rather too far."""
     exact = [unsettled.where(F.col(c).isNotNull()).select("rank", F.xxhash64(F.lit(c), c).alias("key"), F.lit(0).cast("long").alias("bucket")) for c in ("document", "fingerprint")]
     dated = _near_keys(unsettled, "rank").select("rank", "key", _bucket(F.col("date")).alias("bucket"))
-    least = settled(reduce(DataFrame.unionByName, [*exact, dated]).groupBy("key", "bucket").agg(F.min("rank").alias("first")))
+    least = reduce(DataFrame.unionByName, [*exact, dated]).groupBy("key", "bucket").agg(F.min("rank").alias("first"))
     looked = dated.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     return reduce(DataFrame.unionByName, [*exact, looked]).join(least, ["key", "bucket"]).groupBy("rank").agg(F.min("first").alias("first"))
 
