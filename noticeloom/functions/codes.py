@@ -29,11 +29,11 @@ def email(address: Column) -> Column:
 
 
 def _words(text: Column, folded: Column | None) -> Column:
-    return phrases.words(fold(text) if folded is None else folded)
+    return phrases.words(fold(text)) if folded is None else folded
 
 
 def notice_type(text: Column, folded: Column | None = None) -> Column:
-    """``folded``: the folded text, where it is known already."""
+    """``folded``: the folded text's words, where they are known already."""
     return phrases.first_said(_words(text, folded), P.NOTICE_TYPES, P.DEFAULT_TYPE)
 
 

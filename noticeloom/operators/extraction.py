@@ -26,7 +26,7 @@ def heading_record(publications: DataFrame, gazetteer: places.Gazetteer) -> Data
     known = F.substring("_code", 1, 2).isin(sorted(gazetteer.codes)) if gazetteer.codes else F.lit(False)
     rows = staged(
         publications,
-        folded=fold(heading),
+        folded=phrases.words(fold(heading)),
         place=places.place(gazetteer, heading),
         deadline=places.deadline(heading, F.col("published")),
         code=codes.school_code(heading),
@@ -121,7 +121,7 @@ def document_record(documents: DataFrame, gazetteer: places.Gazetteer) -> DataFr
         lines=letterhead(text),
         region=F.coalesce(F.col("region"), subject_region(text)),
         title=subject(F.col("_region")),
-        folded=fold(title),
+        folded=phrases.words(fold(title)),
         code=document_school_code(lines, text),
         office=F.upper(codes.found(text, P.OFFICE_EMAIL, 1)),
         place=places.letterhead_place(gazetteer, lines),
