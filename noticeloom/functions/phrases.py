@@ -7,6 +7,7 @@ second word.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 SHAPE = {"@": "[A-Z]", "#": "[0-9]", "-": r"(?:\s?-\s?)?", "~": "-?"}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: also where the optimizer moves expressions into filters."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(folded: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " ")), F.lit(" "))
 
@@ -30,12 +36,16 @@ def _is_said(text: Column, phrase: str) -> Column:
 
 def says(text: Column, phrases: tuple[str, ...]) -> Column:
     """Whether words (:func:`words`) have one of the phrases."""
+    return bound(text, lambda t: _says(t, phrases))
+
+
+def _says(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(Column.__or__, (_is_said(text, p) for p in phrases))
 
 
 def first_said(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], default) -> Column:
     """The value of the first rule that has a phrase."""
-    return F.coalesce(*(F.when(says(text, phrases), value) for value, phrases in rules), F.lit(default))
+    return bound(text, lambda t: F.coalesce(*(F.when(_says(t, phrases), value) for value, phrases in rules), F.lit(default)))
 
 
 def shaped(shapes: tuple[str, ...]) -> str:

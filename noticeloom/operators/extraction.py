@@ -59,24 +59,32 @@ def heading_record(publications: DataFrame, gazetteer: places.Gazetteer) -> Data
 
 def _first_true(flags: Column) -> Column:
     """1-based place of the first true; null if there is none."""
-    return F.nullif(F.array_position(flags, True).cast("int"), F.lit(0))
+    return phrases.bound(F.array_position(flags, True).cast("int"), lambda at: F.when(at > 0, at))
 
 
 def subject_region(text: Column) -> Column:
     """The subject line and the lines after it, as they are; null without a subject."""
-    lines = F.split(text, "\n")
-    at = _first_true(F.transform(lines, lambda x: x.rlike(P.SUBJECT_LINE)))
-    return F.when(at.isNotNull(), F.regexp_replace(F.array_join(F.slice(lines, at, settings.SUBJECT_REGION_LINES + 1), "\n"), r"(?U)\s+\z", ""))
+
+    def region(lines: Column) -> Column:
+        at = _first_true(F.transform(lines, lambda x: x.rlike(P.SUBJECT_LINE)))
+        # a start that is null gives null
+        return F.regexp_replace(F.array_join(F.slice(lines, at, F.lit(settings.SUBJECT_REGION_LINES + 1)), "\n"), r"(?U)\s+\z", "")
+
+    return phrases.bound(F.split(text, "\n"), region)
 
 
 def subject(region: Column) -> Column:
     """The subject on one line: its line and continuations, up to a blank line or the start of the body."""
-    lines = F.split(region, "\n")
-    following = F.slice(lines, 2, settings.SUBJECT_CONTINUATION_LINES)
-    stop = _first_true(F.transform(following, lambda x: (F.trim(x) == "") | x.rlike(P.BODY_START)))
-    kept = F.slice(following, F.lit(1), F.coalesce(stop - 1, F.size(following)))
-    first = F.regexp_replace(F.get(lines, F.lit(0)), P.SUBJECT_LINE, "")
-    return F.nullif(one_line(F.array_join(F.concat(F.array(first), kept), " ")), F.lit(""))
+
+    def continued(following: Column) -> Column:
+        stop = _first_true(F.transform(following, lambda x: (F.trim(x) == "") | x.rlike(P.BODY_START)))
+        return F.slice(following, F.lit(1), F.coalesce(stop - 1, F.size(following)))
+
+    def whole(lines: Column) -> Column:
+        first = F.regexp_replace(F.get(lines, F.lit(0)), P.SUBJECT_LINE, "")
+        return one_line(F.array_join(F.concat(F.array(first), phrases.bound(F.slice(lines, 2, settings.SUBJECT_CONTINUATION_LINES), continued)), " "))
+
+    return phrases.bound(phrases.bound(F.split(region, "\n"), whole), lambda x: F.when(x != "", x))
 
 
 def letterhead(text: Column) -> Column:
