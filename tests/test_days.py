@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from noticeloom import schemas
 from noticeloom.plans import job
 from noticeloom.plans.state import State
+from noticeloom.sources import adapters  # noqa: F401  loaded before a test replaces what it imports
 from noticeloom.sources.posts import listing_url
 
 API, DAY = "https://usp.example.it/posts", dt.datetime(2026, 9, 24, 10)
