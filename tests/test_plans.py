@@ -35,6 +35,25 @@ def test_query_equals_sql(spark, sf, name):
     assert left == sorted(repr([plain(r[i]) for i in order]) for r in out.fetchall())
 
 
+def test_whole_texts_are_classified(spark, tmp_path):
+    """What a conversation says decides, wherever it says it; a null text says nothing."""
+    far = "parola " * 3000
+    texts = {
+        "La nomina è REVOCATA": ("annullamento", "docente"), far + "errata\ncorrige, personale A.T.A. e ata": ("rettifica", "ata-dsga"), "Nuova integrazione": ("rettifica", "docente"),
+        far + "nuova integrazione": ("interpello", "docente"), "Proroga; d.s.g.a.": ("riapertura", "ata-dsga"), "l'èsito": ("esito", "docente"), "preesito, esperto": ("interpello", "altro"),
+        None: ("interpello", "docente"), "": ("interpello", "docente"), far + "figure di sistema, individuato ieri": ("esito", "altro"),
+    }
+    rows = [(i // 3, i % 3, "user", text) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = catalogue.QUERIES["q_classify"](spark, str(tmp_path))
+    got = {(r["conv_id"], r["turn"]): (r["type"], r["staff"]) for r in df.collect()}
+    assert [got[r[:2]] for r in rows] == list(texts.values())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    out = db.sql(catalogue.ORACLE_SQL["q_classify"])
+    assert sorted(map(tuple, df.select(*out.columns).collect())) == sorted(out.fetchall())
+
+
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLE_SQL])
 def test_query_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
