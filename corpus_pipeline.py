@@ -4,7 +4,8 @@
 stage works on everything that the one before kept, written as Parquet and read again.
 
 1. ``language_id``: documents without a recognisable language go: no letter, or a prediction nearer to a coin toss than
-   half of what held-out documents of as many letters have (``langid.least_margins``). Of a few letters little can be told, so that
+   half of what held-out documents of as many letters have (``langid.least_margins``). The model is of all labelled documents outside
+   the held-out third, these bounds of all within it. Of a few letters little can be told, so that
    short texts rarely go, junk or not; where all labelled documents have one language, every text with a letter stays.
 2. ``ngram_jaccard_join``: of each group of copies and near copies (five-word shingles, similarity 0.8 or more) the
    document with the least id stays.
@@ -26,7 +27,7 @@ from noticeloom.llm.encoding import token_count
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs)
+    model = langid.fit_whole(docs)
     return docs.where(langid.recognised(model, langid.least_margins(docs, model), docs["text"]))
 
 

@@ -4,9 +4,12 @@ First a document's language family is predicted, then the language within it. Bo
 support vector machines over hashed character 1- to 3-grams of the whole text (lower case; what isn't a letter counts as
 one space; square roots of frequencies, scaled to unit length).
 
-Training uses documents with a text and a language outside the held-out third, from a bounded sample: about
-``PER_LANGUAGE`` documents a language and ``MOST_ROWS`` in all, those with the least hashes of id and text, equal rows once. The sample's features,
-not its texts, reach the driver; prediction runs over all documents in the tasks and shuffles nothing. A prediction sees the text alone.
+Training uses documents with a text and a language outside the held-out third, equal rows once. :func:`fit_whole` takes all of them: they are
+dealt by a hash of id and text into cells of about ``CELL``, each cell gives a machine for each pair, and a pair's machines are averaged
+(parameter mixing). A language that is too rare for that has its rows in several cells, so that each cell has about ``LEAST`` of it; machines, not
+documents, reach the driver. :func:`fit` takes a bounded sample: about ``PER_LANGUAGE`` documents a language and ``MOST_ROWS`` in all, those
+with the least hashes; the sample's features, not its texts, reach the driver. Prediction runs over all documents in the tasks and shuffles
+nothing. A prediction sees the text alone.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any labelled document everything
 is ``und``; with a single language every text with a letter is that language; ties go to the language that sorts first;
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import slices, table
+from noticeloom.llm.common import slices, table, written
 
 #: Families of languages by ISO 639-1 code. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -42,6 +45,8 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIMENSIONS, ORDERS = 2048, 3
 PER_LANGUAGE, MOST_ROWS = 500, 20_000
+#: Rows of a cell, about, and rows of a language that it has, about, where there are as many.
+CELL, LEAST = 1000, 8
 STEEPNESS = 4.0
 #: A text is held against texts cut to the largest of these numbers of letters that it reaches.
 LETTERS = (1, 8, 16, 32, 64, 128)
@@ -91,6 +96,14 @@ def trained_svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-5, steps: int =
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = last = np.zeros(x.shape[1], np.float32)
     rate = 1.0 / (4.0 + decay)
+    if len(x) <= x.shape[1]:  # the same steps by factors of the rows, of which the weights are sums: fewer than the weights
+        products = x @ x.T
+        a = last = np.zeros(len(x), np.float32)
+        for t in range(steps):
+            look = a + np.float32(t / (t + 3.0)) * (a - last)
+            slack = np.maximum(0, 1 - y * (products @ look))
+            last, a = a, look - np.float32(rate) * (np.float32(decay) * look - 2 * weight * slack * y)
+        return a @ x
     for t in range(steps):
         look = w + (t / (t + 3.0)) * (w - last)
         slack = np.maximum(0, 1 - y * (x @ look))
@@ -198,6 +211,100 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST
     return fitted(x, np.array([lang for lang, _ in kept], object))
 
 
+def _dealt(usable: DataFrame) -> tuple[DataFrame, int]:
+    """``cell, place, lang, vector`` of every row with a letter, repeated where its language is rare, and the number of cells; equal rows may repeat."""
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    total, langs = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    cells = max(1, -(-total // CELL))
+    least = max(1, min(LEAST, CELL // (2 * max(1, langs))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()  # so that a row that is repeated often goes once a task
+
+        def new() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keys = list(zip(batch["place"].tolist(), batch["lang"], strict=True))
+                fresh = []
+                for key in keys:
+                    fresh.append(key not in seen)
+                    seen.add(key)
+                if len(seen) > 100_000:
+                    seen.clear()
+                yield batch[fresh]
+
+        yield from _vectors(new())
+
+    rows = usable.select(F.xxhash64("doc_id", "text").alias("place"), "lang", "text").mapInPandas(run, "place long, lang string, vector binary")
+    groups = counts.select("lang", F.greatest(F.lit(1).cast("long"), F.expr(f"n div {least}")).alias("groups"))
+    cell = F.when(F.col("groups") >= cells, F.array(F.pmod("place", F.lit(cells).cast("long")))).otherwise(
+        F.sequence(F.pmod("place", "groups"), F.lit(cells - 1).cast("long"), F.col("groups"))
+    )
+    return rows.join(F.broadcast(groups), "lang").select(F.explode(cell).alias("cell"), "place", "lang", "vector"), cells
+
+
+MACHINES = "families boolean, family string, one string, other string, cell long, n long, weights binary"
+
+
+def _cell_machines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in order of cell, place and language: the sums of each pair's weights over the task's cells; a language alone has none."""
+    sums: dict[tuple, list] = {}
+    cell = last = None
+    langs, vectors = [], []
+
+    def end() -> None:
+        model = fitted(np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), DIMENSIONS).astype(np.float32), np.array(langs, object))
+        for family, step in [(None, model["families"]), *model["languages"].items()]:
+            for (i, j), w in zip(step["pairs"], step["weights"].astype(np.float64), strict=True):
+                of = sums.setdefault((family is None, family, step["names"][i], step["names"][j]), [cell, 0, np.zeros(DIMENSIONS + 1)])
+                of[1] += 1
+                of[2] += w
+            if family is not None:
+                for c in step["names"]:
+                    sums.setdefault((False, family, c, c), [cell, 0, np.empty(0)])
+        langs.clear()
+        vectors.clear()
+
+    for batch in batches:
+        for c, place, lang, vector in zip(batch["cell"].tolist(), batch["place"].tolist(), batch["lang"], batch["vector"], strict=True):
+            if c != cell and langs:
+                end()
+            if (c, place, lang) != last:
+                cell, last = c, (c, place, lang)
+                langs.append(lang)
+                vectors.append(bytes(vector))
+    if langs:
+        end()
+    yield pd.DataFrame([(*key, first, n, w.tobytes()) for key, (first, n, w) in sums.items()], columns=[c.split()[0] for c in MACHINES.split(", ")])
+
+
+def _mean_machine(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("cell")
+    total = sum(np.frombuffer(bytes(w), np.float64) for w in rows["weights"])
+    n = int(rows["n"].sum())
+    return rows.head(1).assign(n=n, weights=[(total / max(1, n)).astype(np.float32).tobytes()])
+
+
+def fit_whole(docs: DataFrame) -> dict | None:
+    """A model from every labelled document outside the held-out third; None if there are none with a letter."""
+    dealt, cells = _dealt(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column()))
+    machines = dealt.repartition(cells, "cell").sortWithinPartitions("cell", "place", "lang").mapInPandas(_cell_machines, MACHINES)
+    means = machines.groupBy("families", "family", "one", "other").applyInPandas(_mean_machine, MACHINES)
+    found: dict[str | None, dict] = {}
+    for r in means.toLocalIterator():
+        found.setdefault(r["family"], {})[r["one"], r["other"]] = np.frombuffer(bytes(r["weights"]), np.float32)
+    if not found:
+        return None
+
+    def step(names: list[str], machines: dict) -> dict:
+        pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+        # no machine, where no cell has both languages, is a coin toss
+        weights = [machines.get((names[i], names[j]), np.zeros(DIMENSIONS + 1, np.float32)) for i, j in pairs]
+        return {"names": names, "pairs": pairs, "weights": np.array(weights, np.float32).reshape(len(pairs), DIMENSIONS + 1)}
+
+    families = found.pop(None, {})
+    return {"families": step(sorted(found), families), "languages": {f: step(sorted({c for pair in found[f] for c in pair}), found[f]) for f in sorted(found)}}
+
+
 def language(model: dict | None, text: Column) -> Column:
     """``struct<lang_pred, score>`` of a text."""
 
@@ -224,16 +331,16 @@ def first_letters(text: str, n: int) -> str | None:
     return None
 
 
-def least_margins(docs: DataFrame, model: dict | None, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> dict[int, float]:
-    """The least margin of a recognised text by its number of letters (``LETTERS``), from a bounded sample of held-out rows.
+def least_margins(docs: DataFrame, model: dict | None) -> dict[int, float]:
+    """The least margin of a recognised text by its number of letters (``LETTERS``), from all held-out rows with a language.
 
-    The sample's texts are cut to each number of letters; of the margins of right predictions the first percentile counts,
+    Their texts are cut to each number of letters; of the margins of right predictions the first percentile counts,
     and the least is ``SHARE`` of it. A number that no held-out text reaches has the least of the number before; without
     held-out rows the least is a coin toss.
     """
-    rows = _sample(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out_column()), per_language, most_rows)[0] if model else None
-    if rows is None:
+    if model is None:
         return dict.fromkeys(LETTERS, 0.0)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out_column()).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         featurizer = Featurizer()
@@ -242,6 +349,7 @@ def least_margins(docs: DataFrame, model: dict | None, per_language: int = PER_L
             names, margin = margins(model, np.array([v for *_, v in cuts])) if cuts else ([], [])
             yield pd.DataFrame([(n, round(float(m), 4)) for (lang, n, _), name, m in zip(cuts, names, margin, strict=True) if name == lang], columns=["letters", "margin"])
 
+    # margins have four digits, so that a percentile counts some thousand values, however many rows there are
     missed = rows.mapInPandas(run, "letters int, margin double").groupBy("letters").agg(F.percentile("margin", F.lit(MISSED)).alias("margin"))
     found, out, last = {r["letters"]: r["margin"] for r in missed.collect()}, {}, 0.0
     for n in LETTERS:

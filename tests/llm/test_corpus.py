@@ -464,6 +464,69 @@ def test_language_sample_is_bounded_where_an_id_repeats(spark):
     assert vectors.vector("\U00030000\U00031350") is not None and vectors.vector("123") is None
 
 
+def labelled(n: int):
+    rnd = random.Random(8)
+    said = {"en": "the house with view and garden".split(), "de": "das haus mit aussicht über wald".split(), "fr": "la maison avec une vue où".split(), "es": "la casa con el año y niño".split()}
+    langs = [rnd.choice(list(said)) for _ in range(n)]
+    langs[5] = langs[6] = langs[7] = "ga"  # a rare one
+    said["ga"] = "teach agus radharc álainn".split()
+    return [(i, " ".join("".join(rnd.sample(w, len(w)) if rnd.random() < 0.3 else w) for w in rnd.choices(said[lang], k=rnd.randint(1, 12))), lang, "s", 1) for i, lang in enumerate(langs)]
+
+
+def test_bounds_of_recognition_count_every_held_out_row(spark):
+    """More rows than a sample would have: the same bounds as by going through all of them."""
+    df = spark.createDataFrame(labelled(12_000), DOC)
+    model, held = langid.fit(df), df.where(langid.held_out_column()).collect()
+    assert len(held) > 3500
+    featurizer, margins = langid.Featurizer(), defaultdict(list)
+    for r in held:
+        for n in langid.LETTERS:
+            if cut := langid.first_letters(r["text"], n):
+                [name], [margin] = langid.margins(model, np.array([featurizer.vector(cut)]))
+                if name == r["lang"]:
+                    margins[n].append(round(float(margin), 4))
+    expected, last = {}, 0.0
+    for n in langid.LETTERS:
+        last = expected[n] = langid.SHARE * float(np.quantile(margins[n], langid.MISSED)) if margins[n] else last
+    assert langid.least_margins(df, model) == pytest.approx(expected, abs=1e-4)
+
+
+def test_whole_model_counts_every_row(spark):
+    """Each different row is in a cell, rare languages are in each, and a pair's machine is the mean of those of the cells."""
+    rows = labelled(12_000)
+    df = spark.createDataFrame(rows + [rows[0]] * 50 + [(20_000, None, "en", "s", 1), (20_001, "12", "en", "s", 1), (20_002, "text", None, "s", 1)], DOC)
+    usable = df.where(~langid.held_out_column() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    dealt, cells = langid._dealt(usable)
+    got, different = dealt.drop("vector").collect(), usable.where("doc_id < 20000").select(F.xxhash64("doc_id", "text").alias("place"), "lang").distinct().collect()
+    assert cells > 5 and {(r["place"], r["lang"]) for r in got} == set(map(tuple, different))
+    assert len(got) < len(different) + cells * 3 + 50 and max(Counter(r["cell"] for r in got).values()) < 1.3 * langid.CELL
+    assert {r["cell"] for r in got if r["lang"] == "ga"} == set(range(cells)) or not [r for r in different if r["lang"] == "ga"]
+    featurizer, text = langid.Featurizer(), {}
+    for r in usable.select(F.xxhash64("doc_id", "text").alias("place"), "text").collect():
+        text[r["place"]] = r["text"]
+    sums = []
+    for cell in range(cells):
+        of = sorted({(r["place"], r["lang"]) for r in got if r["cell"] == cell})
+        x = np.array([featurizer.vector(text[place]) for place, _ in of]).astype(np.float16).astype(np.float32)
+        sums.append(langid.fitted(x, np.array([lang for _, lang in of], object)))
+    model = langid.fit_whole(df)
+    assert model["families"]["names"] == sums[0]["families"]["names"] and model["languages"].keys() == sums[0]["languages"].keys()
+    for step, steps in [(model["families"], [m["families"] for m in sums]), *((model["languages"][f], [m["languages"][f] for m in sums]) for f in model["languages"])]:
+        assert step["names"] == steps[0]["names"] and np.allclose(step["weights"], np.mean([m["weights"] for m in steps], axis=0), atol=1e-3)
+    assert langid.fit_whole(df.limit(0)) is None and langid.fit_whole(df.where("doc_id = 20001")) is None
+    assert langid.fit_whole(df.where("lang = 'en'"))["languages"]["germanic"]["names"] == ["en"]
+
+
+def test_machines_by_rows_are_those_by_weights():
+    """With fewer rows than weights the steps go by the rows' factors; further rows without weight make them go the other way."""
+    rnd = np.random.default_rng(3)
+    x = np.abs(rnd.standard_normal((60, 90))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] > x[:, 1], 1.0, -1.0).astype(np.float32)
+    few, many = langid.trained_svm(x, y), langid.trained_svm(np.tile(x, (2, 1)), np.tile(y, 2))
+    assert len(few) == 91 and np.allclose(few, many, atol=1e-2 * np.abs(many).max())
+
+
 # --- the pipeline --------------------------------------------------------------------------------------------------
 
 
