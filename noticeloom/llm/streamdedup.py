@@ -37,6 +37,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # a store is small beside the megabytes that RocksDB sets aside for each of its logs and manifests
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 

@@ -180,6 +180,34 @@ def test_dedup_goes_on_where_it_stopped_and_counts_nothing_twice(spark, tmp_path
     assert dedup.state.agg(F.sum("n")).first()[0] == 240
 
 
+def test_small_state_takes_little_disk(spark, tmp_path):
+    """No store sets aside megabytes for its logs and manifests: hundreds of partitions would fill a disk with them."""
+    import os
+    import threading
+
+    spark.createDataFrame(documents(random.Random(6), 100), DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    local = spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+    seen, done = {}, threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            for at, _, names in os.walk(local):
+                for name in names if "StateStoreId" in at else ():
+                    try:
+                        seen[f"{at}/{name}"] = max(seen.get(f"{at}/{name}", 0), 512 * os.stat(f"{at}/{name}").st_blocks)
+                    except FileNotFoundError:
+                        pass
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        streamdedup.StreamingDedup(spark, f"{tmp_path}/documents.parquet", shared_dir(spark, "dedup-test")).ingest()
+    finally:
+        done.set()
+        watcher.join()
+    assert any("MANIFEST" in name for name in seen) and max(seen.values()) < 1 << 20
+
+
 def test_texts_that_changed_since_are_noticed(spark, tmp_path):
     folder = f"{tmp_path}/documents.parquet"
     spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string").coalesce(1).write.parquet(folder)
