@@ -13,7 +13,7 @@ import functools
 import gc
 import json
 import os
-import re
+import string
 import struct
 import sys
 from array import array
@@ -33,8 +33,8 @@ from noticeloom.llm.common import slices
 MOST_REMEMBERED = 200_000
 #: Bytes of texts that are worked on at once, or one text.
 MOST_AT_ONCE = 4 << 20
-#: Letters and marks after them: two words of the pattern, without asking it.
-_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
+#: Letters and these marks after them: two words of the pattern, without asking it.
+_MARKS = string.punctuation
 
 
 def default_path() -> str:
@@ -96,46 +96,58 @@ class WordEncoder:
         """The words of ``space`` (one, or none) and a chunk without white space at its ends, without the space."""
         if chunk.isalpha():
             return (chunk,)
-        if (m := _MARKED(chunk)) and m[1].isalpha():
-            return m.groups()
+        if (stem := chunk.rstrip(_MARKS)).isalpha():
+            return stem, chunk[len(stem) :]
         first, *rest = self.cut(space + chunk)
         return first[len(space) :], *rest
 
     def _after_space(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks together with the space before them; none where white space at an end makes it no start of a word.
+        """Remember the ids of new chunks together with the space before them; none where white space at an end makes it no start of a word.
 
-        What a line break joins is seldom the same twice: its ids are put together and not remembered.
+        What a line break joins is seldom the same twice: its ids are put together, given back and not remembered.
         """
-        after, words, firsts, bare, composed = self.after_space, self.words, {}, {}, []
+        after, words, before, firsts, bare, marked, composed = self.after_space, self.words, self.before, {}, {}, [], []
         out = {}
         for chunk in chunks:
-            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                out[chunk] = after[chunk] = b""
+            if chunk.isalpha():  # most are
+                firsts[chunk] = None
+                continue
+            if (first := chunk.rstrip(_MARKS)).isalpha():
+                mark = chunk[len(first) :]
+                marked.append((chunk, first, mark))
+                if mark not in words:
+                    bare[mark] = None
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                after[chunk] = b""
                 continue
-            line, broken, more = chunk.partition("\n")
-            if broken and line and more and not (line[-1].isspace() or more[0].isspace()):
-                first, *rest = self._parts(line, " ")
-                rest += ("\n", *self._parts(more, ""))
             else:
-                first, *rest = self._parts(chunk, " ")
+                line, broken, more = chunk.partition("\n")
+                if broken and line and more and not (line[-1].isspace() or more[0].isspace()):
+                    first, *rest = self._parts(line, " ")
+                    rest += ("\n", *self._parts(more, ""))
+                else:
+                    first, *rest = self._parts(chunk, " ")
+                for word in rest:
+                    if word not in words:
+                        bare[word] = None
+                composed.append((chunk, first, rest, not broken))
             if first not in after:
-                if (ids := self.before.get(first)) is None:
+                if (ids := before.get(first)) is None:
                     firsts[first] = None
                 else:
                     after[first] = ids
-            for word in rest:
-                if word not in words:
-                    bare[word] = None
-            composed.append((chunk, first, rest, not broken))
         self._learn(after, firsts, " ")
         self._learn(words, bare, "")
+        for chunk, first, mark in marked:
+            after[chunk] = after[first] + words[mark]
         for chunk, first, rest, often in composed:
             ids = after[first]
             if rest:
                 ids = b"".join((ids, *map(words.__getitem__, rest)))
-                if often:
-                    after[chunk] = ids
-            out[chunk] = ids
+            if often:
+                after[chunk] = ids
+            else:
+                out[chunk] = ids
         return out
 
     def _cut(self, text: str) -> bytes:
@@ -146,16 +158,16 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and where those of each text end. No text is null."""
+    def encode(self, texts: pa.Array | list[str], count_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row (none of them, if they are only counted), and where those of each text end. No text is null."""
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not len(texts):
             return np.empty(0, self.type), np.empty(0, np.int64)
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         if len(texts) > 1 and size[-1] > MOST_AT_ONCE:
             middle = min(max(1, int(np.searchsorted(size, size[-1] // 2))), len(texts) - 1)
-            (one, ends), (two, more) = self.encode(texts[:middle]), self.encode(texts[middle:])
-            return np.concatenate((one, two)), np.concatenate((ends, more + len(one)))
+            (one, ends), (two, more) = self.encode(texts[:middle], count_only), self.encode(texts[middle:], count_only)
+            return np.concatenate((one, two)), np.concatenate((ends, more + ends[-1]))
         if not self.by_words:
             coded = [np.frombuffer(self._whole(t), self.type) for t in texts.to_pylist()]
             return np.concatenate(coded), np.cumsum([len(x) for x in coded])
@@ -183,7 +195,8 @@ class WordEncoder:
             finally:
                 gc.enable()
             for i in new:
-                values[i] = found[known[i]]
+                word = known[i]
+                values[i] = found[word] if (v := self.after_space.get(word)) is None else v
         spoilt = np.fromiter(map(len, values), np.int64, len(values)) == 0
         # no space stands before the first, and none after the last, so these may have white space there
         whole = np.zeros(len(texts), bool)
@@ -207,8 +220,10 @@ class WordEncoder:
         counts = sizes[codes]
         for i in again.tolist():
             counts[begin[i] + 1 : end[i]] = 0
-        pool, starts = np.frombuffer(b"".join(values), self.type), np.cumsum(sizes, dtype=np.int32) - sizes
         ends = np.cumsum(counts, dtype=np.int32)
+        if count_only:
+            return np.empty(0, self.type), ends[end - 1].astype(np.int64)
+        pool, starts = np.frombuffer(b"".join(values), self.type), np.cumsum(sizes, dtype=np.int32) - sizes
         at = np.repeat(starts[codes] - (ends - counts), counts)
         at += np.arange(ends[-1], dtype=np.int32)
         return pool[at], ends[end - 1].astype(np.int64)
@@ -246,6 +261,6 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in slices(batches, 2000):
-            yield pd.Series(np.diff(encoder(path).encode(batch.fillna("").tolist())[1], prepend=0), dtype="int64")
+            yield pd.Series(np.diff(encoder(path).encode(batch.fillna("").tolist(), count_only=True)[1], prepend=0), dtype="int64")
 
     return F.pandas_udf(run, "long")(text)

@@ -236,6 +236,21 @@ def test_encoder_forgets_and_splits(monkeypatch):
         words.byte_lengths()
 
 
+def test_plain_words_are_not_cut_and_counting_makes_no_ids(monkeypatch):
+    """Letters, and letters before marks, go without a cut; counts are those of the ids."""
+    words = WordEncoder(default_path())
+    cut = []
+    parts = words._parts
+    monkeypatch.setattr(words, "_parts", lambda chunk, space: cut.append(chunk) or parts(chunk, space))
+    texts = ["a plain text, with (some) marks; überall!! and_ don't", "", "one", " two\nlines here "]
+    ids, ends = words.encode(texts)
+    assert cut and not {"plain", "text,", "marks;", "überall!!"} & set(cut)
+    none, counted = words.encode(texts, count_only=True)
+    assert not len(none) and counted.tolist() == ends.tolist() and ends[-1] == len(ids)
+    again, more = WordEncoder(default_path()).encode(texts, count_only=True)
+    assert not len(again) and more.tolist() == ends.tolist()
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
