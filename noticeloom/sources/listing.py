@@ -110,31 +110,35 @@ def _every(node: Node) -> Iterator[Node]:
         yield from _every(x)
 
 
-RAW = "page string, place int, raw_heading string, lines array<string>, raw_links array<struct<url:string,label:string>>"
+RAW = "page string, reading string, place int, raw_heading string, lines array<string>, raw_links array<struct<url:string,label:string>>"
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [r for page, html in zip(batch["page"], batch["html"], strict=True) if html for r in raw_items(html, page)]
-        yield pd.DataFrame(rows, columns=["page", "place", "raw_heading", "lines", "raw_links"])
+        rows = [r | {"reading": reading} for page, reading, html in zip(batch["page"], batch["reading"], batch["html"], strict=True) if html for r in raw_items(html, page)]
+        yield pd.DataFrame(rows, columns=["page", "reading", "place", "raw_heading", "lines", "raw_links"])
 
 
 def items_of_pages(pages: DataFrame) -> DataFrame:
-    """``page, html`` to ``page, place, heading, published, documents``; an item without a readable date has none."""
-    raw = pages.select("page", "html").mapInPandas(_parse, RAW)
+    """``page, html`` to ``page, reading, place, heading, published, documents``; an item without a readable date has none.
+
+    ``reading`` (a string) may tell apart rows of one address, which are listings of their own; without it, it is null.
+    """
+    reading = F.col("reading") if "reading" in pages.columns else F.lit(None).cast("string").alias("reading")
+    raw = pages.select("page", reading, "html").mapInPandas(_parse, RAW)
     dates = F.filter(F.transform("lines", long_date_instant), lambda t: t.isNotNull())
     documents = F.transform("raw_links", lambda x: F.struct(x["url"].alias("url"), clean_text(x["label"], numeric=False).alias("label")))
-    return raw.select("page", "place", clean_text(F.col("raw_heading")).alias("heading"), F.get(dates, F.lit(0)).alias("published"), documents.alias("documents"))
+    return raw.select("page", "reading", "place", clean_text(F.col("raw_heading")).alias("heading"), F.get(dates, F.lit(0)).alias("published"), documents.alias("documents"))
 
 
 def keyed(items: DataFrame) -> DataFrame:
     """A stable key for each item, given from the oldest on: its first document's address, or, where an older item has that,
-    a hash of heading and date. Exact repeats go."""
+    a hash of heading and date. Exact repeats in a reading of a page go."""
     url = F.get("documents", F.lit(0))["url"]
     marked = items.withColumn("_url", url).withColumn("_mark", fallback_key(F.col("heading"), F.col("published")))
-    oldest = Window.partitionBy("page", "_url").orderBy(F.desc("place"))
+    oldest = Window.partitionBy("page", "reading", "_url").orderBy(F.desc("place"))
     ranked = marked.withColumn("_k", F.row_number().over(oldest)).withColumn("_owner", F.first("_mark").over(oldest))
     kept = ranked.where(F.col("_url").isNull() | (F.col("_k") == 1) | (F.col("_mark") != F.col("_owner")))
     named = kept.withColumn("key", F.when(F.col("_url").isNotNull() & (F.col("_k") == 1), F.col("_url")).otherwise(F.col("_mark")))
-    first = Window.partitionBy("page", "key").orderBy(F.desc("place"))
+    first = Window.partitionBy("page", "reading", "key").orderBy(F.desc("place"))
     return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_k", "_owner", "_url", "_mark")
