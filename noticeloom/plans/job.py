@@ -109,9 +109,10 @@ def daily_messages(
     people = recipients.where("active").join(firsts, "recipient", "left")
     # recipients have a ``created`` of their own
     seen = notices.drop("published", "created", "updated").join(first_seen, "id")
-    entries = settled(digest.digest(seen, people.select("recipient", "classes", "provinces", "created", "first_digest"), ledger.select("recipient", "id"), at))
-    single = entries.join(people.where(~F.col("split")).select("recipient"), "recipient").withColumn("for_province", F.lit(None).cast("string"))
-    split = digest.by_province(entries.join(people.where("split").select("recipient"), "recipient"), people.where("split").select("recipient", F.explode("provinces").alias("for_province")))
+    wants, sent = people.select("recipient", "classes", "provinces", "created", "first_digest", "split"), ledger.select("recipient", "id")
+    single = digest.digest(seen, wants.where(~F.col("split")), sent, at).withColumn("for_province", F.lit(None).cast("string"))
+    by_province = digest.narrowed(wants.where("split"), people.select("recipient", F.explode("provinces").alias("for_province")))
+    split = digest.digest(seen, by_province, sent, at, ("recipient", "for_province"))
     every = settled(single.unionByName(split.select(single.columns)))
     wanted = every.select("recipient", F.col("for_province").alias("province")).distinct()
     open_ = digest.not_served(wanted, digests.where(F.col("day") == day).select("recipient", "province")).withColumnRenamed("province", "for_province")
